@@ -42,6 +42,19 @@ def sequence_number(
     )
 
 
+def running_total(
+    df: DataFrame, keys: Sequence[str], chunk: str, position: str, amount: Column, out: str
+) -> DataFrame:
+    """Sum of ``amount`` from the start of the sequence up to and with the row."""
+    counted = df.withColumn("_amount", amount.cast("long"))
+    sums = _carried(counted, keys, [chunk], _sum=F.sum("_amount"))
+    across = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(*BEFORE)
+    offsets = sums.select(*keys, chunk, F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, chunk).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    joined = counted.join(offsets, [*keys, chunk])
+    return joined.withColumn(out, F.col("_offset") + F.sum("_amount").over(inside)).drop("_offset", "_amount")
+
+
 def last_before(
     df: DataFrame, keys: Sequence[str], chunk: str, position: str, values: dict[str, Column]
 ) -> DataFrame:
