@@ -6,7 +6,7 @@ flattened in one narrow pass.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwork.functions.cells import BLANKS, CELL, make_cell, strip
 from gridwork.functions.text import limit_text
@@ -42,16 +42,22 @@ def _list(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "array<variant>")
 
 
-def _kind(value: Column) -> Column:
+def _is_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+
+
+def _scalar_kind(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
 def scalar_text(value: Column) -> Column:
-    """Text of a JSON scalar: whole numbers plain, others as floats, True and False spelled so."""
-    kind = _kind(value)
+    """Text of a JSON scalar, NULL for null: whole numbers plain, others as floats, True and
+    False spelled so."""
+    kind = _scalar_kind(value)
     number = F.try_variant_get(value, "$", "double").cast("string")
     return (
-        F.when(kind.isin("DECIMAL", "DOUBLE", "FLOAT"), number)
+        F.when(kind == "VOID", F.lit(None).cast("string"))
+        .when(kind.isin("DECIMAL", "DOUBLE", "FLOAT"), number)
         .when(kind == "BOOLEAN", F.initcap(_text(value, "$")))
         .otherwise(_text(value, "$"))
     )
@@ -59,74 +65,103 @@ def scalar_text(value: Column) -> Column:
 
 def document_text(node: Column, depth: int = DOCUMENT_DEPTH) -> Column:
     """Plain text of a document tree. Text nodes follow each other; a block loses its trailing
-    blanks and ends its line. Trees nested deeper than ``depth`` are an error, never cut."""
-    if depth == 0:
-        return F.when(
-            F.size(F.coalesce(_list(node, "$.content"), F.array().cast("array<variant>"))) > 0,
-            F.raise_error(F.lit("document nested too deeply; raise the depth")).cast("string"),
-        ).otherwise(F.coalesce(_leaf(node), F.lit("")))
+    blanks and ends its line. Trees nested deeper than ``depth`` are an error, never cut.
+
+    The expression grows with ``depth``; use it once per projection.
+    """
+    kind = _text(node, "$.type")
     children = F.coalesce(_list(node, "$.content"), _list(node, "$"))
-    inner = F.array_join(F.transform(children, lambda child: document_text(child, depth - 1)), "")
-    block = F.coalesce(_text(node, "$.type").isin(*BLOCK_NODES), F.lit(False))
+    if depth == 0:
+        inner = F.when(
+            F.size(children) > 0, F.raise_error(F.lit("document nested too deeply; raise the depth")).cast("string")
+        )
+    else:
+        inner = F.array_join(F.transform(children, lambda child: document_text(child, depth - 1)), "")
+    block = F.coalesce(kind.isin(*BLOCK_NODES), F.lit(False))
     body = F.rtrim(F.coalesce(inner, F.lit("")), F.when(block, F.lit(BLANKS)).otherwise(""))
-    return F.coalesce(_leaf(node), F.concat(body, F.when(block, "\n").otherwise("")))
+    bare = kind.isNull() & children.isNull() & ~_is_object(node)
+    return (
+        F.when(kind == "text", F.coalesce(_text(node, "$.text"), F.lit("")))
+        .when(bare, F.coalesce(scalar_text(node), F.lit("")))
+        .otherwise(F.concat(body, F.when(block, "\n").otherwise("")))
+    )
+
+
+def simple_text(value: Column) -> Column:
+    """Text of a scalar or of an object by the first naming key it has; other values as JSON."""
+    text = F.when(_list(value, "$").isNotNull(), F.to_json(value))
+    for key in ("displayName", "value", "name", "key"):
+        inner = F.try_variant_get(value, f"$.{key}", "variant")
+        nested = _is_object(inner) | _list(inner, "$").isNotNull()
+        text = text.when(_has(value, key), F.when(nested, F.to_json(inner)).otherwise(scalar_text(inner)))
+    return text.when(_is_object(value), F.to_json(value)).otherwise(scalar_text(value))
+
+
+def has_comments(value: Column) -> Column:
+    return (F.coalesce(_text(value, "$.type"), F.lit("")) != "doc") & _list(value, "$.comments").isNotNull()
 
 
-def _leaf(node: Column) -> Column:
-    """Text of a text node or of a bare scalar, NULL for a node with content."""
-    text = F.when(_text(node, "$.type") == "text", F.coalesce(_text(node, "$.text"), F.lit("")))
-    return F.coalesce(text, F.when(_kind(node) == "VOID", ""), _text(node, "$"))
+def value_parts(value: Column) -> Column:
+    """The values a field consists of: the items of a list (lists in lists unrolled, three levels),
+    the bodies of a comment thread, or the value itself."""
 
+    def unrolled(items: Column) -> Column:
+        return F.flatten(F.transform(items, lambda item: F.coalesce(_list(item, "$"), F.array(item))))
+
+    items = unrolled(unrolled(_list(value, "$")))
+    bodies = F.transform(
+        F.when(has_comments(value), _list(value, "$.comments")),
+        lambda c: F.coalesce(F.try_variant_get(c, "$.body", "variant"), F.parse_json(F.lit("null"))),
+    )
+    return F.coalesce(items, bodies, F.array(value))
+
+
+def part_text(part: Column, depth: int = DOCUMENT_DEPTH) -> Column:
+    """Text of one part: a document or a simple value."""
+    return F.when(_text(part, "$.type") == "doc", strip(document_text(part, depth))).otherwise(simple_text(part))
 
-def comments_text(value: Column, depth: int = DOCUMENT_DEPTH) -> Column:
-    """A comment thread as ``author [created]`` and body, with blank lines between."""
 
-    def render(comment: Column) -> Column:
+def comment_heads(value: Column) -> Column:
+    """``author [created]`` per comment."""
+
+    def head(comment: Column) -> Column:
         author = F.coalesce(
             F.nullif(_text(comment, "$.author.displayName"), F.lit("")),
             F.nullif(_text(comment, "$.author.name"), F.lit("")),
             F.lit(""),
         )
-        created = F.coalesce(_text(comment, "$.created"), F.lit(""))
-        head = F.concat(author, F.when(created != "", F.concat(F.lit(" ["), created, F.lit("]"))).otherwise(""))
-        body = F.coalesce(plain_value(F.try_variant_get(comment, "$.body", "variant"), depth, comments=False), F.lit(""))
-        return F.when(head != "", F.concat(head, F.lit("\n"), body)).otherwise(body)
-
-    return F.array_join(F.transform(_list(value, "$.comments"), render), "\n\n")
-
+        created = F.nullif(_text(comment, "$.created"), F.lit(""))
+        return F.concat(author, F.coalesce(F.concat(F.lit(" ["), created, F.lit("]")), F.lit("")))
 
-def object_text(value: Column, depth: int, comments: bool) -> Column:
-    """Text of a JSON object: a document, a comment thread, or the first naming key it has."""
-    text = F.when(_text(value, "$.type") == "doc", strip(document_text(value, depth)))
-    if comments:
-        text = text.when(_list(value, "$.comments").isNotNull(), comments_text(value, depth))
-    for key in ("displayName", "value", "name", "key"):
-        inner = F.try_variant_get(value, f"$.{key}", "variant")
-        text = text.when(_has(value, key), scalar_or_json(inner))
-    return text.otherwise(F.to_json(value))
+    return F.transform(_list(value, "$.comments"), head)
 
 
-def scalar_or_json(value: Column) -> Column:
-    nested = _kind(value).isin("OBJECT", "ARRAY")
-    return F.when(nested, F.to_json(value)).otherwise(scalar_text(value))
+def joined_text(value: Column, texts: Column) -> Column:
+    """Text of a whole field from the texts of its parts: list items on a line each, comments
+    under their heads with a blank line between."""
+    items = F.array_join(F.filter(texts, lambda t: t.isNotNull() & (t != "")), "\n")
+    comments = F.zip_with(
+        comment_heads(value),
+        texts,
+        lambda head, body: F.concat(F.when(head != "", F.concat(head, F.lit("\n"))).otherwise(""), F.coalesce(body, F.lit(""))),
+    )
+    return (
+        F.when(_list(value, "$").isNotNull(), items)
+        .when(has_comments(value), F.array_join(comments, "\n\n"))
+        .otherwise(F.get(texts, F.lit(0)))
+    )
 
 
-def plain_value(value: Column, depth: int = DOCUMENT_DEPTH, comments: bool = True, lists: int = 2) -> Column:
-    """Text of any JSON value; NULL stays NULL. Lists give one line per nonempty item; lists in
-    lists are followed ``lists`` levels down and read as JSON below."""
-    kind = _kind(value)
-    listed = F.to_json(value)
-    if lists:
-        items = F.transform(
-            F.try_variant_get(value, "$", "array<variant>"),
-            lambda item: plain_value(item, depth, comments, lists - 1),
-        )
-        listed = F.array_join(F.filter(items, lambda t: t.isNotNull() & (t != "")), "\n")
-    return (
-        F.when(kind == "ARRAY", listed)
-        .when(kind == "OBJECT", object_text(value, depth, comments))
-        .when(kind != "VOID", scalar_text(value))
+def add_value_texts(df: DataFrame, values: list[Column], out: str, depth: int = DOCUMENT_DEPTH) -> DataFrame:
+    """Adds ``out``, the texts of several VARIANT values as one array. The document expression is
+    there once for all of them."""
+    parts = df.withColumn(f"{out}_values", F.array(*values))
+    parts = parts.withColumn(f"{out}_parts", F.transform(f"{out}_values", value_parts))
+    parts = parts.withColumn(
+        f"{out}_texts", F.transform(f"{out}_parts", lambda ps: F.transform(ps, lambda p: part_text(p, depth)))
     )
+    joined = F.zip_with(f"{out}_values", f"{out}_texts", joined_text)
+    return parts.withColumn(out, joined).drop(f"{out}_parts", f"{out}_texts", f"{out}_values")
 
 
 def parse_moment(text: Column) -> Column:
@@ -139,25 +174,26 @@ def parse_day(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "yyyy-M-d"))
 
 
-def value_cell(value: Column, kind: str | None, depth: int = DOCUMENT_DEPTH) -> Column:
-    """One typed cell from a field value and the declared type of the field."""
-    shape = _kind(value)
-    text = F.when(shape == "STRING", _text(value, "$"))
+def value_cell(value: Column, text: Column, kind: str | None) -> Column:
+    """One typed cell from a field value, its text, and the declared type of the field."""
+    nested = _is_object(value) | _list(value, "$").isNotNull()
+    shape = F.when(~nested, _scalar_kind(value))
+    string = F.when(shape == "STRING", _text(value, "$"))
     cell = F.when(value.isNull() | (shape == "VOID"), make_cell("text", F.lit("")))
     if kind == "datetime":
-        moment = parse_moment(text)
+        moment = parse_moment(string)
         shown = F.concat(
             F.date_format(moment, "yyyy-MM-dd HH:mm:ss"),
             F.regexp_replace(F.date_format(moment, ".SSSSSS"), r"^\.000000$", ""),
         )
         cell = cell.when(moment.isNotNull(), make_cell("datetime", shown))
     if kind == "date":
-        day = parse_day(text)
+        day = parse_day(string)
         cell = cell.when(day.isNotNull(), make_cell("date", F.date_format(day, "yyyy-MM-dd")))
-    cell = cell.when(shape.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), make_cell("int", scalar_text(value)))
-    cell = cell.when(shape.isin("DECIMAL", "DOUBLE", "FLOAT"), make_cell("float", scalar_text(value)))
-    cell = cell.when(shape == "BOOLEAN", make_cell("bool", scalar_text(value)))
-    return cell.otherwise(make_cell("text", limit_text(plain_value(value, depth)))).cast(CELL)
+    cell = cell.when(shape.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), make_cell("int", text))
+    cell = cell.when(shape.isin("DECIMAL", "DOUBLE", "FLOAT"), make_cell("float", text))
+    cell = cell.when(shape == "BOOLEAN", make_cell("bool", text))
+    return cell.otherwise(make_cell("text", limit_text(text))).cast(CELL)
 
 
 def _mentions(text: Column, words: tuple[str, ...]) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwork.functions.cells import make_cell
-from gridwork.functions.issues import DOCUMENT_DEPTH, plain_value, value_cell
+from gridwork.functions.issues import DOCUMENT_DEPTH, add_value_texts, value_cell
 
 # Names that mean the record key and its address.
 SPECIAL_FIELDS = {
@@ -88,6 +88,10 @@ def flatten_issues(
     rows = issues
     if dict(issues.dtypes)["fields"] != "variant":
         rows = issues.withColumn("fields", F.try_parse_json("fields"))
+    read = [f for f in fields if f.kind == "field"]
+    values = [F.try_variant_get("fields", f"$['{f.field_id}']", "variant") for f in read]
+    if read:
+        rows = add_value_texts(rows, values, "_texts", depth)
     columns = []
     for field in fields:
         if field.kind == "key":
@@ -95,8 +99,8 @@ def flatten_issues(
         elif field.kind == "url":
             cell = make_cell("text", issue_url(server, F.col("key")))
         else:
-            value = F.try_variant_get("fields", f"$['{field.field_id}']", "variant")
-            cell = value_cell(value, field.type, depth)
+            place = read.index(field)
+            cell = value_cell(values[place], F.get("_texts", F.lit(place)), field.type)
         columns.append((cell if typed else cell["v"]).alias(field.header))
     return rows.select(*columns)
 
@@ -119,7 +123,8 @@ def named_fields(issues: DataFrame, catalogue: DataFrame, requested: list[str])
         raise ValueError(f"the catalogue has several fields named {clash['name_key']!r}")
     names = catalogue.select(F.col("id").alias("field_id"), _folded(F.col("name")).alias("name_key"))
     wanted = names.where(F.col("name_key").isin(keys))
-    text = plain_value(F.col("value"))
-    long = long_fields(issues).join(wanted, "field_id").select("key", "name_key", text.alias("value"))
+    long = long_fields(issues).join(wanted, "field_id")
+    long = add_value_texts(long, [F.col("value")], "_texts")
+    long = long.select("key", "name_key", F.get("_texts", F.lit(0)).alias("value"))
     wide = long.groupBy("key").pivot("name_key", keys).agg(F.first("value"))
     return wide.select("key", *[F.col(f"`{k}`").alias(name) for k, name in zip(keys, requested)])
