@@ -61,7 +61,9 @@ def typed_cell(value: Column, kind: T.DataType) -> Column:
 
 def nonempty(cell: Column) -> Column:
     """Holds a value: zero and false do, blank text does not."""
-    return F.coalesce(strip(cell["v"]) != "", F.lit(False))
+    text = cell["v"]
+    # Most values begin with a printable ASCII character, which settles it.
+    return F.coalesce(F.ascii(text).between(33, 126) | (strip(text) != ""), F.lit(False))
 
 
 def usable(cell: Column) -> Column:
@@ -87,7 +89,7 @@ def clean_cell(cell: Column, number_format: Column, trim_text: bool = True, keep
     padded = F.concat(
         F.when(negative == 1, "-").otherwise(""), F.lpad(digits, F.greatest(F.length(digits), room), "0")
     )
-    long_number = (kind == "int") & (F.length(F.regexp_replace(text, "^-?0*", "")) >= 16)
+    long_number = (kind == "int") & (F.length(text) >= 16) & (F.length(F.regexp_replace(text, "^-?0*", "")) >= 16)
     result = F.when((kind == "text"), make_cell("text", strip(text) if trim_text else text))
     result = result.when(infinite, make_cell("text", infinite_text))
     if keep_zeros:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Sequence
@@ -88,61 +89,97 @@ def compact(text: Column) -> Column:
     return F.replace(text, F.lit(" "), F.lit(""))
 
 
-def score_bound(label: Column, alias: Column, short_limit: int) -> Column:
-    """An upper bound of :func:`similarity` from the lengths alone: a common part cannot be
-    longer than the shorter text."""
+def without(text: Column, letters: Column) -> Column:
+    """The text without the given characters."""
+    return F.call_function("translate", text, letters, F.lit(""))
+
+
+def score_bound(label: Column, alias: Column, letters: Column, short_limit: int) -> Column:
+    """An upper bound of :func:`similarity`: a common part is no longer than the shorter text and
+    holds only characters of the alias (``letters``)."""
     x, y = compact(label), compact(alias)
     lx, ly = F.length(x), F.length(y)
+    shared = lx - F.length(without(x, letters))
+    spaces = F.length(label) - lx
     ratio = F.greatest(
-        200.0 * F.least(lx, ly) / (lx + ly),
-        200.0 * F.least(F.length(label), F.length(alias)) / (F.length(label) + F.length(alias)),
+        200.0 * F.least(shared, ly) / (lx + ly),
+        200.0 * F.least(shared + spaces, F.length(alias)) / (F.length(label) + F.length(alias)),
     )
     return F.when(x == y, 100.0).when(F.least(lx, ly) <= short_limit, 0.0).otherwise(ratio)
 
 
 class TitleBound:
-    """Says without scoring whether a normal form can reach a score against any alias.
+    """Says from counts of characters whether a title can reach a score against any alias.
 
-    Characters that occur in no alias cannot be part of a match, so for every length there is
-    a largest number of such characters beyond which the score is out of reach.
+    A title has *known* characters, letters and digits that occur in some alias, and *foreign*
+    ones that occur in none. Only known characters and the spaces between words can be part of a
+    match, and a text of n letters has fewer than n spaces. So for every number of known characters
+    there is a largest number of foreign ones beyond which the score is out of reach. Texts with
+    other than printable ASCII characters are not judged (``open``).
     """
 
     def __init__(self, aliases: Sequence[str], score: float):
-        self.letters = "".join(sorted({" ", *"".join(aliases)}))
-        self.direct = self._allowed({len(a.replace(" ", "")) for a in aliases}, score)
-        self.spaced = self._allowed({len(a) for a in aliases}, score)
-        self.longest = max(len(self.direct), len(self.spaced)) - 1
-        self.most_foreign = max(0, *self.direct, *self.spaced)
-
-    @staticmethod
-    def _allowed(lengths: set[int], score: float) -> list[int]:
-        longest = int(max(lengths) * (200 / score - 1)) + 1
-        allowed = []
-        for size in range(longest + 1):
-            # Score reachable with n usable characters against an alias of length m.
-            spare = [
-                size - n
-                for m in lengths
-                for n in range(size + 1)
-                if n <= m and 200 * n >= score * (size + m) - 1e-6
+        letters = {c for c in "".join(aliases) if c.isalnum()}
+        ascii_marks = {chr(c) for c in range(128) if chr(c).isalnum()}
+        self.known_marks = "".join(sorted(letters | {c.upper() for c in letters if c.isascii()}))
+        self.foreign_marks = "".join(sorted(c for c in ascii_marks if c.lower() not in letters))
+        compact_sizes = {len(a.replace(" ", "")) for a in aliases}
+        spaced_sizes = {len(a) for a in aliases}
+        self.score = score
+        self.longest = int(max(spaced_sizes) * (200 / score - 1)) + 1
+        sizes = range(self.longest + 1)
+        self.limits = [
+            max((f for f in sizes if self._possible(k, f, compact_sizes, spaced_sizes, score)), default=-1) for k in sizes
+        ]
+        self.most_foreign = max(0, *self.limits)
+        self.aliases = json.dumps(
+            [
+                {"letters": "".join(sorted({*a, *a.upper()} - {" "})), "compact": len(a.replace(" ", "")), "spaced": len(a)}
+                for a in sorted(set(aliases))
             ]
-            allowed.append(max(spare, default=-1))
-        return allowed
-
-    def foreign(self, text: Column) -> Column:
-        """Number of characters no alias has."""
-        return F.length(F.translate(text, self.letters, ""))
-
-    def within(self, text: Column) -> Column:
-        """The text, or a text it is a part of, can still reach the score."""
-        size = F.length(compact(text))
-        return (text != "") & (size <= self.longest) & (self.foreign(text) <= self.most_foreign)
-
-    def reaches(self, text: Column) -> Column:
-        def fits(table: list[int], size: Column) -> Column:
-            limits = F.array(*[F.lit(n) for n in table])
-            return F.coalesce(self.foreign(text) <= F.get(limits, size), F.lit(False))
+        )
 
-        return (text != "") & (
-            fits(self.direct, F.length(compact(text))) | fits(self.spaced, F.length(text))
+    @staticmethod
+    def _possible(known: int, foreign: int, compact_sizes: set[int], spaced_sizes: set[int], score: float) -> bool:
+        size = known + foreign
+
+        def reaches(common: int, total: int) -> bool:
+            return 200 * common >= score * total - 1e-6
+
+        if any(reaches(min(known, m), size + m) for m in compact_sizes):
+            return True
+        spaces = range(size)
+        return any(reaches(min(known + n, m), size + n + m) for m in spaced_sizes for n in spaces)
+
+    def counted(self, text: Column) -> Column:
+        """``struct<raw, known, foreign, open>`` of a title."""
+        return F.struct(
+            text.alias("raw"),
+            (F.length(text) - F.length(F.translate(text, self.known_marks, ""))).alias("known"),
+            (F.length(text) - F.length(F.translate(text, self.foreign_marks, ""))).alias("foreign"),
+            text.rlike(r"[^\x20-\x7E]").alias("open"),
         )
+
+    def reaches(self, known: Column, foreign: Column, open_text: Column) -> Column:
+        """The title can reach the score."""
+        limits = F.expr(f"array({', '.join(map(str, self.limits))})")
+        return open_text | F.coalesce(foreign <= F.get(limits, known), F.lit(False))
+
+    def within(self, part: Column) -> Column:
+        """The title, or one it is a part of, can reach the score."""
+        small = (part["known"] <= self.longest) & (part["foreign"] <= self.most_foreign)
+        return F.coalesce(part["open"] | small, F.lit(False))
+
+    def reaches_alias(self, raw: Column, size: Column) -> Column:
+        """Sharper and dearer than ``reaches``: some alias shares enough characters with the title
+        of ``size`` letters and digits."""
+
+        def close(a: Column) -> Column:
+            shared = F.length(raw) - F.length(without(raw, a["letters"]))
+            spaces = F.least(F.greatest(a["spaced"] - shared, F.lit(0)), F.greatest(size - 1, F.lit(0)))
+            direct = 200 * F.least(shared, a["compact"]) >= self.score * (size + a["compact"]) - 1e-6
+            spaced = 200 * F.least(shared + spaces, a["spaced"]) >= self.score * (size + spaces + a["spaced"]) - 1e-6
+            return direct | spaced
+
+        aliases = F.from_json(F.lit(self.aliases), "array<struct<letters:string,compact:int,spaced:int>>")
+        return F.exists(aliases, close)

@@ -5,80 +5,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridwork.config import JobConfig
-from gridwork.functions.cells import nonempty, strip, usable
-from gridwork.functions.labels import compact, first_title, fold_ascii, folded, is_ascii, title_candidates
+from gridwork.functions.cells import nonempty, strip
+from gridwork.functions.labels import compact, first_title, folded
 from gridwork.operators.matching import score_titles, title_bound, winners
-from gridwork.operators.ordered import chunk_of, last_before
-from gridwork.session import settle
+from gridwork.operators.ordered import CHUNK_ROWS, chunk_of, last_before
+from gridwork.session import broadcast_if_small, computed_once, settle
 
 SHEET = ["file", "sheet"]
 ROW = [*SHEET, "row_no"]
 
 
-def _row_texts(grid: DataFrame, cfg: JobConfig) -> DataFrame:
-    """Rows that can take part in a header, judged by text lengths and letters alone.
+def _row_parts(grid: DataFrame, cfg: JobConfig) -> DataFrame:
+    """Rows that can take part in a header, judged by counts of characters alone.
 
     The filter is exact: a row it drops cannot reach the match thresholds. It keeps nearly all
-    data rows out of the title scoring and its shuffles.
+    data rows out of the title scoring, and it costs two character counts per cell.
     """
     bound = title_bound(cfg)
-
-    def any_candidate(test):
-        def check(text: Column) -> Column:
-            titles = title_candidates(text, cfg.text_mode, cfg.max_prefix_lines)
-            return F.coalesce(F.exists(titles, lambda t: ~is_ascii(t) | test(fold_ascii(t))), F.lit(False))
-
-        return check
-
-    texts = F.transform("cells", lambda c: F.when(nonempty(c), c["v"]))
-    strings = F.transform("cells", lambda c: F.coalesce(c["t"] == "text", F.lit(False)))
-    numeric = F.transform(
-        "cells", lambda c, i: F.when(usable(c) & strip(c["v"]).rlike(r"^[0-9]+(\.[0-9]+)?$"), i)
-    )
-    rows = grid.select(
-        *ROW,
-        texts.alias("texts"),
-        strings.alias("strings"),
-        F.filter(numeric, lambda i: i.isNotNull()).alias("numeric_cols"),
+    parts = F.transform(
+        "cells",
+        lambda c: F.when(
+            nonempty(c), bound.counted(c["v"]).withField("text", F.coalesce(c["t"] == "text", F.lit(False)))
+        ),
     )
-    rows = rows.withColumn("plausible", F.transform("texts", any_candidate(bound.reaches)))
-    partial = F.size(F.filter("texts", any_candidate(bound.within)))
-    rows = rows.withColumn("titles_possible", F.size(F.filter("plausible", lambda p: p)))
-    rows = rows.withColumn("parts_possible", partial)
+    rows = grid.select(*ROW, computed_once(parts).alias("parts"))
+    possible = F.size(F.filter("parts", lambda p: bound.reaches(p["known"], p["foreign"], p["open"])))
+    rows = rows.withColumn("titles_possible", computed_once(possible))
     if 2 in cfg.header_heights:
-        return rows.where(F.col("parts_possible") >= 1)
+        return rows.where(F.exists("parts", bound.within))
     return rows.where(F.col("titles_possible") >= cfg.min_header_matches)
 
 
 def _row_pairs(rows: DataFrame, cfg: JobConfig) -> DataFrame:
-    """Consecutive rows whose joined titles can reach enough matches. Joined on the row number,
-    a unique key, so long sheets spread like any other."""
-    bound, mode = title_bound(cfg), cfg.text_mode
-
-    def open_text(text: Column) -> Column:
-        several = F.size(title_candidates(text, mode, cfg.max_prefix_lines)) > 1
-        return F.coalesce(several | ~is_ascii(text), F.lit(False))
-
-    def joined_possible(upper: Column, lower: Column) -> Column:
-        joined = F.concat_ws(" ", first_title(upper, mode), first_title(lower, mode))
-        single = F.coalesce(first_title(upper, mode) == first_title(lower, mode), F.lit(False))
-        text = F.when(single, first_title(upper, mode)).otherwise(joined)
-        return open_text(upper) | open_text(lower) | bound.reaches(fold_ascii(text))
-
-    lower = rows.select(
-        *SHEET,
-        (F.col("row_no") - 1).alias("row_no"),
-        F.col("texts").alias("lower"),
-        F.col("strings").alias("lower_strings"),
-        F.col("parts_possible").alias("lower_parts"),
-    )
-    enough = F.col("parts_possible") + F.col("lower_parts") >= cfg.min_header_matches
-    paired = rows.join(lower, ROW).where(enough)
-    possible = F.zip_with("texts", "lower", lambda u, l: F.coalesce(joined_possible(u, l), F.lit(False)))
-    count = F.size(F.filter(possible, lambda p: p))
-    return paired.where(count >= cfg.min_header_matches).select(
-        *ROW, "texts", "strings", "lower", "lower_strings", "numeric_cols"
+    """Consecutive rows whose joined titles can reach enough matches.
+
+    The row below is found inside a chunk of its sheet; the first row of a chunk is also sent to
+    the chunk before it. One shuffle, and long sheets are split.
+    """
+    bound = title_bound(cfg)
+    chunk = chunk_of(F.col("row_no"))
+    edge = F.col("row_no") % CHUNK_ROWS == 0
+    homes = F.when(edge, F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
+    spread = rows.select(*ROW, "parts", F.explode(homes).alias("chunk"))
+    inside = Window.partitionBy(*SHEET, "chunk").orderBy("row_no")
+    below = F.lead(F.struct("row_no", "parts")).over(inside)
+    paired = spread.withColumn("below", below).where(
+        (F.col("below.row_no") == F.col("row_no") + 1) & (chunk_of(F.col("row_no")) == F.col("chunk"))
     )
+    paired = paired.select(*ROW, F.col("parts"), F.col("below.parts").alias("lower"))
+
+    def joined(upper: Column, lower: Column) -> Column:
+        known = F.coalesce(upper["known"], F.lit(0)) + F.coalesce(lower["known"], F.lit(0))
+        foreign = F.coalesce(upper["foreign"], F.lit(0)) + F.coalesce(lower["foreign"], F.lit(0))
+        opened = F.coalesce(upper["open"], F.lit(False)) | F.coalesce(lower["open"], F.lit(False))
+        same = F.coalesce(
+            (upper["raw"] == lower["raw"]) & bound.reaches(upper["known"], upper["foreign"], upper["open"]), F.lit(False)
+        )
+        return bound.reaches(known, foreign, opened) | same
+
+    def size(part: Column) -> Column:
+        return F.coalesce(part["known"] + part["foreign"], F.lit(0))
+
+    def close(upper: Column, lower: Column) -> Column:
+        raw = F.concat_ws("", upper["raw"], lower["raw"])
+        opened = F.coalesce(upper["open"], F.lit(False)) | F.coalesce(lower["open"], F.lit(False))
+        same = (upper["raw"] == lower["raw"]) & bound.reaches_alias(upper["raw"], size(upper))
+        return opened | bound.reaches_alias(raw, size(upper) + size(lower)) | F.coalesce(same, F.lit(False))
+
+    enough = cfg.min_header_matches
+    for test in (joined, close):
+        count = F.size(F.filter(F.zip_with("parts", "lower", test), lambda p: p))
+        paired = paired.withColumn("likely", computed_once(count)).where(F.col("likely") >= enough)
+    return paired.drop("likely")
 
 
 def _qualified(candidates: DataFrame, cfg: JobConfig) -> DataFrame:
@@ -98,38 +96,46 @@ def _qualified(candidates: DataFrame, cfg: JobConfig) -> DataFrame:
     return candidates.where(keep).withColumn("distance", distance).withColumn("quality", quality)
 
 
+def _numeric_columns(parts: str) -> Column:
+    """Columns of a row that hold a plain number."""
+    numbers = F.transform(parts, lambda p, i: F.when(strip(p["raw"]).rlike(r"^[0-9]+(\.[0-9]+)?$"), i))
+    return F.filter(numbers, lambda i: i.isNotNull())
+
+
 def _single_row_headers(rows: DataFrame, titles: DataFrame) -> DataFrame:
-    cells = rows.select(*ROW, "texts", "plausible", "numeric_cols", F.posexplode("texts").alias("col", "raw"))
-    cells = cells.where(F.get("plausible", "col"))
+    cells = rows.select(*ROW, "parts", F.posexplode("parts").alias("col", "part"))
+    cells = cells.where(F.col("part").isNotNull()).withColumn("raw", F.col("part.raw"))
     hit = F.struct("col", "target", "score")
+    matched = broadcast_if_small(titles.where(F.col("target").isNotNull()).select("raw", "target", "score"))
     # Grouped by row: a list holds the cells of one row.
-    found = cells.join(titles.select("raw", "target", "score"), "raw").groupBy(*ROW).agg(
-        F.collect_list(hit).alias("hits"),
-        F.first("texts").alias("texts"),
-        F.first("numeric_cols").alias("numeric_cols"),
+    found = cells.join(matched, "raw").groupBy(*ROW).agg(
+        F.collect_list(hit).alias("hits"), F.first("parts").alias("parts")
     )
     columns = F.transform(
-        "texts", lambda t, i: F.when(t.isNotNull(), F.struct(i.alias("col"), t.alias("compare"), strip(t).alias("raw")))
+        "parts",
+        lambda p, i: F.when(
+            p.isNotNull(), F.struct(i.alias("col"), p["raw"].alias("compare"), strip(p["raw"]).alias("raw"))
+        ),
     )
     return found.select(
         *ROW,
         F.lit(1).alias("height"),
         winners(F.col("hits")).alias("winners"),
         F.filter(columns, lambda c: c.isNotNull()).alias("titles"),
-        "numeric_cols",
+        _numeric_columns("parts").alias("numeric_cols"),
     )
 
 
 def _two_row_headers(pairs: DataFrame, titles: DataFrame, cfg: JobConfig) -> DataFrame:
     mode = cfg.text_mode
-    columns = F.arrays_zip("texts", "strings", "lower", "lower_strings")
-    cells = pairs.select(*ROW, "numeric_cols", F.posexplode(columns).alias("col", "c")).select(
+    both = F.posexplode(F.zip_with("parts", "lower", lambda u, l: F.struct(u.alias("u"), l.alias("l"))))
+    cells = pairs.select(*ROW, _numeric_columns("parts").alias("numeric_cols"), both.alias("col", "c")).select(
         *ROW,
         "numeric_cols",
         "col",
-        F.col("c.texts").alias("upper_raw"),
-        F.col("c.lower").alias("lower_raw"),
-        (F.col("c.strings") & F.col("c.lower_strings")).alias("both_text"),
+        F.col("c.u.raw").alias("upper_raw"),
+        F.col("c.l.raw").alias("lower_raw"),
+        (F.col("c.u.text") & F.col("c.l.text")).alias("both_text"),
     )
     cells = cells.where(F.col("upper_raw").isNotNull() | F.col("lower_raw").isNotNull())
     for side in ("upper", "lower"):
@@ -174,14 +180,17 @@ def _two_row_headers(pairs: DataFrame, titles: DataFrame, cfg: JobConfig) -> Dat
 
 def header_candidates(grid: DataFrame, cfg: JobConfig) -> DataFrame:
     """Every row that reads like a header, with its best height, in one pass over the grid."""
-    rows = _row_texts(grid, cfg)
+    rows = _row_parts(grid, cfg)
     single = rows.where(F.col("titles_possible") >= cfg.min_header_matches)
-    raws = single.select(F.explode(F.filter("texts", lambda t: t.isNotNull())).alias("raw"))
+    bound = title_bound(cfg)
+    likely = F.filter("parts", lambda p: bound.reaches(p["known"], p["foreign"], p["open"]))
+    raws = single.select(F.explode(likely).alias("part"))
     pairs = None
     if 2 in cfg.header_heights:
         pairs = settle(_row_pairs(rows, cfg))
-        for side in ("texts", "lower"):
-            raws = raws.union(pairs.select(F.explode(F.filter(side, lambda t: t.isNotNull())).alias("raw")))
+        for side in ("parts", "lower"):
+            raws = raws.union(pairs.select(F.explode(side).alias("part")))
+    raws = raws.where(F.col("part").isNotNull()).select("part.raw")
     titles = settle(score_titles(raws.distinct(), cfg, full=False))
     kinds = []
     for order, height in enumerate(cfg.header_heights):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwork.config import JobConfig
@@ -28,6 +31,7 @@ def tall_header_text(height: Column) -> Column:
     return F.format_string("%d EXCEL SATIRI; HÜCRE İÇİ AYIKLAMA", height)
 
 
+@lru_cache(maxsize=16)
 def title_bound(cfg: JobConfig) -> TitleBound:
     """Bound at the lowest threshold any declared column has."""
     aliases = [fold_label(a) for spec in cfg.schema for a in (spec.name, *spec.aliases)]
@@ -36,17 +40,14 @@ def title_bound(cfg: JobConfig) -> TitleBound:
 
 def _alias_array(cfg: JobConfig) -> Column:
     """The alias dimension. Its size is that of the declared schema, so it travels as a literal."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(spec.name).alias("target"),
-                F.lit(fold_label(alias)).alias("alias"),
-                F.lit(float(cfg.threshold_of(spec))).alias("threshold"),
-            )
-            for spec in cfg.schema
-            for alias in (spec.name, *spec.aliases)
-        ]
-    )
+    rows = []
+    for spec in cfg.schema:
+        for alias in map(fold_label, (spec.name, *spec.aliases)):
+            letters = "".join(sorted(set(alias) - {" "}))
+            threshold = float(cfg.threshold_of(spec))
+            rows.append({"target": spec.name, "alias": alias, "letters": letters, "threshold": threshold})
+    shape = "array<struct<target:string,alias:string,letters:string,threshold:double>>"
+    return F.from_json(F.lit(json.dumps(rows)), shape)
 
 
 def score_titles(titles: DataFrame, cfg: JobConfig, full: bool) -> DataFrame:
@@ -64,7 +65,7 @@ def score_titles(titles: DataFrame, cfg: JobConfig, full: bool) -> DataFrame:
         # Below this score an alias neither wins nor comes close enough to make the winner ambiguous.
         floor = min(cfg.threshold_of(spec) for spec in cfg.schema) - cfg.margin
         norm, short = F.col("norm"), cfg.short_limit
-        aliases = F.filter(aliases, lambda a: score_bound(norm, a["alias"], short) >= F.lit(floor))
+        aliases = F.filter(aliases, lambda a: score_bound(norm, a["alias"], a["letters"], short) >= F.lit(floor))
     pairs = prefixes.select("raw", "prefix", "norm", F.explode(aliases).alias("a"))
     scored = pairs.select(
         "raw",

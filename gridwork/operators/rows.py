@@ -10,7 +10,7 @@ from gridwork.functions.labels import fold_label, folded
 from gridwork.operators.headers import ROW, SHEET
 from gridwork.operators.mapping import named_cells
 from gridwork.operators.ordered import last_before
-from gridwork.session import settle
+from gridwork.session import computed_once, settle
 
 FACTS = ["n_usable", "first_usable", "any_filled", "any_key", "id_cell"]
 
@@ -103,7 +103,7 @@ def judge_rows(rows: DataFrame, cfg: JobConfig) -> DataFrame:
         rows = _judge_filled(rows, cfg)
         return rows.where(~F.col("blank")).drop("blank", "lacking")
     facts = _facts(rows.where(~F.col("blank")), cfg)
-    judged = facts.withColumn("reason", _reason(cfg, {f: F.col(f) for f in FACTS}))
+    judged = facts.withColumn("reason", computed_once(_reason(cfg, {f: F.col(f) for f in FACTS})))
     judged = judged.drop(*FACTS, "blank", "lacking")
     if not cfg.drop_duplicates:
         return judged

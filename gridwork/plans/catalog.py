@@ -82,7 +82,16 @@ def audit_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fill two columns from above in one sheet that holds every order."""
-    result = harmonize(samples.fill_grid(spark, sf_dir), samples.FILL_CONFIG, keep_rows=False)
+    return _filled(spark, sf_dir, samples.FILL_CONFIG)
+
+
+def fill_down_dependent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sheet under rules that read the filled values, duplicates among them."""
+    return _filled(spark, sf_dir, samples.FILL_DEPENDENT_CONFIG)
+
+
+def _filled(spark: SparkSession, sf_dir: str, cfg: JobConfig) -> DataFrame:
+    result = harmonize(samples.fill_grid(spark, sf_dir), cfg, keep_rows=False)
     value = F.col("values")
     return result.record.select(
         "row_no",
@@ -447,7 +456,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         harmonize_workflow, harmonize_records, harmonize_mapping, harmonize_events, group_report, report_totals, row_rules,
-        audit_union, fill_down, sheet_name_groups, header_scores, header_exact, workflow_rollup, completeness, topn_other,
+        audit_union, fill_down, fill_down_dependent, sheet_name_groups, header_scores, header_exact, workflow_rollup, completeness, topn_other,
         top_groups, category_names, dedup_keep_first, cell_cleaning, out_parts, pattern_groups, top_patterns,
         extension_distribution, listing_groups, skip_own_outputs, safe_names, name_splits, worklist_plan, worklist_outcome,
         media_classes, sections_chat, sections_html, eol_normalize, eol_counts, truncate_chunk, field_profile, column_widths,

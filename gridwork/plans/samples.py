@@ -123,7 +123,9 @@ def customer_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_rows(everything, F.col("cells"), F.col("row_no"), file, F.lit("Data"), group=region)
 
 
-FILL_CONFIG = replace(JobConfig(), fill_down=("Entity", "Panel"), require_any=("No.", "Entity", "Panel"), min_row_values=3)
+FILL_CONFIG = replace(JobConfig(), fill_down=("Entity", "Panel"), require_any=("No.",), min_row_values=1)
+# Here a filled value can decide whether a row stays, and with it what later rows are filled with.
+FILL_DEPENDENT_CONFIG = replace(FILL_CONFIG, min_row_values=3, drop_duplicates=True, dedup_keys=("Entity", "Panel", "Reviewer Name"))
 
 
 def fill_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -49,3 +49,17 @@ def settle(df: DataFrame) -> DataFrame:
     survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(settled: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a settled table of short rows after counting it; larger ones are shuffled."""
+    return F.broadcast(settled) if settled.limit(rows + 1).count() <= rows else settled
+
+
+def computed_once(value: Column) -> Column:
+    """Keeps the optimizer from copying a costly expression into every filter and projection above
+    it. The condition always holds; it only makes the column not foldable into others."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
