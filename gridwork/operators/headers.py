@@ -8,7 +8,8 @@ from gridwork.config import JobConfig
 from gridwork.functions.cells import nonempty, strip
 from gridwork.functions.labels import compact, first_title, folded
 from gridwork.operators.matching import score_titles, title_bound, winners
-from gridwork.operators.ordered import CHUNK_ROWS, chunk_of, last_before
+from gridwork.operators import ordered
+from gridwork.operators.ordered import chunk_of, last_before
 from gridwork.session import broadcast_if_small, computed_once, settle
 
 SHEET = ["file", "sheet"]
@@ -44,7 +45,7 @@ def _row_pairs(rows: DataFrame, cfg: JobConfig) -> DataFrame:
     """
     bound = title_bound(cfg)
     chunk = chunk_of(F.col("row_no"))
-    edge = F.col("row_no") % CHUNK_ROWS == 0
+    edge = F.col("row_no") % ordered.CHUNK_ROWS == 0
     homes = F.when(edge, F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
     spread = rows.select(*ROW, "parts", F.explode(homes).alias("chunk"))
     inside = Window.partitionBy(*SHEET, "chunk").orderBy("row_no")

@@ -16,9 +16,9 @@ CHUNK_ROWS = 100_000
 BEFORE = (Window.unboundedPreceding, -1)
 
 
-def chunk_of(position: Column, size: int = CHUNK_ROWS) -> Column:
+def chunk_of(position: Column, size: int | None = None) -> Column:
     """Chunk number of a row position inside its sheet or document."""
-    return F.floor(position / size)
+    return F.floor(position / (size or CHUNK_ROWS))
 
 
 def _carried(df: DataFrame, keys: Sequence[str], chunk: Sequence[str], **summaries: Column) -> DataFrame:

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Call-site capture adds several driver round trips to every column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -1,0 +1,127 @@
+import random
+from dataclasses import replace
+
+import brute
+import pytest
+from gridtools import MISSING, grid, sheet
+
+from gridwork.config import JobConfig
+from gridwork.operators import ordered
+from gridwork.operators.headers import header_candidates
+from gridwork.operators.matching import score_titles
+from gridwork.plans.harmonize import harmonize
+
+ALIASES = [a for s in JobConfig().schema for a in (s.name, *s.aliases)]
+
+
+def mangled(rng, text):
+    letters = list(text)
+    for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+        at = rng.randrange(len(letters) + 1)
+        change = rng.choice("idr")
+        if change == "i":
+            letters.insert(at, rng.choice("aeiounRz1İ -."))
+        elif at < len(letters):
+            letters[at : at + 1] = [] if change == "d" else [rng.choice("aeioxyş")]
+    return "".join(letters)
+
+
+def title(rng):
+    text = mangled(rng, rng.choice(ALIASES))
+    if rng.random() < 0.3:
+        text = rng.choice(["\n", " ", "\r\n", "\n \n"]).join(text.split(" "))
+    if rng.random() < 0.3:
+        text += "\n" + rng.choice(["açıklama", "Name", "see note 12", "No"])
+    if rng.random() < 0.1:
+        text = rng.choice(["--", "x" * 40, "Customer#12", "a b c d e", "***", "total"])
+    return text
+
+
+@pytest.mark.parametrize("full", [True, False])
+def test_title_decisions(spark, full):
+    rng = random.Random(5)
+    titles = sorted({title(rng) for _ in range(600)})
+    cfg = JobConfig()
+    got = {r["raw"]: r for r in score_titles(spark.createDataFrame([(t,) for t in titles], "raw string"), cfg, full).collect()}
+    for t in titles:
+        label, target, points, margin = brute.decide(t, cfg)
+        if full:
+            r = got[t]
+            assert (r["label"], r["target"], r["score"], r["margin"]) == (label, target, points, margin), t
+        elif target is not None or t in got:
+            assert (got[t]["label"], got[t]["target"]) == (label, target), t
+            assert target is None or got[t]["score"] == points
+
+
+@pytest.mark.parametrize("heights", [(1, 2), (2, 1), (1,)])
+def test_header_candidates(spark, heights):
+    rng = random.Random(11)
+    cfg = replace(JobConfig(), header_heights=heights, min_header_matches=2, min_header_anchors=1)
+    sheets, expected = [], {}
+    for s in range(25):
+        rows = []
+        for _ in range(12):
+            kind = rng.random()
+            width = rng.randint(1, 6)
+            if kind < 0.35:
+                rows.append([title(rng) if rng.random() < 0.8 else None for _ in range(width)])
+            elif kind < 0.6:
+                words = [w for a in ALIASES for w in a.split()]
+                rows.append([rng.choice(words) if rng.random() < 0.6 else None for _ in range(width)])
+            else:
+                rows.append([rng.choice(["1", "E12", "Panel 7", "x", None, " "]) for _ in range(width)])
+        sheets.append(sheet(rows, name=f"s{s}"))
+        texts = {n: [v for v in row] for n, row in enumerate(rows, 1)}
+        for n, (height, columns) in brute.candidates(texts, cfg).items():
+            expected[f"s{s}", n] = (height, columns)
+    found = {}
+    for r in header_candidates(grid(spark, *sheets), cfg).collect():
+        found[r["sheet"], r["row_no"]] = (r["height"], {w["target"]: w["col"] for w in r["winners"]})
+    assert found == expected and len(expected) > 20
+
+
+NAMES = ["No.", "Entity", "Panel", "Reviewer Name"]
+
+
+def random_sheets(rng, count, length):
+    pool = {
+        "No.": [1, 2, "001", "total", None, None, MISSING, "x9"],
+        "Entity": ["E1", "E2", "Toplam", None, None, None, " "],
+        "Panel": ["P1", None, None, "", MISSING, 0],
+        "Reviewer Name": ["Ada", "Ali", None, None, False],
+    }
+    sheets = []
+    for s in range(count):
+        rows = []
+        for _ in range(length):
+            if rng.random() < 0.1:
+                rows.append([None, " ", None, None])
+            else:
+                rows.append([rng.choice(pool[n]) for n in NAMES])
+        sheets.append((f"f{s:02d}.xlsx", rows))
+    return sheets
+
+
+RULE_SETS = [
+    dict(fill_down=("Entity", "Panel"), min_row_values=3),
+    dict(fill_down=("No.", "Entity"), min_row_values=2, id_regex=r"[0-9]+", drop_duplicates=True),
+    dict(fill_down=("Panel", "Entity", "Reviewer Name"), id_column=None, min_row_values=2, drop_duplicates=True, dedup_keys=("Entity", "Panel")),
+    dict(required_columns=("Reviewer Name", "Entity"), drop_duplicates=True, require_any=("No.",)),
+]
+
+
+@pytest.mark.parametrize("rules", RULE_SETS)
+def test_rows_one_by_one(spark, rules, monkeypatch):
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 7)
+    cfg = replace(JobConfig(), expected_header_row=1, search_end=1, header_heights=(1,), **rules)
+    sheets = random_sheets(random.Random(len(str(rules))), 12, 40)
+    data = grid(spark, *[sheet([NAMES, *rows], file=f, group="G") for f, rows in sheets])
+    result = harmonize(data, cfg)
+    got = {(r["file"], r["row_no"]): (None, {k: v["v"] if v else None for k, v in r["values"].items()}) for r in result.record.collect()}
+    for r in result.quarantine.collect():
+        got[r["file"], r["row_no"]] = (r["reason"], None)
+    expected = brute.judge(sheets, NAMES, cfg)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in expected.items()}
+    for key, (reason, values) in expected.items():
+        if reason is None:
+            assert got[key][1] == {n: None if v is None else str(v) for n, v in values.items()}, key
