@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwork.functions.cells import BLANKS, CELL, make_cell, strip
 from gridwork.functions.text import limit_text
+from gridwork.session import computed_once
 
 # Document nodes that end a line.
 BLOCK_NODES = (
@@ -47,22 +48,36 @@ def _is_object(value: Column) -> Column:
 
 
 def _scalar_kind(value: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    return F.substring_index(F.schema_of_variant(value), "(", 1)
 
 
 def scalar_text(value: Column) -> Column:
     """Text of a JSON scalar, NULL for null: whole numbers plain, others as floats, True and
     False spelled so."""
-    kind = _scalar_kind(value)
+    return kind_text(value, _scalar_kind(value))
+
+
+def kind_text(value: Column, kind: Column) -> Column:
+    """The same for a scalar of known kind."""
     number = F.try_variant_get(value, "$", "double").cast("string")
     return (
-        F.when(kind == "VOID", F.lit(None).cast("string"))
+        F.when(kind == "STRING", _text(value, "$"))
+        .when(kind == "VOID", F.lit(None).cast("string"))
         .when(kind.isin("DECIMAL", "DOUBLE", "FLOAT"), number)
         .when(kind == "BOOLEAN", F.initcap(_text(value, "$")))
         .otherwise(_text(value, "$"))
     )
 
 
+def shaped(value: Column) -> Column:
+    """``struct<value, kind>``: ``OBJECT``, ``ARRAY`` or the kind of a scalar. An object is told by
+    its keys, so its content is not walked."""
+    kind = (
+        F.when(_is_object(value), "OBJECT").when(_list(value, "$").isNotNull(), "ARRAY").otherwise(_scalar_kind(value))
+    )
+    return F.struct(value.alias("value"), kind.alias("kind"))
+
+
 def document_text(node: Column, depth: int = DOCUMENT_DEPTH) -> Column:
     """Plain text of a document tree. Text nodes follow each other; a block loses its trailing
     blanks and ends its line. Trees nested deeper than ``depth`` are an error, never cut.
@@ -101,19 +116,21 @@ def has_comments(value: Column) -> Column:
     return (F.coalesce(_text(value, "$.type"), F.lit("")) != "doc") & _list(value, "$.comments").isNotNull()
 
 
-def value_parts(value: Column) -> Column:
-    """The values a field consists of: the items of a list (lists in lists unrolled, three levels),
-    the bodies of a comment thread, or the value itself."""
+def value_parts(value: Column, kind: Column) -> Column:
+    """The values a nested field consists of: the items of a list (lists in lists unrolled, three
+    levels), the bodies of a comment thread, or the object itself. NULL for a scalar."""
 
     def unrolled(items: Column) -> Column:
         return F.flatten(F.transform(items, lambda item: F.coalesce(_list(item, "$"), F.array(item))))
 
-    items = unrolled(unrolled(_list(value, "$")))
     bodies = F.transform(
-        F.when(has_comments(value), _list(value, "$.comments")),
+        _list(value, "$.comments"),
         lambda c: F.coalesce(F.try_variant_get(c, "$.body", "variant"), F.parse_json(F.lit("null"))),
     )
-    return F.coalesce(items, bodies, F.array(value))
+    return (
+        F.when(kind == "ARRAY", unrolled(unrolled(_list(value, "$"))))
+        .when(kind == "OBJECT", F.when(has_comments(value), bodies).otherwise(F.array(value)))
+    )
 
 
 def part_text(part: Column, depth: int = DOCUMENT_DEPTH) -> Column:
@@ -136,7 +153,7 @@ def comment_heads(value: Column) -> Column:
     return F.transform(_list(value, "$.comments"), head)
 
 
-def joined_text(value: Column, texts: Column) -> Column:
+def joined_text(value: Column, kind: Column, texts: Column) -> Column:
     """Text of a whole field from the texts of its parts: list items on a line each, comments
     under their heads with a blank line between."""
     items = F.array_join(F.filter(texts, lambda t: t.isNotNull() & (t != "")), "\n")
@@ -145,23 +162,24 @@ def joined_text(value: Column, texts: Column) -> Column:
         texts,
         lambda head, body: F.concat(F.when(head != "", F.concat(head, F.lit("\n"))).otherwise(""), F.coalesce(body, F.lit(""))),
     )
-    return (
-        F.when(_list(value, "$").isNotNull(), items)
-        .when(has_comments(value), F.array_join(comments, "\n\n"))
-        .otherwise(F.get(texts, F.lit(0)))
-    )
+    whole = F.when(has_comments(value), F.array_join(comments, "\n\n")).otherwise(F.get(texts, F.lit(0)))
+    return F.when(kind == "ARRAY", items).when(kind == "OBJECT", whole).otherwise(kind_text(value, kind))
 
 
 def add_value_texts(df: DataFrame, values: list[Column], out: str, depth: int = DOCUMENT_DEPTH) -> DataFrame:
-    """Adds ``out``, the texts of several VARIANT values as one array. The document expression is
-    there once for all of them."""
-    parts = df.withColumn(f"{out}_values", F.array(*values))
-    parts = parts.withColumn(f"{out}_parts", F.transform(f"{out}_values", value_parts))
-    parts = parts.withColumn(
-        f"{out}_texts", F.transform(f"{out}_parts", lambda ps: F.transform(ps, lambda p: part_text(p, depth)))
+    """Adds ``out``, an array of ``struct<kind, text>`` for several VARIANT values. The document
+    expression is there once for all of them, and only nested values reach it."""
+    shapes, nested = f"{out}_shapes", f"{out}_nested"
+    df = df.withColumn(shapes, computed_once(F.array(*[shaped(v) for v in values])))
+    parts = F.transform(shapes, lambda s: value_parts(s["value"], s["kind"]))
+    texts = F.transform(parts, lambda ps: F.transform(ps, lambda p: part_text(p, depth)))
+    df = df.withColumn(nested, texts)
+    joined = F.zip_with(
+        shapes,
+        nested,
+        lambda s, ts: F.struct(s["kind"].alias("kind"), joined_text(s["value"], s["kind"], ts).alias("text")),
     )
-    joined = F.zip_with(f"{out}_values", f"{out}_texts", joined_text)
-    return parts.withColumn(out, joined).drop(f"{out}_parts", f"{out}_texts", f"{out}_values")
+    return df.withColumn(out, computed_once(joined)).drop(shapes, nested)
 
 
 def parse_moment(text: Column) -> Column:
@@ -174,26 +192,34 @@ def parse_day(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "yyyy-M-d"))
 
 
-def value_cell(value: Column, text: Column, kind: str | None) -> Column:
-    """One typed cell from a field value, its text, and the declared type of the field."""
-    nested = _is_object(value) | _list(value, "$").isNotNull()
-    shape = F.when(~nested, _scalar_kind(value))
-    string = F.when(shape == "STRING", _text(value, "$"))
-    cell = F.when(value.isNull() | (shape == "VOID"), make_cell("text", F.lit("")))
-    if kind == "datetime":
-        moment = parse_moment(string)
-        shown = F.concat(
-            F.date_format(moment, "yyyy-MM-dd HH:mm:ss"),
-            F.regexp_replace(F.date_format(moment, ".SSSSSS"), r"^\.000000$", ""),
-        )
-        cell = cell.when(moment.isNotNull(), make_cell("datetime", shown))
-    if kind == "date":
-        day = parse_day(string)
-        cell = cell.when(day.isNotNull(), make_cell("date", F.date_format(day, "yyyy-MM-dd")))
-    cell = cell.when(shape.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), make_cell("int", text))
-    cell = cell.when(shape.isin("DECIMAL", "DOUBLE", "FLOAT"), make_cell("float", text))
-    cell = cell.when(shape == "BOOLEAN", make_cell("bool", text))
-    return cell.otherwise(make_cell("text", limit_text(text))).cast(CELL)
+def _moment_shown(moment: Column) -> Column:
+    micros = F.date_format(moment, ".SSSSSS")
+    return F.concat(F.date_format(moment, "yyyy-MM-dd HH:mm:ss"), F.when(micros != ".000000", micros).otherwise(""))
+
+
+def value_text(shape: Column, declared: str | None) -> Column:
+    """Output text from ``struct<kind, text>`` of a value and the declared type of the field."""
+    kind, text = shape["kind"], shape["text"]
+    string = F.when(kind == "STRING", text)
+    shown = F.when(kind.isNull() | (kind == "VOID"), "")
+    if declared == "datetime":
+        shown = shown.when(parse_moment(string).isNotNull(), _moment_shown(parse_moment(string)))
+    if declared == "date":
+        shown = shown.when(parse_day(string).isNotNull(), F.date_format(parse_day(string), "yyyy-MM-dd"))
+    return shown.otherwise(limit_text(text))
+
+
+def value_cell(shape: Column, declared: str | None) -> Column:
+    """The same as a typed cell."""
+    kind = shape["kind"]
+    string = F.when(kind == "STRING", shape["text"])
+    name = F.when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "int")
+    name = name.when(kind.isin("DECIMAL", "DOUBLE", "FLOAT"), "float").when(kind == "BOOLEAN", "bool")
+    if declared == "datetime":
+        name = name.when(parse_moment(string).isNotNull(), "datetime")
+    if declared == "date":
+        name = name.when(parse_day(string).isNotNull(), "date")
+    return make_cell(name.otherwise("text"), value_text(shape, declared)).cast(CELL)
 
 
 def _mentions(text: Column, words: tuple[str, ...]) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwork.functions.cells import make_cell
-from gridwork.functions.issues import DOCUMENT_DEPTH, add_value_texts, value_cell
+from gridwork.functions.issues import DOCUMENT_DEPTH, add_value_texts, value_cell, value_text
 
 # Names that mean the record key and its address.
 SPECIAL_FIELDS = {
@@ -94,14 +94,13 @@ def flatten_issues(
         rows = add_value_texts(rows, values, "_texts", depth)
     columns = []
     for field in fields:
-        if field.kind == "key":
-            cell = make_cell("text", F.col("key"))
-        elif field.kind == "url":
-            cell = make_cell("text", issue_url(server, F.col("key")))
+        if field.kind == "field":
+            shape = F.get("_texts", F.lit(read.index(field)))
+            value = value_cell(shape, field.type) if typed else value_text(shape, field.type)
         else:
-            place = read.index(field)
-            cell = value_cell(values[place], F.get("_texts", F.lit(place)), field.type)
-        columns.append((cell if typed else cell["v"]).alias(field.header))
+            value = F.col("key") if field.kind == "key" else issue_url(server, F.col("key"))
+            value = make_cell("text", value) if typed else value
+        columns.append(value.alias(field.header))
     return rows.select(*columns)
 
 
@@ -125,6 +124,6 @@ def named_fields(issues: DataFrame, catalogue: DataFrame, requested: list[str])
     wanted = names.where(F.col("name_key").isin(keys))
     long = long_fields(issues).join(wanted, "field_id")
     long = add_value_texts(long, [F.col("value")], "_texts")
-    long = long.select("key", "name_key", F.get("_texts", F.lit(0)).alias("value"))
+    long = long.select("key", "name_key", F.get("_texts", F.lit(0))["text"].alias("value"))
     wide = long.groupBy("key").pivot("name_key", keys).agg(F.first("value"))
     return wide.select("key", *[F.col(f"`{k}`").alias(name) for k, name in zip(keys, requested)])

@@ -16,6 +16,7 @@ from gridwork.operators.ordered import part_numbers
 from gridwork.plans import samples
 from gridwork.plans.harmonize import Harmonized, harmonize
 from gridwork.plans.samples import table
+from gridwork.session import computed_once, settle
 from gridwork.sinks.outputs import audit_lines
 from gridwork.sources import listing
 from gridwork.sources.grid import group_by_sheet_name, merge_formulas
@@ -218,15 +219,17 @@ def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cell_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number formats, long numbers and blanks around text, over all line items."""
-    item = table(spark, sf_dir, "lineitem")
+    item = samples.spread(table(spark, sf_dir, "lineitem"))
     part = F.col("l_partkey")
     value = samples.choose(
         part, samples.whole(part), samples.whole(-part), C.make_cell("float", F.concat(part.cast("string"), F.lit(".0"))),
         C.make_cell("int", F.concat(F.lit("9000000000"), F.lpad(part.cast("string"), 8, "0"))),
         C.text_cell(F.concat(F.lit("\t "), F.col("l_returnflag"), F.lit("\n"))), C.make_cell("float", F.lit("NaN")),
     )
-    clean = C.clean_cell(value, F.when(F.col("l_linenumber") % 2 == 0, "000000").otherwise("General"))
-    shown = item.select(clean["t"].alias("kind"), clean["v"].alias("shown"))
+    number_format = F.when(F.col("l_linenumber") % 2 == 0, "000000").otherwise("General")
+    cells_ = item.select(computed_once(value).alias("cell"), number_format.alias("fmt"))
+    cleaned = cells_.select(computed_once(C.clean_cell(F.col("cell"), F.col("fmt"))).alias("cell"))
+    shown = cleaned.select(F.col("cell.t").alias("kind"), F.col("cell.v").alias("shown"))
     return shown.groupBy("kind", "shown").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -398,7 +401,7 @@ SERVER = "https://tracker.example.com/"
 
 def issue_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = samples.issue_json(spark, sf_dir)
-    fields = flatten.resolve_fields(samples.field_catalogue(issues), REQUESTED)
+    fields = flatten.resolve_fields(settle(samples.field_catalogue(issues)), REQUESTED)
     flat = flatten.flatten_issues(issues, fields, SERVER)
     named = flat.select(*[F.col(c).alias(c.lower().replace(" ", "_")) for c in flat.columns])
     return named.withColumn("status_class", status_class(F.col("status"))).withColumn("priority_class", priority_class(F.col("priority")))
@@ -406,7 +409,7 @@ def issue_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def field_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = samples.issue_json(spark, sf_dir)
-    wide = flatten.named_fields(issues, samples.field_catalogue(issues), ["Summary", "Story Points", "Released", "Labels"])
+    wide = flatten.named_fields(issues, settle(samples.field_catalogue(issues)), ["Summary", "Story Points", "Released", "Labels"])
     return wide.select("key", F.col("Summary").alias("summary"), F.col("Story Points").alias("points"), F.col("Released").alias("released"), F.col("Labels").alias("labels"))
 
 
@@ -435,7 +438,7 @@ def comment_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.struct(bare.alias("author"), F.lit("").alias("created"), F.concat(F.lit("qty "), F.col("l_linenumber")).alias("body"))
     threads = table(spark, sf_dir, "lineitem").select(F.parse_json(F.to_json(F.struct(F.array(first, second).alias("comments")))).alias("v"))
     texts = add_value_texts(threads, [F.col("v")], "texts")
-    return texts.groupBy(F.get("texts", F.lit(0)).alias("thread")).agg(F.count(F.lit(1)).alias("n"))
+    return texts.groupBy(F.get("texts", F.lit(0))["text"].alias("thread")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def formula_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Input with fewer splits than the session has cores, spread over all of them. Large tables
+    have many splits and pass through untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def whole(value: Column) -> Column:
     return make_cell("int", value.cast("string"))
 
@@ -46,7 +53,7 @@ def _titles(titles: list[str | None]) -> Column:
 
 def orders_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as sheets: a file per year, a sheet per quarter, a row per order."""
-    orders = table(spark, sf_dir, "orders").select(
+    orders = spread(table(spark, sf_dir, "orders")).select(
         "o_orderkey",
         "o_custkey",
         "o_orderstatus",
@@ -99,7 +106,7 @@ CUSTOMER_CONFIG = replace(
 def customer_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as sheets, a file per nation, with rows that break each rule in turn."""
     nation = table(spark, sf_dir, "nation")
-    customer = table(spark, sf_dir, "customer")
+    customer = spread(table(spark, sf_dir, "customer"))
     key, kind = F.col("c_custkey"), F.col("c_custkey") % 20
     blank, custom = null_cell(), text_cell(F.lit("c"))
     name, segment = text_cell(F.lit("E")), text_cell(F.col("c_mktsegment"))
@@ -130,7 +137,7 @@ FILL_DEPENDENT_CONFIG = replace(FILL_CONFIG, min_row_values=3, drop_duplicates=T
 
 def fill_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders in one sheet, with gaps in two columns, blank rows and total rows."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     key = F.col("o_orderkey")
     number = F.when(key % 61 == 7, text_cell(F.lit("Total"))).otherwise(whole(key))
     entity = F.when(key % 4 == 0, text_cell(F.concat(F.lit("E"), F.col("o_custkey").cast("string")))).otherwise(null_cell())
@@ -147,7 +154,7 @@ def fill_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def issue_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their customers as nested issue records: ``key, fields`` (JSON text)."""
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    orders, customer = spread(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer")
     both = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     number = F.col("o_orderkey").cast("string")
@@ -222,5 +229,5 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(style == "4", F.concat(F.lit("report_"), F.date_format(day, "yyyy-MM-dd"), F.lit("_v1.2_"), key, F.lit(".tar.gz")))
         .otherwise(F.concat(F.lit("Ölçüm notes-"), key))
     )
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     return orders.select(F.concat(F.col("o_orderstatus"), F.lit("/"), name).alias("path"))
