@@ -42,38 +42,41 @@ def sequence_number(
     )
 
 
-def running_total(
-    df: DataFrame, keys: Sequence[str], chunk: str, position: str, amount: Column, out: str
-) -> DataFrame:
-    """Sum of ``amount`` from the start of the sequence up to and with the row."""
-    counted = df.withColumn("_amount", amount.cast("long"))
-    sums = _carried(counted, keys, [chunk], _sum=F.sum("_amount"))
-    across = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(*BEFORE)
-    offsets = sums.select(*keys, chunk, F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, chunk).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    joined = counted.join(offsets, [*keys, chunk])
-    return joined.withColumn(out, F.col("_offset") + F.sum("_amount").over(inside)).drop("_offset", "_amount")
-
-
 def last_before(
-    df: DataFrame, keys: Sequence[str], chunk: str, position: str, values: dict[str, Column]
+    df: DataFrame,
+    keys: Sequence[str],
+    chunk: str,
+    position: str,
+    values: dict[str, Column],
+    totals: dict[str, Column] | None = None,
 ) -> DataFrame:
     """For every row the latest non-NULL value of each column on a row before it, as
-    ``struct<at, value>`` with the position it comes from."""
+    ``<name>_before: struct<at, value>`` with the position it comes from. ``totals`` adds running
+    sums up to and with the row, in the same pass."""
+    totals = totals or {}
     marked = df
     for name, value in values.items():
         marked = marked.withColumn(
             f"_{name}", F.when(value.isNotNull(), F.struct(F.col(position).alias("at"), value.alias("value")))
         )
-    summary = _carried(marked, keys, [chunk], **{f"_last_{n}": F.max(f"_{n}") for n in values})
+    for name, amount in totals.items():
+        marked = marked.withColumn(f"_{name}", amount.cast("long"))
+    lasts = {f"_last_{n}": F.max(f"_{n}") for n in values}
+    sums = {f"_sum_{n}": F.sum(f"_{n}") for n in totals}
+    summary = _carried(marked, keys, [chunk], **lasts, **sums)
     across = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(*BEFORE)
-    carry = summary.select(*keys, chunk, *[F.max(f"_last_{n}").over(across).alias(f"_carry_{n}") for n in values])
-    inside = Window.partitionBy(*keys, chunk).orderBy(position).rowsBetween(*BEFORE)
-    joined = marked.join(carry, [*keys, chunk])
-    for name in values:
-        latest = F.coalesce(F.max(f"_{name}").over(inside), F.col(f"_carry_{name}"))
-        joined = joined.withColumn(f"{name}_before", latest)
-    return joined.drop(*[f"_{n}" for n in values], *[f"_carry_{n}" for n in values])
+    carry = summary.select(
+        *keys,
+        chunk,
+        *[F.max(f"_last_{n}").over(across).alias(f"_carry_{n}") for n in values],
+        *[F.coalesce(F.sum(f"_sum_{n}").over(across), F.lit(0)).alias(f"_carry_{n}") for n in totals],
+    )
+    inside = Window.partitionBy(*keys, chunk).orderBy(position)
+    before, upto = inside.rowsBetween(*BEFORE), inside.rowsBetween(Window.unboundedPreceding, 0)
+    results = {f"{n}_before": F.coalesce(F.max(f"_{n}").over(before), F.col(f"_carry_{n}")) for n in values}
+    results |= {n: F.col(f"_carry_{n}") + F.sum(f"_{n}").over(upto) for n in totals}
+    joined = marked.join(carry, [*keys, chunk]).withColumns(results)
+    return joined.drop(*[c for n in (*values, *totals) for c in (f"_{n}", f"_carry_{n}")])
 
 
 def next_position(df: DataFrame, keys: Sequence[str], chunk: str, position: str, out: str) -> DataFrame:

@@ -65,5 +65,5 @@ def extension_counts(files: DataFrame, path: str = "path", case_sensitive: bool
     """Files per suffix label, and the number of all files beside it."""
     named = add_patterns(files.select(F.col(path).alias("path")), "path", case_sensitive)
     counts = named.groupBy("extension").agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count").alias("total"))
-    return counts.join(F.broadcast(total)).orderBy(F.desc("count"), "extension")
+    total = counts.agg(F.sum("count"))
+    return counts.withColumn("total", total.scalar()).orderBy(F.desc("count"), "extension")

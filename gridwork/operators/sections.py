@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwork.functions.cells import strip
 from gridwork.functions.text import safe_file_name
-from gridwork.operators.ordered import chunk_of, last_before, running_total
+from gridwork.operators.ordered import chunk_of, last_before
 
 # Paragraphs of a section that are joined into one text; longer sections give several parts.
 PART_PARAGRAPHS = 10_000
@@ -20,9 +20,10 @@ def section_paragraphs(paragraphs: DataFrame, level: int = 1) -> DataFrame:
     """
     parts = paragraphs.withColumn("_chunk", chunk_of(F.col("para_no")))
     is_heading = F.col("level") == level
-    parts = running_total(parts, ["doc_id"], "_chunk", "para_no", is_heading.cast("int"), "section")
     title = F.when(is_heading, strip(F.col("text")))
-    seen = last_before(parts, ["doc_id"], "_chunk", "para_no", {"title": title}).where(F.col("section") > 0)
+    number = {"section": is_heading.cast("int")}
+    seen = last_before(parts, ["doc_id"], "_chunk", "para_no", {"title": title}, number)
+    seen = seen.where(F.col("section") > 0)
     own_title = F.coalesce(title, F.col("title_before.value"))
     return seen.select(
         "doc_id",

@@ -106,9 +106,14 @@ def report_totals(stats: DataFrame, segment: DataFrame, event: DataFrame) -> Dat
         F.count(F.when(F.col("level") == "WARNING", 1)).alias("warnings"),
         F.count(F.when(F.col("level") == "ERROR", 1)).alias("errors"),
     )
-    # Three single rows side by side.
-    row = sums.withColumn("_k", F.lit(1)).join(files.withColumn("_k", F.lit(1)), "_k").join(levels.withColumn("_k", F.lit(1)), "_k")
-    return row.drop("_k").withColumn("completeness", share(F.col("filled"), F.col("possible"))).withColumn(
+    row = sums.withColumns(
+        {
+            "processed_files": files.scalar(),
+            "warnings": levels.select("warnings").scalar(),
+            "errors": levels.select("errors").scalar(),
+        }
+    )
+    return row.withColumn("completeness", share(F.col("filled"), F.col("possible"))).withColumn(
         "verdict", verdict(F.col("errors"), F.col("warnings"), F.col("quarantined"))
     )
 
@@ -136,25 +141,17 @@ def top_categories(counts: DataFrame, limit: int) -> DataFrame:
     order = [F.desc("count"), F.lower("label"), F.col("label")]
     top = counts.orderBy(*order).limit(limit)
     ranked = top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    all_rows = counts.agg(
+    # The label of the rest grows by * until no category is called like it.
+    alike = F.col("label").rlike("^" + OTHER.replace("(", r"\(").replace(")", r"\)") + r"\**$")
+    everything = counts.agg(
         F.sum("count").alias("all"),
         F.count(F.lit(1)).alias("labels"),
-        # The remainder label grows by * until no category is called like it.
-        F.max(F.when(F.col("label").rlike("^" + OTHER.replace("(", r"\(").replace(")", r"\)") + r"\**$"), F.length("label"))).alias("longest"),
-        F.collect_set(F.when(F.col("label").rlike("^" + OTHER.replace("(", r"\(").replace(")", r"\)") + r"\**$"), F.length("label"))).alias("taken"),
-    )
-    kept = top.agg(F.sum("count").alias("kept"))
-    stars = F.get(
-        F.array_except(F.sequence(F.lit(len(OTHER)), F.coalesce("longest", F.lit(len(OTHER))) + 1), F.col("taken")), F.lit(0)
+        F.collect_set(F.when(alike, F.length("label"))).alias("taken"),
     )
-    rest = (
-        all_rows.withColumn("_k", F.lit(1))
-        .join(kept.withColumn("_k", F.lit(1)), "_k")
-        .where(F.col("labels") > limit)
-        .select(
-            F.lit(limit + 1).cast("long").alias("place"),
-            F.rpad(F.lit(OTHER), stars, "*").alias("label"),
-            (F.col("all") - F.col("kept")).alias("count"),
-        )
+    lengths = F.sequence(F.lit(len(OTHER)), F.lit(len(OTHER)) + F.size("taken"))
+    rest = everything.where(F.col("labels") > limit).select(
+        F.lit(limit + 1).cast("long").alias("place"),
+        F.rpad(F.lit(OTHER), F.array_min(F.array_except(lengths, F.col("taken"))), "*").alias("label"),
+        (F.col("all") - top.agg(F.sum("count")).scalar()).alias("count"),
     )
     return ranked.select("place", "label", "count").unionByName(rest)

@@ -107,8 +107,8 @@ def assign_groups(listing: DataFrame, cfg: JobConfig) -> tuple[DataFrame, DataFr
     taken = alike.agg(F.collect_set(F.length("name")).alias("taken"))
     size = len(cfg.root_group)
     free = F.array_except(F.sequence(F.lit(size), F.lit(size) + F.size("taken")), F.col("taken"))
-    name = taken.select(F.rpad(F.lit(cfg.root_group), F.array_min(free), "_").alias("group"))
-    named = roots.withColumn("_k", F.lit(1)).join(name.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    name = taken.select(F.rpad(F.lit(cfg.root_group), F.array_min(free), "_"))
+    named = roots.withColumn("group", name.scalar())
     return inside.unionByName(named.select(*inside.columns)).withColumn("file_ord", folder_order(F.col("path"))), roots.where(F.lit(False))
 
 
