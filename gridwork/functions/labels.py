@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -94,18 +94,30 @@ def without(text: Column, letters: Column) -> Column:
     return F.call_function("translate", text, letters, F.lit(""))
 
 
-def score_bound(label: Column, alias: Column, letters: Column, short_limit: int) -> Column:
-    """An upper bound of :func:`similarity`: a common part is no longer than the shorter text and
-    holds only characters of the alias (``letters``)."""
-    x, y = compact(label), compact(alias)
-    lx, ly = F.length(x), F.length(y)
-    shared = lx - F.length(without(x, letters))
-    spaces = F.length(label) - lx
-    ratio = F.greatest(
-        200.0 * F.least(shared, ly) / (lx + ly),
-        200.0 * F.least(shared + spaces, F.length(alias)) / (F.length(label) + F.length(alias)),
+def let(value: Column, test: Callable[[Column], Column]) -> Column:
+    """A condition on a value that is worked out once."""
+    return F.exists(F.array(value), test)
+
+
+def can_score(label: Column, tight: Column, alias: Column, short_limit: int, floor: float) -> Column:
+    """False only if :func:`similarity` of a normal form (``tight`` without its spaces) and an
+    alias stays below ``floor``: a common part is no longer than the shorter text and holds only
+    characters of the alias. ``alias`` is ``struct<tight, letters, size, tight_size, ...>``."""
+    size, tight_size = F.length(label), F.length(tight)
+    size_sum, tight_sum = size + alias["size"], tight_size + alias["tight_size"]
+    near = (200 * F.least(tight_size, alias["tight_size"]) >= floor * tight_sum) | (
+        200 * F.least(size, alias["size"]) >= floor * size_sum
+    )
+
+    def close(shared: Column) -> Column:
+        direct = 200 * F.least(shared, alias["tight_size"]) >= floor * tight_sum - 1e-6
+        spaced = 200 * F.least(shared + size - tight_size, alias["size"]) >= floor * size_sum - 1e-6
+        return direct | spaced
+
+    open_case = (F.least(tight_size, alias["tight_size"]) > short_limit) & near
+    return (tight == alias["tight"]) | (
+        open_case & let(tight_size - F.length(without(tight, alias["letters"])), close)
     )
-    return F.when(x == y, 100.0).when(F.least(lx, ly) <= short_limit, 0.0).otherwise(ratio)
 
 
 class TitleBound:
@@ -175,11 +187,17 @@ class TitleBound:
         of ``size`` letters and digits."""
 
         def close(a: Column) -> Column:
-            shared = F.length(raw) - F.length(without(raw, a["letters"]))
-            spaces = F.least(F.greatest(a["spaced"] - shared, F.lit(0)), F.greatest(size - 1, F.lit(0)))
-            direct = 200 * F.least(shared, a["compact"]) >= self.score * (size + a["compact"]) - 1e-6
-            spaced = 200 * F.least(shared + spaces, a["spaced"]) >= self.score * (size + spaces + a["spaced"]) - 1e-6
-            return direct | spaced
+            near = (200 * F.least(size, a["compact"]) >= self.score * (size + a["compact"])) | (
+                200 * F.least(2 * size, a["spaced"]) >= self.score * (size + a["spaced"])
+            )
+
+            def enough(shared: Column) -> Column:
+                spaces = F.least(F.greatest(a["spaced"] - shared, F.lit(0)), F.greatest(size - 1, F.lit(0)))
+                direct = 200 * F.least(shared, a["compact"]) >= self.score * (size + a["compact"]) - 1e-6
+                spaced = 200 * F.least(shared + spaces, a["spaced"]) >= self.score * (size + spaces + a["spaced"]) - 1e-6
+                return direct | spaced
+
+            return near & let(F.length(raw) - F.length(without(raw, a["letters"])), enough)
 
         aliases = F.from_json(F.lit(self.aliases), "array<struct<letters:string,compact:int,spaced:int>>")
         return F.exists(aliases, close)

@@ -74,7 +74,7 @@ def _row_pairs(rows: DataFrame, cfg: JobConfig) -> DataFrame:
         return opened | bound.reaches_alias(raw, size(upper) + size(lower)) | F.coalesce(same, F.lit(False))
 
     enough = cfg.min_header_matches
-    for test in (joined, close):
+    for test in (joined, lambda upper, lower: joined(upper, lower) & close(upper, lower)):
         count = F.size(F.filter(F.zip_with("parts", "lower", test), lambda p: p))
         paired = paired.withColumn("likely", computed_once(count)).where(F.col("likely") >= enough)
     return paired.drop("likely")

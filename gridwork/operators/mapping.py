@@ -12,7 +12,7 @@ from gridwork.functions.cells import column_letters, nonempty, strip
 from gridwork.functions.labels import fold_label, folded
 from gridwork.operators.headers import SHEET
 from gridwork.operators.matching import CONFLICT, score_titles, tall_header_text
-from gridwork.operators.ordered import chunk_of, next_position, sequence_number
+from gridwork.operators.ordered import block_of, chunk_of, next_position, sequence_number
 
 HEADER = [*SHEET, "header_row"]
 # Fixed value: title of a column without one.
@@ -125,19 +125,19 @@ def extra_names(columns: DataFrame, cfg: JobConfig) -> DataFrame:
 
 
 def directory(segment: DataFrame, payload: DataFrame) -> DataFrame:
-    """Segments spread over the row chunks they touch, so that rows join on sheet *and* chunk
-    and a sheet of any length is split."""
-    first = chunk_of(F.col("header_row"))
-    last = chunk_of(F.col("end_row") - 1)
-    return segment.join(payload, HEADER, "left").withColumn("chunk", F.explode(F.sequence(first, last)))
+    """Segments spread over the row blocks they touch, so that rows join on sheet *and* block: a
+    sheet of any length is split, and a row meets only the headers near it."""
+    first, last = block_of(F.col("header_row")), block_of(F.col("end_row") - 1)
+    return segment.join(payload, HEADER, "left").withColumn("block", F.explode(F.sequence(first, last)))
 
 
 def place_rows(grid: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Every row below a header with the segment that rules it. Headers and what lies above the
     first one drop out."""
-    rows = grid.withColumn("chunk", chunk_of(F.col("row_no"))).drop("group", "file_ord", "sheet_ord")
-    below = (F.col("row_no") >= F.col("header_row") + F.col("height")) & (F.col("row_no") < F.col("end_row"))
-    return rows.join(catalogue, [*SHEET, "chunk"]).where(below)
+    row = F.col("row_no")
+    rows = grid.withColumns({"chunk": chunk_of(row), "block": block_of(row)}).drop("group", "file_ord", "sheet_ord")
+    below = (row >= F.col("header_row") + F.col("height")) & (row < F.col("end_row"))
+    return rows.join(catalogue, [*SHEET, "block"]).where(below)
 
 
 def segment_mapping(columns: DataFrame, cfg: JobConfig) -> DataFrame:

@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridwork.config import JobConfig
 from gridwork.functions.labels import (
     TitleBound,
+    can_score,
+    compact,
     first_title,
     fold_label,
     folded,
-    score_bound,
     similarity,
     title_candidates,
 )
+from gridwork.session import computed_once
 
 # Outcomes of a title and the words that say which part of it was compared.
 EXACT, SIMILAR, AMBIGUOUS, UNMATCHED, CONFLICT = "TAM", "SEZGİSEL", "BELİRSİZ", "EŞLEŞMEDİ", "ÇAKIŞMA"
@@ -43,11 +45,20 @@ def _alias_array(cfg: JobConfig) -> Column:
     rows = []
     for spec in cfg.schema:
         for alias in map(fold_label, (spec.name, *spec.aliases)):
-            letters = "".join(sorted(set(alias) - {" "}))
-            threshold = float(cfg.threshold_of(spec))
-            rows.append({"target": spec.name, "alias": alias, "letters": letters, "threshold": threshold})
-    shape = "array<struct<target:string,alias:string,letters:string,threshold:double>>"
-    return F.from_json(F.lit(json.dumps(rows)), shape)
+            tight = alias.replace(" ", "")
+            rows.append(
+                {
+                    "target": spec.name,
+                    "alias": alias,
+                    "tight": tight,
+                    "letters": "".join(sorted(set(tight))),
+                    "size": len(alias),
+                    "tight_size": len(tight),
+                    "threshold": float(cfg.threshold_of(spec)),
+                }
+            )
+    shape = "target:string,alias:string,tight:string,letters:string,size:int,tight_size:int,threshold:double"
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{shape}>>")
 
 
 def score_titles(titles: DataFrame, cfg: JobConfig, full: bool) -> DataFrame:
@@ -64,8 +75,9 @@ def score_titles(titles: DataFrame, cfg: JobConfig, full: bool) -> DataFrame:
     if not full:
         # Below this score an alias neither wins nor comes close enough to make the winner ambiguous.
         floor = min(cfg.threshold_of(spec) for spec in cfg.schema) - cfg.margin
-        norm, short = F.col("norm"), cfg.short_limit
-        aliases = F.filter(aliases, lambda a: score_bound(norm, a["alias"], a["letters"], short) >= F.lit(floor))
+        prefixes = prefixes.withColumn("tight", computed_once(compact(F.col("norm"))))
+        norm, tight = F.col("norm"), F.col("tight")
+        aliases = F.filter(aliases, lambda a: can_score(norm, tight, a, cfg.short_limit, floor))
     pairs = prefixes.select("raw", "prefix", "norm", F.explode(aliases).alias("a"))
     scored = pairs.select(
         "raw",

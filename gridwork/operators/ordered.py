@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK_ROWS = 100_000
+# Rows of a sheet that look up their header together; a block rarely holds more than a few headers.
+BLOCK_ROWS = 10_000
 BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -21,6 +23,11 @@ def chunk_of(position: Column, size: int | None = None) -> Column:
     return F.floor(position / (size or CHUNK_ROWS))
 
 
+def block_of(position: Column) -> Column:
+    """Block number of a row position inside its sheet."""
+    return F.floor(position / BLOCK_ROWS)
+
+
 def _carried(df: DataFrame, keys: Sequence[str], chunk: Sequence[str], **summaries: Column) -> DataFrame:
     """One row per chunk with its summaries. It is small: rows / CHUNK_ROWS plus sequences."""
     return df.groupBy(*keys, *chunk).agg(*[value.alias(name) for name, value in summaries.items()])

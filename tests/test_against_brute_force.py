@@ -113,6 +113,7 @@ RULE_SETS = [
 @pytest.mark.parametrize("rules", RULE_SETS)
 def test_rows_one_by_one(spark, rules, monkeypatch):
     monkeypatch.setattr(ordered, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 5)
     cfg = replace(JobConfig(), expected_header_row=1, search_end=1, header_heights=(1,), **rules)
     sheets = random_sheets(random.Random(len(str(rules))), 12, 40)
     data = grid(spark, *[sheet([NAMES, *rows], file=f, group="G") for f, rows in sheets])
