@@ -24,7 +24,7 @@ from gridwork.operators.mapping import (
 )
 from gridwork.operators.matching import AMBIGUOUS, CONFLICT
 from gridwork.operators.rows import judge_rows, name_cells
-from gridwork.session import settle
+from gridwork.session import broadcast_if_small, settle
 from gridwork.sources.grid import apply_sheet_rules
 
 EVENT = ["level", "code", "group", "file", "sheet", "row_no", "detail"]
@@ -87,12 +87,14 @@ def harmonize(
 
     known = segment.join(columns.groupBy(*HEADER).agg(F.collect_list("col").alias("columns")), HEADER, "left")
     known = known.select(*[c for c in segment.columns if c not in ("winners", "titles", "quality")], "columns")
-    stray = settle(untitled_columns(place_rows(grid, directory(known, known.select(*HEADER)))))
+    lookup = settle(directory(known, known.select(*HEADER)))
+    stray = settle(untitled_columns(place_rows(grid, broadcast_if_small(lookup, F.size("columns")))))
     extras = settle(_extras(columns, stray, cfg))
     mapped = settle(_outputs(columns, stray, extras, cfg))
 
     lean = segment.drop("winners", "titles", "quality", "matched", "seg_no")
-    placed = place_rows(grid, directory(lean, segment_mapping(mapped, cfg)))
+    lookup = settle(directory(lean, segment_mapping(mapped, cfg)))
+    placed = place_rows(grid, broadcast_if_small(lookup, F.size("mapping")))
     judged = judge_rows(name_cells(placed, cfg), cfg)
     judged = judged.select(
         "group", *HEADER, "file_ord", "sheet_ord", "row_no", "cells", "missing", "entries", "reason"

@@ -53,12 +53,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ENTRIES = 200_000
 
 
-def broadcast_if_small(settled: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a settled table of short rows after counting it; larger ones are shuffled."""
-    return F.broadcast(settled) if settled.limit(rows + 1).count() <= rows else settled
+def broadcast_if_small(settled: DataFrame, entries: Column | None = None) -> DataFrame:
+    """Broadcast a settled table after counting it; larger ones are shuffled. ``entries`` is how
+    many list entries a row holds, for tables with lists."""
+    weight = F.sum(F.lit(1) if entries is None else entries + 1)
+    count = settled.agg(F.coalesce(weight, F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(settled) if count <= BROADCAST_ENTRIES else settled
 
 
 def computed_once(value: Column) -> Column:
