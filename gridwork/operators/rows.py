@@ -10,7 +10,7 @@ from gridwork.functions.labels import fold_label, folded
 from gridwork.operators.headers import ROW, SHEET
 from gridwork.operators.mapping import named_cells
 from gridwork.operators.ordered import last_before
-from gridwork.session import computed_once, settle
+from gridwork.session import broadcast_if_small, computed_once, settle
 
 FACTS = ["n_usable", "first_usable", "any_filled", "any_key", "id_cell"]
 
@@ -109,8 +109,8 @@ def judge_rows(rows: DataFrame, cfg: JobConfig) -> DataFrame:
         return judged
     good = judged.where(F.col("reason").isNull())
     marked = good.select("group", *ROW, "file_ord", "sheet_ord", fingerprint(F.col("entries"), cfg.dedup_keys).alias("mark"))
-    copies = later_copies(marked).withColumn("copy", F.lit(True))
-    return judged.join(copies, ROW, "left").withColumn(
+    copies = settle(later_copies(marked).withColumn("copy", F.lit(True)))
+    return judged.join(broadcast_if_small(copies), ROW, "left").withColumn(
         "reason", F.when(F.col("copy"), DUPLICATE).otherwise(F.col("reason"))
     ).drop("copy")
 

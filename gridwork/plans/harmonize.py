@@ -131,9 +131,10 @@ def harmonize(
 
 
 def _without_failures(grid: DataFrame, failures: DataFrame) -> DataFrame:
-    files = failures.where(F.col("sheet").isNull()).select("file").distinct()
-    sheets = failures.where(F.col("sheet").isNotNull()).select(*SHEET).distinct()
-    return grid.join(files, "file", "left_anti").join(sheets, SHEET, "left_anti")
+    files = settle(failures.where(F.col("sheet").isNull()).select("file").distinct())
+    sheets = settle(failures.where(F.col("sheet").isNotNull()).select(*SHEET).distinct())
+    readable = grid.join(broadcast_if_small(files), "file", "left_anti")
+    return readable.join(broadcast_if_small(sheets), SHEET, "left_anti")
 
 
 def _failure_events(failures: DataFrame) -> DataFrame:

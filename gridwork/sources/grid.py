@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridwork.config import JobConfig
 from gridwork.functions.cells import CELL_DDL, MISSING_RESULT, make_cell, null_cell, text_cell
 from gridwork.functions.paths import glob_pattern
+from gridwork.session import broadcast_if_small, settle
 
 MISSING_DDL = "array<struct<col:int,formula:string>>"
 GRID = ["group", "file", "file_ord", "sheet", "sheet_ord", "visible", "row_no", "cells", "formats", "missing"]
@@ -68,8 +69,9 @@ def group_by_sheet_name(grid: DataFrame) -> DataFrame:
     folded = F.lower("sheet")
     sheets = grid.select("sheet", "file_ord", "sheet_ord").distinct()
     first = F.struct("file_ord", "sheet_ord", "sheet")
-    names = sheets.groupBy(folded.alias("sheet_key")).agg(F.min(first)["sheet"].alias("group"))
-    return grid.drop("group").withColumn("sheet_key", folded).join(names, "sheet_key").select(*GRID)
+    names = settle(sheets.groupBy(folded.alias("sheet_key")).agg(F.min(first)["sheet"].alias("group")))
+    keyed = grid.drop("group").withColumn("sheet_key", folded)
+    return keyed.join(broadcast_if_small(names), "sheet_key").select(*GRID)
 
 
 def text_grid(files: DataFrame, delimiter: str = ",") -> DataFrame:
