@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from llm import mixing
+from llm import chat, mixing, token_counts
 
 QUERIES = {
+    "op2_section_tokens": token_counts.op2_section_tokens,
+    "op9_chat_digests": chat.op9_chat_digests,
     "op10_source_mix": mixing.op10_source_mix,
 }
 
 SQL = {
+    "op9_chat_digests": chat.OP9_SQL,
     "op10_source_mix": mixing.OP10_SQL,
 }

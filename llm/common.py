@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridwork.session import checkpoint_dir
@@ -55,7 +56,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: int, most_bytes: in
     """Slices of the batches whose texts hold about ``most_bytes`` together; one text is never cut."""
     for batch in batches:
         start, held = 0, 0
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         for i, size in enumerate(sizes):
             if held and held + size > most_bytes:
                 yield batch.slice(start, i - start)
