@@ -14,7 +14,7 @@ from gridwork.session import checkpoint_dir
 #: Words are runs of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-ROWS_PER_CHUNK = 20_000
+ROWS_PER_CHUNK = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
