@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from llm import chat, mixing, token_counts
+from llm import chat, mixing, quality, token_counts, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_section_tokens": token_counts.op2_section_tokens,
+    "op8_quality": quality.op8_quality,
     "op9_chat_digests": chat.op9_chat_digests,
     "op10_source_mix": mixing.op10_source_mix,
 }
