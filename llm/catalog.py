@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from llm import chat, mixing, quality, token_counts, toxicity
+from llm import chat, licenses, mixing, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_section_tokens": token_counts.op2_section_tokens,
+    "op6_license_scan": licenses.op6_license_scan,
     "op8_quality": quality.op8_quality,
     "op9_chat_digests": chat.op9_chat_digests,
     "op10_source_mix": mixing.op10_source_mix,
 }
 
 SQL = {
+    "op6_license_scan": licenses.OP6_SQL,
     "op9_chat_digests": chat.OP9_SQL,
     "op10_source_mix": mixing.OP10_SQL,
 }
