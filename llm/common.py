@@ -78,3 +78,38 @@ def running(df: DataFrame, key: str, chunk: str, order: list[Column], sums: dict
     inside = df.withColumns({n: F.coalesce(F.sum(v).over(within), zero).cast("long") for n, v in sums.items()})
     joined = inside.join(totals, [key, chunk])
     return joined.withColumns({n: F.col(n) + F.col(f"{n}_base") for n in sums}).drop(*[f"{n}_base" for n in sums])
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
+    """The groups of rows that share a key, from batches in which they stand together."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key)
+        change = pc.fill_null(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)), True)
+        cuts = [0, *(pc.indices_nonzero(change).to_numpy() + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            value = keys[low].as_py()
+            if held and value != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = value
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def together(df: DataFrame, *keys: str) -> DataFrame:
+    """Deals rows out by key, so that the rows of a key stand together in one partition."""
+    return df.repartition(*keys).sortWithinPartitions(*keys)
+
+
+#: Ids up to this many are sent to all tasks (16 bytes each or so); more are joined by a shuffle.
+MOST_IDS_SENT = 2_000_000
+
+
+def sent_if_few(ids: DataFrame) -> DataFrame:
+    """Marks a table of single ids for broadcast after counting it."""
+    return F.broadcast(ids) if ids.limit(MOST_IDS_SENT + 1).count() <= MOST_IDS_SENT else ids
