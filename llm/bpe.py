@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +13,7 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-WORDS_KEPT = 300_000
+WORDS_KEPT = 700_000
 VOCABULARY = "byte_bpe_50k"
 
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -36,7 +37,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        ids = self[word] = np.asarray(self.encode(word), dtype=np.uint16).tobytes()
+        ids = self[word] = array("H", self.encode(word)).tobytes()
         return ids
 
 
