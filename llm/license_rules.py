@@ -58,7 +58,7 @@ _OTHERS = {
     "artistic-1.0": ("artistic", f"artistic {_L} (version|v)? 1 0"),
     "artistic-2.0": ("artistic", f"artistic {_L} (version|v)? (2 0|2)"),
     "zlib": ("zlib", f"zlib (libpng)? {_L}"),
-    "boost-1.0": ("boost", f"boost software {_L} (version|v)? (1 0)?"),
+    "boost-1.0": ("boost ", f"boost software {_L} (version|v)? (1 0)?"),
     "psf-2.0": ("python", f"python (software foundation)? {_L} (version|v)? (2)?"),
     "openssl": ("openssl", f"openssl {_L}"),
     "unlicense": ("unlicense", "the unlicense"),
@@ -66,7 +66,7 @@ _OTHERS = {
     "postgresql": ("postgresql", f"postgresql {_L}"),
     "php-3.01": ("php", f"php {_L} (version|v)? (3 0 1|3 01|3 0)?"),
     "ruby": ("ruby", f"ruby {_L}"),
-    "vim": ("vim", f"vim {_L}"),
+    "vim": ("vim ", f"vim {_L}"),
     "ofl-1.1": ("font", f"(sil)? open font {_L} (version|v)? (1 1)?"),
     "odbl-1.0": ("database", f"open (data commons open)? database {_L} (version|v)? (1 0)?"),
     "odc-by-1.0": ("attribution", f"open data commons attribution {_L} (version|v)? (1 0)?"),

@@ -27,10 +27,9 @@ def words_in(units: Column) -> Column:
     return F.expr("0L") + ((F.length(units) - F.length(F.replace(units, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
-def _places(words: Column, rule: Column) -> Column:
-    """All matches of a rule as detections, counted along what stands between them."""
-    hits = F.regexp_extract_all(words, rule["pattern"], F.lit(0))
-    between = F.split(words, rule["pattern"], -1)
+def _places(match: Column) -> Column:
+    """All places of one rule as detections, counted along what stands between them."""
+    rule, hits, between = match["rule"], match["hits"], match["between"]
 
     def step(state: Column, i: Column) -> Column:
         start = state["at"] + words_in(F.get(between, i))
@@ -40,22 +39,32 @@ def _places(words: Column, rule: Column) -> Column:
         )
         return F.struct(end.alias("at"), F.concat(state["found"], F.array(found)).alias("found"))
 
-    kind = "array<struct<start:long,minus_end:long,minus_priority:int,number:int,label:string>>"
-    nothing = F.array().cast(kind)
+    nothing = F.array().cast("array<struct<start:long,minus_end:long,minus_priority:int,number:int,label:string>>")
     begin = F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("found"))
-    numbers = F.sequence(F.lit(0), F.size(hits) - 1)
-    # regexp_extract_all gives one empty string for the absent group, never for a whole match.
-    return F.when(F.size(hits) > 0, F.aggregate(numbers, begin, step, lambda s: s["found"])).otherwise(nothing)
+    return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), begin, step, lambda s: s["found"])
 
 
 def _detections(words: Column, rules: list[Rule]) -> Column:
-    """Detections of all rules whose keyword occurs, outer intervals first."""
+    """Detections of all rules whose keyword occurs, outer intervals first. Each step is an array of its
+    own, so that no text is searched twice for the same rule."""
     structs = [
         F.struct(F.lit(i).alias("number"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(f" {r.keyword}").alias("keyword"), F.lit(r.pattern).alias("pattern"))
         for i, r in enumerate(rules)
     ]
     tried = F.filter(F.array(*structs), lambda r: F.contains(words, r["keyword"]))
-    return F.array_sort(F.flatten(F.transform(tried, lambda r: _places(words, r))))
+    hits = F.transform(tried, lambda r: F.struct(r.alias("rule"), F.regexp_extract_all(words, r["pattern"], F.lit(0)).alias("hits")))
+    matched = F.filter(hits, lambda m: F.size(m["hits"]) > 0)
+    split = F.transform(matched, lambda m: F.struct(m["rule"].alias("rule"), m["hits"].alias("hits"), F.split(words, m["rule"]["pattern"], -1).alias("between")))
+    return F.array_sort(F.flatten(F.transform(split, _places)))
+
+
+def gate_pattern(rules: list[Rule]) -> str:
+    """Finds any keyword at the beginning of a word; sorted by first letters, so that most words need
+    few comparisons."""
+    keywords = sorted({r.keyword for r in rules})
+    kept = [k for k in keywords if not any(k != other and k.startswith(other) for other in keywords)]
+    first = sorted({k[0] for k in kept})
+    return " (?:" + "|".join(f"{c}(?:{'|'.join(k[1:] for k in kept if k[0] == c)})" for c in first) + ")"
 
 
 def _settled(detections: Column) -> Column:
@@ -85,12 +94,15 @@ def scan(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -
     """Adds a struct ``licenses`` to every row: n_words, n_base, first_word, last_word, base_labels, labels
     and score (the share of words inside kept detections). A null or empty text has no words, no labels
     (empty strings) and the score 0. Repeated rows are scanned alike. The input must not have columns named
-    licenses, license_units or license_found."""
+    licenses, license_units, license_lower or license_found."""
     rules = rules or RULES
-    gate = "(?i) (?:" + "|".join(sorted({r.keyword for r in rules})) + ")"
     units = docs.withColumn("license_units", spaced(text))
-    found = _detections(ascii_lower(F.col("license_units")), rules)
-    found = units.withColumn("license_found", F.when(F.col("license_units").rlike(gate), found))
+    # A column of its own: inside the rules' lambdas the text would be lower-cased for each rule again.
+    # The gate's lower case may turn a rare letter into k or i, which lets a text more through, none less.
+    gate = F.lower("license_units").rlike(gate_pattern(rules))
+    lower = units.withColumn("license_lower", F.when(gate, ascii_lower(F.col("license_units"))))
+    tried = F.when(F.col("license_lower").isNotNull(), _detections(F.col("license_lower"), rules))
+    found = lower.withColumn("license_found", tried)
     base = F.filter("license_found", lambda d: d["minus_priority"] == -BASE)
     starts = F.transform(base, lambda d: d["start"])
     labels = F.array_sort(F.array_distinct(F.transform(base, lambda d: d["label"])))
@@ -107,7 +119,7 @@ def scan(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -
         F.array_join(F.array_sort(every), ",").alias("labels"),
         F.when(f["all"].isNotNull(), f["all"]["covered"] / n).otherwise(F.lit(0.0)).alias("score"),
     )
-    return marked.withColumn("licenses", licenses).drop("license_units", "license_found")
+    return marked.withColumn("licenses", licenses).drop("license_units", "license_lower", "license_found")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
