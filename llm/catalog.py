@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from llm import chat, licenses, minhash, mixing, packing, quality, token_counts, toxicity
+from llm import chat, licenses, minhash, mixing, packing, posting_lists, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_section_tokens": token_counts.op2_section_tokens,
     "op3_packed_pieces": packing.op3_packed_pieces,
+    "op4_nearest_vectors": posting_lists.op4_nearest_vectors,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_near_duplicates": minhash.op7_near_duplicates,
     "op8_quality": quality.op8_quality,
