@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from llm import chat, licenses, minhash, mixing, packing, posting_lists, quality, token_counts, toxicity
+from llm import chat, licenses, minhash, mixing, neighbour_graph, packing, posting_lists, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_section_tokens": token_counts.op2_section_tokens,
     "op3_packed_pieces": packing.op3_packed_pieces,
     "op4_nearest_vectors": posting_lists.op4_nearest_vectors,
+    "op5_near_vectors": neighbour_graph.op5_near_vectors,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_near_duplicates": minhash.op7_near_duplicates,
     "op8_quality": quality.op8_quality,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_near_vectors": neighbour_graph.OP5_SQL,
     "op6_license_scan": licenses.OP6_SQL,
     "op9_chat_digests": chat.OP9_SQL,
     "op10_source_mix": mixing.OP10_SQL,

@@ -150,6 +150,22 @@ def pieces(plan: Mix) -> DataFrame:
     return cut.join(plan.schedule, ["source_key", "rank"])
 
 
+def mixed_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", length: str | None = None) -> DataFrame:
+    """The rows that the mix takes, each as often as it does, with their columns; of a row that a source
+    takes in part, its first words, set apart by blanks, and their length in the column ``length``."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_column).alias("id"), F.col(source).alias("of"), n_words(text).alias("words"))
+    taken = passes(mix(whole, F.col("words"), "id", "of").rows)
+    cut = F.col("end_word") < F.col("size")
+    words = F.regexp_extract_all(F.col("row")[text], F.lit(WORD), F.lit(0))
+    shorter = F.array_join(F.slice(words, F.lit(1), F.col("end_word").cast("int")), " ")
+    taken = taken.withColumns({"cut": cut, "shorter": F.when(cut, shorter)})
+    columns = {c: F.col("row")[c] for c in docs.columns}
+    columns[text] = F.when(F.col("cut"), F.col("shorter")).otherwise(columns[text])
+    if length:
+        columns[length] = F.when(F.col("cut"), F.length("shorter")).otherwise(columns[length]).cast(docs.schema[length].dataType)
+    return taken.select(*[v.alias(c) for c, v in columns.items()])
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     narrow = table(spark, sf_dir, "documents").select("doc_id", "source", n_words("text").alias("words"))
