@@ -20,6 +20,7 @@ QUERIES = {
 SQL = {
     "op5_near_vectors": neighbour_graph.OP5_SQL,
     "op6_license_scan": licenses.OP6_SQL,
+    "op7_near_duplicates": minhash.OP7_SQL,
     "op9_chat_digests": chat.OP9_SQL,
     "op10_source_mix": mixing.OP10_SQL,
 }

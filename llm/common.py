@@ -44,14 +44,6 @@ def key_of(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("v"), F.col(column).cast("string")), F.lit("n"))
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that the table does not use yet."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def small_batches(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold about ``most_bytes`` together; one text is never cut."""
     for batch in batches:

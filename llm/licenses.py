@@ -91,35 +91,36 @@ def _settled(detections: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
-    """Adds a struct ``licenses`` to every row: n_words, n_base, first_word, last_word, base_labels, labels
-    and score (the share of words inside kept detections). A null or empty text has no words, no labels
-    (empty strings) and the score 0. Repeated rows are scanned alike. The input must not have columns named
-    licenses, license_units, license_lower or license_found."""
+    """Adds a struct ``licenses`` to every row (an input column of that name gives way): n_words, n_base,
+    first_word, last_word, base_labels, labels and score (the share of words inside kept detections). A
+    null or empty text has no words, no labels (empty strings) and the score 0. Repeated rows are scanned
+    alike; other columns stay."""
     rules = rules or RULES
-    units = docs.withColumn("license_units", spaced(text))
-    # A column of its own: inside the rules' lambdas the text would be lower-cased for each rule again.
+    units = docs.select(F.struct(*docs.columns).alias("row"), spaced(text).alias("units"))
     # The gate's lower case may turn a rare letter into k or i, which lets a text more through, none less.
-    gate = F.lower("license_units").rlike(gate_pattern(rules))
-    lower = units.withColumn("license_lower", F.when(gate, ascii_lower(F.col("license_units"))))
-    tried = F.when(F.col("license_lower").isNotNull(), _detections(F.col("license_lower"), rules))
-    found = lower.withColumn("license_found", tried)
-    base = F.filter("license_found", lambda d: d["minus_priority"] == -BASE)
+    gate = F.lower("units").rlike(gate_pattern(rules))
+    # A column of its own: inside the rules' lambdas the text would be lower-cased for each rule again.
+    lower = units.withColumn("lower", F.when(gate, ascii_lower(F.col("units"))))
+    found = lower.withColumn("found", F.when(F.col("lower").isNotNull(), _detections(F.col("lower"), rules)))
+    base = F.filter("found", lambda d: d["minus_priority"] == -BASE)
     starts = F.transform(base, lambda d: d["start"])
-    labels = F.array_sort(F.array_distinct(F.transform(base, lambda d: d["label"])))
-    marked = found.withColumn("license_found", F.struct(starts.alias("starts"), labels.alias("base"), F.when(F.size("license_found") > 0, _settled(F.col("license_found"))).alias("all")))
-    f, n = F.col("license_found"), words_in(F.col("license_units"))
+    names = F.array_sort(F.array_distinct(F.transform(base, lambda d: d["label"])))
+    judged = found.select(
+        "row", words_in(F.col("units")).alias("n"), starts.alias("starts"), names.alias("base"), F.when(F.size("found") > 0, _settled(F.col("found"))).alias("all")
+    )
     none = F.array().cast("array<string>")
-    every = F.array_union(F.coalesce(f["base"], none), F.coalesce(f["all"]["kept"], none))
+    every = F.array_union(F.coalesce("base", none), F.coalesce(F.col("all.kept"), none))
     licenses = F.struct(
-        n.alias("n_words"),
-        F.coalesce(F.when(f["starts"].isNotNull(), F.size(f["starts"])), F.lit(0)).cast("long").alias("n_base"),
-        F.array_min(f["starts"]).alias("first_word"),
-        F.array_max(f["starts"]).alias("last_word"),
-        F.array_join(F.coalesce(f["base"], none), ",").alias("base_labels"),
+        F.col("n").alias("n_words"),
+        F.coalesce(F.when(F.col("starts").isNotNull(), F.size("starts")), F.lit(0)).cast("long").alias("n_base"),
+        F.array_min("starts").alias("first_word"),
+        F.array_max("starts").alias("last_word"),
+        F.array_join(F.coalesce("base", none), ",").alias("base_labels"),
         F.array_join(F.array_sort(every), ",").alias("labels"),
-        F.when(f["all"].isNotNull(), f["all"]["covered"] / n).otherwise(F.lit(0.0)).alias("score"),
+        F.when(F.col("all").isNotNull(), F.col("all.covered") / F.col("n")).otherwise(F.lit(0.0)).alias("score"),
     )
-    return marked.withColumn("licenses", licenses).drop("license_units", "license_lower", "license_found")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "licenses"]
+    return judged.select(*kept, licenses.alias("licenses"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,18 +103,18 @@ def mix(
 ) -> Mix:
     """Plans the mix of all rows; ``size`` is a row's number of words, e.g. ``n_words("text")``, by
     which a null text holds none. A null source is a source; repeated rows are rows of their own; an
-    empty table gives empty results. ``rows`` keeps the other columns of the input, whose names must
-    differ from those added: source_key, size, order_key, chunk, place, row_no, source_size, target,
-    take, slots (rename them before; ``passes`` and ``pieces`` add pass, at, rank and word bounds)."""
+    empty table gives empty results. ``rows`` holds each input row as the struct ``row``, whatever its
+    columns are called."""
+    df = df.select(F.struct(*df.columns).alias("row"), F.col(id_column).alias("id"), F.col(source).alias("source"), size.cast("long").alias("size"))
     rows = df.count()
     chunks = max(1, -(-rows // ROWS_PER_CHUNK))
-    order = _order(id_column, seed)
-    sized = df.withColumns({"source_key": key_of(source), "size": size, "order_key": order})
+    order = _order("id", seed)
+    sized = df.withColumns({"source_key": key_of("source"), "order_key": order})
     spot = F.conv(F.substring("order_key", 1, 8), 16, 10).cast("long")
     sized = sized.withColumn("chunk", F.floor(spot * chunks / 2**32).cast("long"))
-    sizes = sized.groupBy("source_key").agg(F.min(source).alias("source"), F.sum("size").alias("source_size"))
+    sizes = sized.groupBy("source_key").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"))
     schedule, sources = _slots(source_targets(sizes), block)
-    by = [F.col("order_key"), F.col(id_column), F.col("size")]
+    by = [F.col("order_key"), F.col("id"), F.col("size")]
     placed = running(sized, "source_key", "chunk", by, {"place": F.col("size"), "row_no": F.lit(1)})
     placed = placed.join(sources.select("source_key", "source_size", "target", "take", "slots"), "source_key")
     return Mix(sources, placed, schedule)
@@ -153,8 +153,7 @@ def pieces(plan: Mix) -> DataFrame:
 def mixed_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", length: str | None = None) -> DataFrame:
     """The rows that the mix takes, each as often as it does, with their columns; of a row that a source
     takes in part, its first words, set apart by blanks, and their length in the column ``length``."""
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_column).alias("id"), F.col(source).alias("of"), n_words(text).alias("words"))
-    taken = passes(mix(whole, F.col("words"), "id", "of").rows)
+    taken = passes(mix(docs, n_words(text), id_column, source).rows)
     cut = F.col("end_word") < F.col("size")
     words = F.regexp_extract_all(F.col("row")[text], F.lit(WORD), F.lit(0))
     shorter = F.array_join(F.slice(words, F.lit(1), F.col("end_word").cast("int")), " ")
@@ -172,7 +171,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix(written(narrow, "mix-sizes"), F.col("words"))
     taken = pieces(plan).groupBy("source_key", "row_no").agg(F.sum(F.col("until_word") - F.col("from_word")).alias("taken"))
     found = plan.rows.join(taken, ["source_key", "row_no"], "left")
-    return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 _WEIGHTS = " + ".join(f"CASE WHEN (row_number() OVER names - 1) % {len(CYCLE)} = {i} THEN {w} ELSE 0 END" for i, w in enumerate(CYCLE))
