@@ -141,6 +141,7 @@ def similar(sets: list[np.ndarray], percent: int = SIMILAR_PERCENT) -> np.ndarra
         has[owner[a:b], column[a:b] - low] = 1
         common += has @ has.T
     common = common.astype(np.int64)
+    np.fill_diagonal(common, sizes)
     return 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
 
 
