@@ -40,6 +40,16 @@ def text_cell(text: Column) -> Column:
     return make_cell("text", text.cast("string"))
 
 
+def plain_number(text: Column) -> Column:
+    """The text of a number without exponent; a fraction keeps one digit at least. Numbers beyond the
+    38 digits that decimals have keep their exponent."""
+    wide = F.coalesce(text.try_cast("decimal(38,18)").cast("string"), text.try_cast("decimal(38,0)").cast("string"))
+    tiny = F.abs(text.try_cast("double")) < 1e-17
+    exact = F.when(~tiny | (text.try_cast("double") == 0), F.regexp_replace(wide, r"(\.[0-9]*?)0+$", "$1"))
+    shown = F.when(exact.endswith("."), F.concat(exact, F.lit("0"))).when(exact.contains("."), exact).otherwise(F.concat(exact, F.lit(".0")))
+    return F.when(text.rlike("[eE]"), F.coalesce(shown, text)).otherwise(text)
+
+
 def typed_cell(value: Column, kind: T.DataType) -> Column:
     """A cell from a Spark column of the given type."""
     if isinstance(kind, T.BooleanType):
@@ -47,7 +57,7 @@ def typed_cell(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return make_cell("int", value.cast("string"))
     if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return make_cell("float", value.cast("string"))
+        return make_cell("float", plain_number(value.cast("string")))
     if isinstance(kind, T.DateType):
         return make_cell("date", F.date_format(value, "yyyy-MM-dd"))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):

@@ -1,39 +1,24 @@
 """Issue field values: nested JSON in, one typed cell out.
 
-Values are ``VARIANT`` columns. Every function is a plain expression, so a table of issues is
-flattened in one narrow pass.
+Values are ``VARIANT`` columns. Scalars are plain expressions; nested values go through one
+Arrow-batched function (``functions/trees.py``). A table of issues is flattened in one narrow pass.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridwork.functions.cells import BLANKS, CELL, make_cell, strip
+from gridwork.functions.cells import BLANKS, CELL, make_cell, plain_number, strip
 from gridwork.functions.text import limit_text
+from gridwork.functions.trees import field_texts, tree_texts
 from gridwork.session import computed_once
 
-# Document nodes that end a line.
-BLOCK_NODES = (
-    "paragraph",
-    "heading",
-    "listItem",
-    "bulletList",
-    "orderedList",
-    "blockquote",
-    "codeBlock",
-)
 # Words in a status or a priority and the class they stand for.
 DONE_WORDS = ("Done", "Closed", "Resolved", "Complete")
 PROGRESS_WORDS = ("In Progress",)
 BLOCKED_WORDS = ("Blocked",)
 HIGH_WORDS = ("Highest", "Critical", "Blocker")
 
-DOCUMENT_DEPTH = 24
-
-
-def _has(value: Column, key: str) -> Column:
-    return F.try_variant_get(value, f"$.{key}", "variant").isNotNull()
-
 
 def _text(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "string")
@@ -52,14 +37,13 @@ def _scalar_kind(value: Column) -> Column:
 
 
 def scalar_text(value: Column) -> Column:
-    """Text of a JSON scalar, NULL for null: whole numbers plain, others as floats, True and
-    False spelled so."""
+    """Text of a JSON scalar, NULL for null: numbers without exponent, True and False spelled so."""
     return kind_text(value, _scalar_kind(value))
 
 
 def kind_text(value: Column, kind: Column) -> Column:
     """The same for a scalar of known kind."""
-    number = F.try_variant_get(value, "$", "double").cast("string")
+    number = plain_number(_text(value, "$"))
     return (
         F.when(kind == "STRING", _text(value, "$"))
         .when(kind == "VOID", F.lit(None).cast("string"))
@@ -78,108 +62,24 @@ def shaped(value: Column) -> Column:
     return F.struct(value.alias("value"), kind.alias("kind"))
 
 
-def document_text(node: Column, depth: int = DOCUMENT_DEPTH) -> Column:
-    """Plain text of a document tree. Text nodes follow each other; a block loses its trailing
-    blanks and ends its line. Trees nested deeper than ``depth`` are an error, never cut.
-
-    The expression grows with ``depth``; use it once per projection.
-    """
-    kind = _text(node, "$.type")
-    children = F.coalesce(_list(node, "$.content"), _list(node, "$"))
-    if depth == 0:
-        inner = F.when(
-            F.size(children) > 0, F.raise_error(F.lit("document nested too deeply; raise the depth")).cast("string")
-        )
-    else:
-        inner = F.array_join(F.transform(children, lambda child: document_text(child, depth - 1)), "")
-    block = F.coalesce(kind.isin(*BLOCK_NODES), F.lit(False))
-    body = F.rtrim(F.coalesce(inner, F.lit("")), F.when(block, F.lit(BLANKS)).otherwise(""))
-    bare = kind.isNull() & children.isNull() & ~_is_object(node)
-    return (
-        F.when(kind == "text", F.coalesce(_text(node, "$.text"), F.lit("")))
-        .when(bare, F.coalesce(scalar_text(node), F.lit("")))
-        .otherwise(F.concat(body, F.when(block, "\n").otherwise("")))
-    )
-
-
-def simple_text(value: Column) -> Column:
-    """Text of a scalar or of an object by the first naming key it has; other values as JSON."""
-    text = F.when(_list(value, "$").isNotNull(), F.to_json(value))
-    for key in ("displayName", "value", "name", "key"):
-        inner = F.try_variant_get(value, f"$.{key}", "variant")
-        nested = _is_object(inner) | _list(inner, "$").isNotNull()
-        text = text.when(_has(value, key), F.when(nested, F.to_json(inner)).otherwise(scalar_text(inner)))
-    return text.when(_is_object(value), F.to_json(value)).otherwise(scalar_text(value))
-
-
-def has_comments(value: Column) -> Column:
-    return (F.coalesce(_text(value, "$.type"), F.lit("")) != "doc") & _list(value, "$.comments").isNotNull()
-
-
-def value_parts(value: Column, kind: Column) -> Column:
-    """The values a nested field consists of: the items of a list (lists in lists unrolled, three
-    levels), the bodies of a comment thread, or the object itself. NULL for a scalar."""
-
-    def unrolled(items: Column) -> Column:
-        return F.flatten(F.transform(items, lambda item: F.coalesce(_list(item, "$"), F.array(item))))
-
-    bodies = F.transform(
-        _list(value, "$.comments"),
-        lambda c: F.coalesce(F.try_variant_get(c, "$.body", "variant"), F.parse_json(F.lit("null"))),
-    )
-    return (
-        F.when(kind == "ARRAY", unrolled(unrolled(_list(value, "$"))))
-        .when(kind == "OBJECT", F.when(has_comments(value), bodies).otherwise(F.array(value)))
-    )
-
-
-def part_text(part: Column, depth: int = DOCUMENT_DEPTH) -> Column:
-    """Text of one part: a document or a simple value."""
-    return F.when(_text(part, "$.type") == "doc", strip(document_text(part, depth))).otherwise(simple_text(part))
-
-
-def comment_heads(value: Column) -> Column:
-    """``author [created]`` per comment."""
-
-    def head(comment: Column) -> Column:
-        author = F.coalesce(
-            F.nullif(_text(comment, "$.author.displayName"), F.lit("")),
-            F.nullif(_text(comment, "$.author.name"), F.lit("")),
-            F.lit(""),
-        )
-        created = F.nullif(_text(comment, "$.created"), F.lit(""))
-        return F.concat(author, F.coalesce(F.concat(F.lit(" ["), created, F.lit("]")), F.lit("")))
+def document_text(node: Column) -> Column:
+    """Plain text of a document tree of any depth."""
+    return tree_texts(F.to_json(node), BLANKS)
 
-    return F.transform(_list(value, "$.comments"), head)
 
-
-def joined_text(value: Column, kind: Column, texts: Column) -> Column:
-    """Text of a whole field from the texts of its parts: list items on a line each, comments
-    under their heads with a blank line between."""
-    items = F.array_join(F.filter(texts, lambda t: t.isNotNull() & (t != "")), "\n")
-    comments = F.zip_with(
-        comment_heads(value),
-        texts,
-        lambda head, body: F.concat(F.when(head != "", F.concat(head, F.lit("\n"))).otherwise(""), F.coalesce(body, F.lit(""))),
-    )
-    whole = F.when(has_comments(value), F.array_join(comments, "\n\n")).otherwise(F.get(texts, F.lit(0)))
-    return F.when(kind == "ARRAY", items).when(kind == "OBJECT", whole).otherwise(kind_text(value, kind))
-
-
-def add_value_texts(df: DataFrame, values: list[Column], out: str, depth: int = DOCUMENT_DEPTH) -> DataFrame:
-    """Adds ``out``, an array of ``struct<kind, text>`` for several VARIANT values. The document
-    expression is there once for all of them, and only nested values reach it."""
+def add_value_texts(df: DataFrame, values: list[Column], out: str) -> DataFrame:
+    """Adds ``out``, an array of ``struct<kind, text>`` for several VARIANT values. Only nested
+    values leave the JVM."""
     shapes, nested = f"{out}_shapes", f"{out}_nested"
     df = df.withColumn(shapes, computed_once(F.array(*[shaped(v) for v in values])))
-    parts = F.transform(shapes, lambda s: value_parts(s["value"], s["kind"]))
-    texts = F.transform(parts, lambda ps: F.transform(ps, lambda p: part_text(p, depth)))
-    df = df.withColumn(nested, texts)
-    joined = F.zip_with(
-        shapes,
-        nested,
-        lambda s, ts: F.struct(s["kind"].alias("kind"), joined_text(s["value"], s["kind"], ts).alias("text")),
-    )
-    return df.withColumn(out, computed_once(joined)).drop(shapes, nested)
+    inner = F.transform(shapes, lambda s: F.when(s["kind"].isin("ARRAY", "OBJECT"), F.to_json(s["value"])))
+    df = df.withColumn(nested, field_texts(inner, BLANKS))
+
+    def text_of(s: Column, t: Column) -> Column:
+        text = F.when(s["kind"].isin("ARRAY", "OBJECT"), t).otherwise(kind_text(s["value"], s["kind"]))
+        return F.struct(s["kind"].alias("kind"), text.alias("text"))
+
+    return df.withColumn(out, computed_once(F.zip_with(shapes, nested, text_of))).drop(shapes, nested)
 
 
 def parse_moment(text: Column) -> Column:
@@ -197,8 +97,9 @@ def _moment_shown(moment: Column) -> Column:
     return F.concat(F.date_format(moment, "yyyy-MM-dd HH:mm:ss"), F.when(micros != ".000000", micros).otherwise(""))
 
 
-def value_text(shape: Column, declared: str | None) -> Column:
-    """Output text from ``struct<kind, text>`` of a value and the declared type of the field."""
+def value_text(shape: Column, declared: str | None, limited: bool = False) -> Column:
+    """Output text from ``struct<kind, text>`` of a value and the declared type of the field. Texts
+    are whole unless ``limited`` to what a spreadsheet cell holds."""
     kind, text = shape["kind"], shape["text"]
     string = F.when(kind == "STRING", text)
     shown = F.when(kind.isNull() | (kind == "VOID"), "")
@@ -206,10 +107,10 @@ def value_text(shape: Column, declared: str | None) -> Column:
         shown = shown.when(parse_moment(string).isNotNull(), _moment_shown(parse_moment(string)))
     if declared == "date":
         shown = shown.when(parse_day(string).isNotNull(), F.date_format(parse_day(string), "yyyy-MM-dd"))
-    return shown.otherwise(limit_text(text))
+    return shown.otherwise(limit_text(text) if limited else text)
 
 
-def value_cell(shape: Column, declared: str | None) -> Column:
+def value_cell(shape: Column, declared: str | None, limited: bool = False) -> Column:
     """The same as a typed cell."""
     kind = shape["kind"]
     string = F.when(kind == "STRING", shape["text"])
@@ -219,7 +120,7 @@ def value_cell(shape: Column, declared: str | None) -> Column:
         name = name.when(parse_moment(string).isNotNull(), "datetime")
     if declared == "date":
         name = name.when(parse_day(string).isNotNull(), "date")
-    return make_cell(name.otherwise("text"), value_text(shape, declared)).cast(CELL)
+    return make_cell(name.otherwise("text"), value_text(shape, declared, limited)).cast(CELL)
 
 
 def _mentions(text: Column, words: tuple[str, ...]) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwork.functions.cells import make_cell
-from gridwork.functions.issues import DOCUMENT_DEPTH, add_value_texts, value_cell, value_text
+from gridwork.functions.issues import add_value_texts, value_cell, value_text
 
 # Names that mean the record key and its address.
 SPECIAL_FIELDS = {
@@ -78,10 +78,11 @@ def issue_url(server: str, key: Column) -> Column:
 
 
 def flatten_issues(
-    issues: DataFrame, fields: list[Field], server: str, depth: int = DOCUMENT_DEPTH, typed: bool = False
+    issues: DataFrame, fields: list[Field], server: str, typed: bool = False, limited: bool = False
 ) -> DataFrame:
     """One column per requested field, in the requested order, from ``key`` and ``fields`` (JSON
-    text or VARIANT). Values are texts, or typed cells with ``typed``.
+    text or VARIANT). Values are texts, or typed cells with ``typed``, and whole unless ``limited`` to
+    what a spreadsheet cell holds.
 
     Only the requested paths are read out of the JSON, and nothing is shuffled.
     """
@@ -91,12 +92,12 @@ def flatten_issues(
     read = [f for f in fields if f.kind == "field"]
     values = [F.try_variant_get("fields", f"$['{f.field_id}']", "variant") for f in read]
     if read:
-        rows = add_value_texts(rows, values, "_texts", depth)
+        rows = add_value_texts(rows, values, "_texts")
     columns = []
     for field in fields:
         if field.kind == "field":
             shape = F.get("_texts", F.lit(read.index(field)))
-            value = value_cell(shape, field.type) if typed else value_text(shape, field.type)
+            value = value_cell(shape, field.type, limited) if typed else value_text(shape, field.type, limited)
         else:
             value = F.col("key") if field.kind == "key" else issue_url(server, F.col("key"))
             value = make_cell("text", value) if typed else value

@@ -159,13 +159,24 @@ def test_issue_values(spark, declared):
     assert [r["x"] for r in got] == [t for _, t in cases]
 
 
-def test_too_deep_documents_are_an_error(spark):
-    node = '{"type": "text", "text": "x"}'
-    for _ in range(5):
+def test_documents_and_lists_of_any_depth(spark):
+    node = '{"type": "text", "text": "x "}'
+    for _ in range(200):
         node = '{"type": "paragraph", "content": [%s]}' % node
-    assert one(spark, I.document_text(F.parse_json("v"), 6), node) == "x" + "\n"
-    with pytest.raises(Exception, match="nested too deeply"):
-        one(spark, I.document_text(F.parse_json("v"), 3), node)
+    assert one(spark, I.document_text(F.parse_json("v")), node) == "x\n"
+    deep = '["a", [[[[["b", 1]], null]]], {"name": {"k": 1.50}}]'
+    df = spark.createDataFrame([(deep,), ('"%s"' % ("y" * 40_000),)], "j string").select(F.parse_json("j").alias("v"))
+    got = [r["x"] for r in I.add_value_texts(df, [F.col("v")], "t").select(I.value_text(F.get("t", F.lit(0)), None).alias("x")).collect()]
+    assert got[0].split("\n")[:3] == ["a", "b", "1"] and got[1] == "y" * 40_000
+
+
+def test_numbers_are_shown_without_exponent(spark):
+    cases = ["12345678.9", "0.0005", "123456789012345678901", "3.0", "-1e-7", "1E+9", "7", "0.00"]
+    df = spark.createDataFrame([(i, "[%s]" % v, v) for i, v in enumerate(cases)], "i int, list string, j string")
+    texts = I.add_value_texts(df, [F.parse_json("list"), F.parse_json("j")], "t").orderBy("i").select("t").collect()
+    for case, row in zip(cases, texts):
+        assert all("E" not in t["text"] and "e" not in t["text"] and float(t["text"]) == float(case) for t in row["t"]), case
+    assert [r["t"][1]["text"] for r in texts[:3]] == cases[:3]
 
 
 def test_status_and_priority_classes(spark):
