@@ -180,7 +180,8 @@ def train(
 
     matrix = learnt.mapInArrow(sparse, "at array<int>, n array<int>, grade int").toPandas()
     # No more rows than the sample has; in an order of their own, so that reruns add up alike.
-    matrix = matrix.sort_values(["grade", "at", "n"], key=lambda c: c if c.name == "grade" else c.map(list), ignore_index=True)
+    order = sorted(range(len(matrix)), key=lambda i: (matrix["grade"][i], list(matrix["at"][i]), list(matrix["n"][i])))
+    matrix = matrix.iloc[order].reset_index(drop=True)
     grades = matrix["grade"].to_numpy().astype(np.int64)
     if grades.max(initial=0) == 0 or grades.min(initial=1) > 0:
         return None
