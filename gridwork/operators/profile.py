@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridwork.functions.text import lines
 
-# Length of a moment, rows looked at, bounds and least widths.
+# Length of a moment, bounds and least widths.
 MOMENT_LENGTH = 19
-SAMPLE_ROWS = 1000
 NARROWEST, WIDEST = 12, 55
 
 
@@ -20,11 +19,6 @@ def rendered_length(value: Column, kind: T.DataType) -> Column:
     return F.array_max(F.transform(lines(text), F.length))
 
 
-def first_rows(df: DataFrame, order: list[str], count: int = SAMPLE_ROWS) -> DataFrame:
-    """The first rows in an order, found per task before they meet."""
-    return df.orderBy(*order).limit(count)
-
-
 def length_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``column, longest_line`` in one pass over all rows."""
     columns = columns or df.columns
@@ -47,8 +41,8 @@ def column_width(header: Column, longest: Column, kind: Column | None = None) ->
     return F.least(F.greatest(width, F.lit(NARROWEST)), F.lit(WIDEST))
 
 
-def column_widths(df: DataFrame, order: list[str], kinds: dict[str, str] | None = None) -> DataFrame:
-    """Widths judged by the first rows, as a report shows them."""
-    profile = length_profile(first_rows(df, order))
+def column_widths(df: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
+    """Widths judged by all rows in one pass."""
+    profile = length_profile(df)
     given = F.create_map(*[F.lit(x) for pair in (kinds or {"": ""}).items() for x in pair])
     return profile.select("column", column_width(F.col("column"), F.col("longest_line"), given[F.col("column")]).alias("width"))

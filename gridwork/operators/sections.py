@@ -8,9 +8,6 @@ from gridwork.functions.cells import strip
 from gridwork.functions.text import safe_file_name
 from gridwork.operators.ordered import chunk_of, last_before
 
-# Paragraphs of a section that are joined into one text; longer sections give several parts.
-PART_PARAGRAPHS = 10_000
-
 
 def section_paragraphs(paragraphs: DataFrame, level: int = 1) -> DataFrame:
     """Every paragraph from the first heading of ``level`` on, with its section.
@@ -42,14 +39,17 @@ def section_file_name(number: Column, title: Column) -> Column:
     return F.concat(F.format_string("%02d", number.cast("long")), F.lit("_"), safe_file_name(title))
 
 
-def section_texts(paragraphs: DataFrame, level: int = 1, part_paragraphs: int = PART_PARAGRAPHS) -> DataFrame:
-    """One text per section. A section longer than ``part_paragraphs`` comes in several parts, so
-    no task has to hold a section of any length."""
+def section_texts(paragraphs: DataFrame, level: int = 1, part_paragraphs: int | None = None) -> DataFrame:
+    """One text per section, ``part`` 1. Where sections may outgrow a task, ``part_paragraphs`` asks for
+    parts of that many paragraphs, or ``section_paragraphs`` gives the rows without joining them."""
     rows = section_paragraphs(paragraphs, level)
-    part = (F.floor((F.col("para_no") - F.col("first_para")) / part_paragraphs) + 1).cast("long")
+    if part_paragraphs is None:
+        part = F.lit(1)
+    else:
+        part = F.floor((F.col("para_no") - F.col("first_para")) / part_paragraphs) + 1
     listed = F.array_sort(F.collect_list(F.struct("para_no", "text")))
     return (
-        rows.withColumn("part", part)
+        rows.withColumn("part", part.cast("long"))
         .groupBy("doc_id", "section", "title", "file_name", "part")
         .agg(F.array_join(F.transform(listed, lambda p: p["text"]), "\n").alias("text"), F.count(F.lit(1)).alias("paragraphs"))
     )

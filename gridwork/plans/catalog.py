@@ -169,7 +169,7 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("segment"), C.text_cell(F.nullif("c_mktsegment", F.lit("MACHINERY"))),
     )
     group = F.col("n_name").alias("group")
-    people = customer.where(F.col("c_mktsegment") != "BUILDING").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    people = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     record = people.select(group, F.col("c_mktsegment").alias("file"), values.alias("values"))
     segment = record.select("group", "file", F.lit("Data").alias("sheet"))
     debtors = supplier.where("s_acctbal < 0").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(group)
@@ -219,7 +219,7 @@ def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cell_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number formats, long numbers and blanks around text, over all line items."""
-    item = samples.spread(table(spark, sf_dir, "lineitem"))
+    item = table(spark, sf_dir, "lineitem")
     part = F.col("l_partkey")
     value = samples.choose(
         part, samples.whole(part), samples.whole(-part), C.make_cell("float", F.concat(part.cast("string"), F.lit(".0"))),
@@ -338,13 +338,12 @@ def sections_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sections_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages cut at closing tags, split at the main heading."""
-    pieces_ = F.posexplode(F.split("html", "</"))
-    blocks = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), pieces_.alias("para_no", "text"))
-    headed = blocks.withColumn("level", F.when(F.contains("text", F.lit("<h1>")), 1).otherwise(10))
-    plain = headed.withColumn("text", F.when(F.col("level") == 1, F.substring_index("text", "<h1>", -1)).otherwise(F.col("text")))
-    rows_ = sections.section_paragraphs(plain, 1)
-    return rows_.groupBy("doc_id", "section", "file_name").agg(
+    """Pages cut at closing tags and before main headings, split at the main heading."""
+    marked = F.replace("html", F.lit("<h1>"), F.lit("</<h1>"))
+    blocks = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(F.split(marked, "</")).alias("para_no", "text"))
+    heading = F.startswith("text", F.lit("<h1>"))
+    headed = blocks.withColumns({"level": F.when(heading, 1).otherwise(10), "text": F.when(heading, F.substring("text", 5, 2**30)).otherwise(F.col("text"))})
+    return sections.section_paragraphs(headed, 1).groupBy("doc_id", "section", "file_name").agg(
         F.count(F.lit(1)).alias("paragraphs"), F.sum(F.length("text")).alias("chars")
     )
 
@@ -378,9 +377,9 @@ def field_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Display widths from the first 1,000 documents, as the report samples them."""
+    """Display widths judged by all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("Comment text"), "source", F.col("lang").alias("Summary of language"))
-    return profile.column_widths(docs, ["doc_id"], {"doc_id": "key"})
+    return profile.column_widths(docs, {"doc_id": "key"})
 
 
 def moments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,7 +200,7 @@ WITH cls AS (
   UNION ALL SELECT r_name, NULL, NULL FROM region)
 SELECT coalesce(grp, 'GENEL TOPLAM') AS "group", grp IS NULL AS is_total,""" + _FLOW + "FROM cls GROUP BY ROLLUP (grp)",
     "completeness": """
-WITH p AS (SELECT n_name AS grp, * FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING'),
+WITH p AS (SELECT n_name AS grp, * FROM customer JOIN nation ON c_nationkey = n_nationkey),
 rec AS (
   SELECT grp, count(*) AS records, count(DISTINCT c_mktsegment) AS files,
     sum(1 + (c_acctbal >= 0)::INT + (c_mktsegment <> 'MACHINERY')::INT) AS filled, sum((c_acctbal < 0)::INT) AS warnings FROM p GROUP BY grp)
@@ -274,9 +274,9 @@ s AS (SELECT conv_id, section, arg_min(text, turn) AS title, count(*) AS paragra
 SELECT conv_id AS doc_id, section::BIGINT AS section, printf('%02d', section::BIGINT) || '_' || """ + _SAFE.format("title")
     + " AS file_name, 1::BIGINT AS part, paragraphs, text FROM s",
     "sections_html": """
-WITH b AS (SELECT page_id, unnest(string_split(html, '</')) AS text, generate_subscripts(string_split(html, '</'), 1) - 1 AS n FROM pages),
-l AS (SELECT page_id, n, contains(text, '<h1>') AS head,
-  CASE WHEN contains(text, '<h1>') THEN list_extract(string_split(text, '<h1>'), -1) ELSE text END AS text FROM b),
+WITH m AS (SELECT page_id, string_split(replace(html, '<h1>', '</<h1>'), '</') AS parts FROM pages),
+b AS (SELECT page_id, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS n FROM m),
+l AS (SELECT page_id, n, starts_with(text, '<h1>') AS head, CASE WHEN starts_with(text, '<h1>') THEN substr(text, 5) ELSE text END AS text FROM b),
 t AS (SELECT *, sum(head::INT) OVER (PARTITION BY page_id ORDER BY n) AS section FROM l),
 s AS (SELECT page_id, section, arg_min(text, n) AS title, count(*) AS paragraphs, sum(length(text))::BIGINT AS chars FROM t WHERE section > 0 GROUP BY ALL)
 SELECT page_id AS doc_id, section::BIGINT AS section, printf('%02d', section::BIGINT) || '_' || """ + _SAFE.format("title")
@@ -297,7 +297,7 @@ UNION ALL SELECT 'doc_id', max(length(doc_id::VARCHAR)) FROM documents
 UNION ALL SELECT 'text', max(list_max(list_transform(string_split(text, chr(10)), lambda x: length(x)))) FROM documents
 UNION ALL SELECT 'lang', max(length(lang)) FROM documents""",
     "column_widths": """
-WITH d AS (SELECT * FROM documents ORDER BY doc_id LIMIT 1000)
+WITH d AS (SELECT * FROM documents)
 SELECT 'doc_id' AS "column", least(greatest(max(length(doc_id::VARCHAR)) + 2, 8, 14), 55) AS width FROM d
 UNION ALL SELECT 'Comment text', least(greatest(max(list_max(list_transform(string_split(text, chr(10)), lambda x: length(x)))) + 2, 45), 55) FROM d
 UNION ALL SELECT 'source', least(greatest(max(length(source)) + 2, 8, 12), 55) FROM d

@@ -6,6 +6,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwork.config import JobConfig
@@ -13,6 +19,7 @@ from gridwork.functions.cells import CELL_DDL, MISSING_RESULT, make_cell, null_c
 from gridwork.functions.paths import glob_pattern
 from gridwork.session import broadcast_if_small, settle
 
+ROWS_AT_ONCE = 5_000
 MISSING_DDL = "array<struct<col:int,formula:string>>"
 GRID = ["group", "file", "file_ord", "sheet", "sheet_ord", "visible", "row_no", "cells", "formats", "missing"]
 
@@ -74,34 +81,62 @@ def group_by_sheet_name(grid: DataFrame) -> DataFrame:
     return keyed.join(broadcast_if_small(names), "sheet_key").select(*GRID)
 
 
-def text_grid(files: DataFrame, delimiter: str = ",") -> DataFrame:
-    """A grid from text files already read as ``(group, file, file_ord, text)``, whole file per
-    row, one sheet per file named like the file without its suffix.
-
-    Quoted fields may hold delimiters and line breaks; blank lines keep their row number.
-    """
-    sep = "\\" + delimiter if delimiter in "|.^$*+?()[]{}" else delimiter
-    quoted = r'"[^"]*(?:""[^"]*)*"'
-    plain = rf'[^{sep}"\r\n][^{sep}\r\n]*'
-    record = rf"(?:(?:{quoted}|{plain})?{sep})*(?:{quoted}|{plain})?(?:\r\n|[\r\n]|$)"
-    field = rf"({quoted}|{plain}|){sep}"
-    lines = F.regexp_extract_all("text", F.lit(f"({record})"), F.lit(1))
-    rows = files.select("group", "file", "file_ord", F.posexplode(lines).alias("pos", "line"))
-    rows = rows.where(F.col("line") != "")
-    bare = F.regexp_replace("line", r"[\r\n]+$", "")
-    # Every field ends with a delimiter once one is appended.
-    fields = F.regexp_extract_all(F.concat(bare, F.lit(delimiter)), F.lit(field), F.lit(1))
-    unquoted = F.transform(
-        fields,
-        lambda f: F.when(
-            f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
-        ).otherwise(f),
-    )
-    cells = F.transform(unquoted, lambda f: F.when(f != "", text_cell(f)).otherwise(null_cell()))
+PARSED = "group string, file string, file_ord string, row_no long, cells array<string>, detail string"
+
+
+def parse_texts(files: DataFrame, delimiter: str = ",") -> DataFrame:
+    """Records of text files already read as ``(group, file, file_ord, text)``: ``group, file,
+    file_ord, row_no, cells, detail``. Quoted fields may hold delimiters and line breaks; blank lines
+    keep their row number. A file with a malformed record, or that could not be read (text NULL),
+    gives no record but one row with the reason in ``detail``."""
+
+    def rows_of(text: str | None) -> tuple[list[list[str]], str | None]:
+        if text is None:
+            return [], "file could not be read"
+        csv.field_size_limit(sys.maxsize)
+        reader = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, strict=True)
+        try:
+            return list(reader), None
+        except csv.Error as error:
+            return [], f"line {reader.line_num}: {error}"
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.string()]
+        names = ["group", "file", "file_ord", "row_no", "cells", "detail"]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                group, file, file_ord, text = (c[i].as_py() for c in batch.columns)
+                rows, detail = rows_of(text)
+                numbers = list(range(1, len(rows) + 1))
+                if detail is not None:
+                    rows, numbers = [[]], [None]
+                for low in range(0, len(rows), ROWS_AT_ONCE):
+                    part = rows[low : low + ROWS_AT_ONCE]
+                    same = [[v] * len(part) for v in (group, file, file_ord)]
+                    columns = [*same, numbers[low : low + ROWS_AT_ONCE], part, [detail] * len(part)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    wanted = files.select(F.col("group").cast("string"), F.col("file").cast("string"), F.col("file_ord").cast("string"), "text")
+    return wanted.mapInArrow(parse, PARSED)
+
+
+def parsed_grid(parsed: DataFrame) -> DataFrame:
+    """The grid of parsed text files, one sheet per file, named like the file without its suffix."""
+    rows = parsed.where(F.col("detail").isNull())
+    cells = F.transform("cells", lambda f: F.when(f != "", text_cell(f)).otherwise(null_cell()))
     name = F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1)
-    return grid_rows(
-        rows, cells, F.col("pos") + 1, F.col("file"), name, group=F.col("group"), file_ord=F.col("file_ord")
-    )
+    return grid_rows(rows, cells, F.col("row_no"), F.col("file"), name, group=F.col("group"), file_ord=F.col("file_ord"))
+
+
+def parse_failures(parsed: DataFrame) -> DataFrame:
+    """``group, file, sheet, row_no, detail`` of the files that gave no rows."""
+    failed = parsed.where(F.col("detail").isNotNull())
+    return failed.select("group", "file", F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("long").alias("row_no"), "detail")
+
+
+def text_grid(files: DataFrame, delimiter: str = ",") -> DataFrame:
+    """A grid from text files, without the malformed ones; see ``parse_texts``."""
+    return parsed_grid(parse_texts(files, delimiter))
 
 
 def merge_formulas(formulas: DataFrame, values: DataFrame) -> DataFrame:

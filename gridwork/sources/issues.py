@@ -8,7 +8,8 @@ from gridwork.operators.flatten import Field
 
 
 def issue_rows(lines: DataFrame, line: str = "value") -> DataFrame:
-    """``key, fields`` with ``fields`` as VARIANT; lines that are no JSON are dropped."""
+    """``key, fields`` with ``fields`` as VARIANT; lines that are no JSON are left to
+    ``line_failures``."""
     parsed = lines.select(F.try_parse_json(line).alias("issue")).where(F.col("issue").isNotNull())
     return parsed.select(
         F.try_variant_get("issue", "$.key", "string").alias("key"),
@@ -16,6 +17,15 @@ def issue_rows(lines: DataFrame, line: str = "value") -> DataFrame:
     )
 
 
+def line_failures(lines: DataFrame, line: str = "value", file: Column | None = None) -> DataFrame:
+    """``group, file, sheet, row_no, detail`` of the lines that are no JSON; blank lines are none."""
+    text = F.col(line)
+    bad = lines.where((F.trim(text) != "") & F.try_parse_json(line).isNull())
+    nothing = F.lit(None).cast("string")
+    detail = F.concat(F.lit("not JSON: "), F.substring(text, 1, 80))
+    return bad.select(nothing.alias("group"), (nothing if file is None else file).alias("file"), nothing.alias("sheet"), F.lit(None).cast("long").alias("row_no"), detail.alias("detail"))
+
+
 def read_issues(spark: SparkSession, path: str) -> DataFrame:
     return issue_rows(spark.read.text(path))
 

@@ -22,16 +22,43 @@ def list_files(spark: SparkSession, root: str, glob: str | None = None, recursiv
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     listed = reader.load(root).select("path", "length", F.col("modificationTime").alias("modified"))
-    base = root.split(":", 1)[-1].rstrip("/") + "/"
-    return listed.withColumn("path", F.substring_index("path", base, -1))
+    return listed.withColumn("path", relative_path(spark, root, F.col("path")))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark writes it, with its file system and without a slash at its end."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
+
+
+def relative_path(spark: SparkSession, root: str, path: Column) -> Column:
+    """What follows the root, which is taken off once and at the front, however often its name
+    comes again below it."""
+    base = qualified(spark, root)
+    bare = base.split(":", 1)[-1].lstrip("/")
+    # File systems differ in the slashes behind their name: file:/x and file:///x are one place.
+    rest = F.regexp_replace(path, "^[a-z0-9+.-]+:/*", "")
+    return F.substring(rest, F.lit(len(bare) + 2), F.length(rest))
 
 
 def read_contents(spark: SparkSession, root: str) -> DataFrame:
-    """``path, content`` of all files below a folder; unreadable files are skipped."""
+    """``path, content`` of all files below a folder; unreadable files are skipped, see
+    ``unread_files``."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     listed = reader.option("ignoreCorruptFiles", "true").load(root)
-    base = root.split(":", 1)[-1].rstrip("/") + "/"
-    return listed.select(F.substring_index("path", base, -1).alias("path"), "content")
+    return listed.select(relative_path(spark, root, F.col("path")).alias("path"), "content")
+
+
+def unread_files(listing: DataFrame, read: DataFrame) -> DataFrame:
+    """Failures of the files that were listed but could not be read."""
+    return file_failures(listing.join(read.select("path"), "path", "left_anti"), F.lit("file could not be read"))
+
+
+def file_failures(files: DataFrame, detail: Column) -> DataFrame:
+    """``group, file, sheet, row_no, detail`` for files that give no rows."""
+    group = F.col("group") if "group" in files.columns else F.lit(None).cast("string")
+    nowhere = F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("long").alias("row_no")
+    return files.select(group.alias("group"), F.col("path").alias("file"), *nowhere, detail.alias("detail"))
 
 
 def folders(path: Column) -> Column:
@@ -103,7 +130,10 @@ def assign_groups(listing: DataFrame, cfg: JobConfig) -> tuple[DataFrame, DataFr
     if not cfg.include_root_files:
         return inside.withColumn("file_ord", folder_order(F.col("path"))), roots
     # Groups called like the root group with underscores behind it; the shortest free name is taken.
-    alike = inside.select(F.lower("group").alias("name")).where(F.col("name").rlike(f"^{cfg.root_group.lower()}_*$"))
+    begin = cfg.root_group.lower()
+    name = F.lower("group")
+    only_marks = F.rtrim(F.substring(name, F.lit(len(begin) + 1), F.length(name)), F.lit("_")) == ""
+    alike = inside.select(name.alias("name")).where(F.startswith("name", F.lit(begin)) & only_marks)
     taken = alike.agg(F.collect_set(F.length("name")).alias("taken"))
     size = len(cfg.root_group)
     free = F.array_except(F.sequence(F.lit(size), F.lit(size) + F.size("taken")), F.col("taken"))
@@ -121,8 +151,10 @@ def listed_groups(files: DataFrame, names: DataFrame | None = None) -> DataFrame
 
 
 def read_texts(files: DataFrame, spark: SparkSession, root: str) -> DataFrame:
-    """``group, file, file_ord, text`` of listed text files, one row per file."""
-    base = root.split(":", 1)[-1].rstrip("/") + "/"
-    texts = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-    named = texts.select(F.substring_index(F.url_decode("_metadata.file_path"), base, -1).alias("path"), F.col("value").alias("text"))
-    return named.join(files, "path").select("group", F.col("path").alias("file"), "file_ord", "text")
+    """``group, file, file_ord, text`` of listed text files, one row per file. A listed file that
+    can't be read has the text NULL."""
+    texts = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").text(root, wholetext=True)
+    # Names are percent-encoded there; a plus sign stands for itself.
+    name = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    named = texts.select(relative_path(spark, root, name).alias("path"), F.col("value").alias("text"))
+    return files.join(named, "path", "left").select("group", F.col("path").alias("file"), "file_ord", "text")

@@ -10,7 +10,8 @@ from gridwork.operators import flatten, line_endings, ordered, patterns, profile
 from gridwork.plans.harmonize import extra_columns_of, harmonize, wide
 from gridwork.sinks import outputs
 from gridwork.sources import listing
-from gridwork.sources.grid import group_by_sheet_name, merge_formulas, text_grid
+from gridwork.sources.grid import group_by_sheet_name, merge_formulas, parse_failures, parse_texts, parsed_grid, text_grid
+from gridwork.sources.issues import issue_rows, line_failures
 from gridwork.sources.issues import needed_ids, read_issues
 
 HEADER = ["No.", "Entity", "Panel"]
@@ -173,7 +174,7 @@ def test_issue_source(spark, tmp_path):
 def test_length_profile(spark):
     df = spark.createDataFrame([("ab\ncdef", None), ("x", "2024-01-01")], "a string, d string").withColumn("d", F.to_timestamp("d"))
     assert {r["column"]: r["longest_line"] for r in profile.length_profile(df).collect()} == {"a": 4, "d": 19}
-    widths = {r["column"]: r["width"] for r in profile.column_widths(df.withColumn("Description", F.lit("y" * 90)), ["a"]).collect()}
+    widths = {r["column"]: r["width"] for r in profile.column_widths(df.withColumn("Description", F.lit("y" * 90))).collect()}
     assert widths == {"a": 12, "d": 21, "Description": 55}
 
 
@@ -225,6 +226,47 @@ def test_files_to_report(spark, tmp_path):
         outputs.check_target(spark, str(tmp_path), source, overwrite=True)
 
 
+def texts(spark, *bodies):
+    return spark.createDataFrame([("G", f"f{i}.csv", f"f{i}.csv", b) for i, b in enumerate(bodies)], "group string, file string, file_ord string, text string")
+
+
+def test_malformed_files_fail_as_a_whole(spark):
+    wide_line = ",".join(str(i) for i in range(20_000))
+    files = texts(spark, 'a,b\nx,"abc\n', 'a,b\n"q"b,c\n', wide_line, None, "", 'x,""\r"y\n""z"""\r\n')
+    parsed = parse_texts(files)
+    bad = {r["file"]: r["detail"] for r in parse_failures(parsed).collect()}
+    assert set(bad) == {"f0.csv", "f1.csv", "f3.csv"} and bad["f3.csv"] == "file could not be read"
+    rows = {(r["file"], r["row_no"]): [c["v"] if c else None for c in r["cells"]] for r in parsed_grid(parsed).collect()}
+    assert rows["f2.csv", 1] == wide_line.split(",")
+    assert rows["f5.csv", 1] == ["x", None] and rows["f5.csv", 2] == ['y\n"z"'] and len(rows) == 3
+    result = harmonize(parsed_grid(parsed), CFG, failures=parse_failures(parsed))
+    failed = result.event.where("code = 'FILE_READ_FAILED'").collect()
+    assert {(r["file"], r["level"]) for r in failed} == {(f, "ERROR") for f in bad}
+
+
+def test_paths_below_a_root_that_repeats_itself(spark, tmp_path):
+    root = tmp_path / "in"
+    deep = root / "g1" / str(root).lstrip("/") / "deep"
+    deep.mkdir(parents=True)
+    (deep / "x.csv").write_text("a\n")
+    (root / "g2").mkdir()
+    (root / "g2" / "a+b %41.csv").write_text("b\n")
+    (root / "top.csv").write_text("c\n")
+    found = listing.list_files(spark, str(root))
+    below = "g1/" + str(root).lstrip("/") + "/deep/x.csv"
+    assert {r["path"] for r in found.collect()} == {below, "g2/a+b %41.csv", "top.csv"}
+    for name in ("Root (top", "Root (top)"):
+        files, _ = listing.assign_groups(found, replace(CFG, include_root_files=True, root_group=name))
+        read = {r["file"]: (r["group"], r["text"]) for r in listing.read_texts(files, spark, "file:" + str(root)).collect()}
+        assert read == {below: ("g1", "a\n"), "g2/a+b %41.csv": ("g2", "b\n"), "top.csv": (name, "c\n")}
+
+
+def test_lines_that_are_no_issues(spark):
+    lines = spark.createDataFrame([('{"key": "A-1", "fields": {}}',), ("{broken",), ("",)], "value string")
+    assert [r["key"] for r in issue_rows(lines).collect()] == ["A-1"]
+    assert [r["detail"] for r in line_failures(lines).collect()] == ["not JSON: {broken"]
+
+
 def test_quality_gate(spark):
     event = spark.createDataFrame([("ERROR",)], "level string")
     outputs.quality_gate(event, CFG)
