@@ -97,9 +97,13 @@ def _qualified(candidates: DataFrame, cfg: JobConfig) -> DataFrame:
     return candidates.where(keep).withColumn("distance", distance).withColumn("quality", quality)
 
 
+def _is_number(text: Column) -> Column:
+    return strip(text).rlike(r"^[0-9]+(\.[0-9]+)?$")
+
+
 def _numeric_columns(parts: str) -> Column:
     """Columns of a row that hold a plain number."""
-    numbers = F.transform(parts, lambda p, i: F.when(strip(p["raw"]).rlike(r"^[0-9]+(\.[0-9]+)?$"), i))
+    numbers = F.transform(parts, lambda p, i: F.when(_is_number(p["raw"]), i))
     return F.filter(numbers, lambda i: i.isNotNull())
 
 
@@ -241,3 +245,37 @@ def accepted_headers(candidates: DataFrame, cfg: JobConfig) -> DataFrame:
         if step.where(F.col("accepted") != F.col("was")).isEmpty():
             return step.where("accepted").drop("accepted", "was")
         current = step.drop("was")
+
+
+def _loose_rows(rest: DataFrame, first: DataFrame, cfg: JobConfig) -> DataFrame:
+    """Rows below the search range whose id cell, by the first header's id column, is no plain
+    number: no other row can be a repeated header as long as that column stays. With headers of
+    two rows, the row below each of them comes along."""
+    known = rest.join(broadcast_if_small(first), SHEET)
+    numeric = F.coalesce(_is_number(F.get("cells", F.col("first_id"))["v"]), F.lit(False))
+    loose = known.where(~numeric).drop("first_id")
+    if 2 not in cfg.header_heights:
+        return loose
+    own = settle(loose.select(*ROW))
+    needed = own.union(own.select(*SHEET, F.col("row_no") + 1)).distinct()
+    return rest.join(broadcast_if_small(needed), ROW, "left_semi")
+
+
+def find_headers(grid: DataFrame, cfg: JobConfig) -> DataFrame:
+    """All accepted headers. The first header of a sheet lies in the search range, which is a filter
+    on the scan; below it only rows without a numeric id are looked at. Sheets in which a repeated
+    header moves the id column are searched again with all their rows."""
+    in_range = F.col("row_no") <= cfg.search_end
+    top = header_candidates(grid.where(F.col("row_no") <= cfg.search_end + 1), cfg).where(in_range)
+    first = settle(first_headers(top, cfg).select(*SHEET, F.col("id_col").alias("first_id")))
+    rest = grid.where(~in_range).join(broadcast_if_small(first.select(*SHEET)), SHEET, "left_semi")
+    below = header_candidates(_loose_rows(rest, first, cfg), cfg)
+    candidates = settle(top.unionByName(below))
+    accepted = accepted_headers(candidates, cfg)
+    moved = accepted.join(first, SHEET).where(~F.col("id_col").eqNullSafe(F.col("first_id")))
+    moved = settle(moved.select(*SHEET).distinct())
+    if moved.isEmpty():
+        return accepted
+    sheets = broadcast_if_small(moved)
+    again = header_candidates(rest.join(sheets, SHEET, "left_semi"), cfg).unionByName(top.join(sheets, SHEET, "left_semi"))
+    return accepted.join(sheets, SHEET, "left_anti").unionByName(accepted_headers(settle(again), cfg))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridwork.config import JobConfig
 from gridwork.functions.cells import column_letters, entries_json, row_json
 from gridwork.functions.labels import folded
-from gridwork.operators.headers import SHEET, accepted_headers, header_candidates
+from gridwork.operators.headers import SHEET, find_headers
 from gridwork.operators.mapping import (
     HEADER,
     directory,
@@ -81,7 +81,7 @@ def harmonize(
     if failures is not None:
         grid = _without_failures(grid, failures)
     sheets = settle(sheet_bounds(grid))
-    headers = accepted_headers(header_candidates(grid, cfg), cfg)
+    headers = find_headers(grid, cfg)
     segment = settle(segments(headers, sheets))
     columns = settle(header_columns(segment, cfg))
 
