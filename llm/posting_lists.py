@@ -29,6 +29,7 @@ GRAPH_DEGREE = 16
 WANTED_RECALL = 0.98
 BLOCK = 2048
 QUERY_BLOCK = 1024
+ROWS_AT_ONCE = 256
 SEED = 7
 
 
@@ -79,22 +80,28 @@ class Centroids:
             more[who, column], more_d[who, column] = to, d
             found, dist = np.hstack([found, more]), np.hstack([dist, more_d])
 
+    def _near(self, rows: np.ndarray, beam: int, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row number, centroid) of the nearest centroids, ``most`` at the utmost, that lie at most
+        ``ratio`` times as far as the nearest. Few rows at a time, as walking takes memory."""
+        numbers, nodes = [], []
+        for low in range(0, len(rows), ROWS_AT_ONCE):
+            found, dist = self.nearest(rows[low : low + ROWS_AT_ONCE], beam)
+            found, dist = found[:, :most], dist[:, :most]
+            near = dist <= ratio * np.maximum(dist[:, :1], 1e-9)
+            near[:, 0] = True
+            at, place = np.nonzero(near)
+            numbers.append(at + low)
+            nodes.append(found[at, place])
+        none = np.zeros(0, dtype=np.int64)
+        return np.concatenate([none, *numbers]), np.concatenate([none, *nodes])
+
     def posts(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(vector number, list) of each posting."""
-        found, dist = self.nearest(vectors, max(8, 2 * REPLICAS))
-        found, dist = found[:, :REPLICAS], dist[:, :REPLICAS]
-        near = dist <= REPLICA_RATIO * np.maximum(dist[:, :1], 1e-9)
-        near[:, 0] = True
-        at, place = np.nonzero(near)
-        return at, found[at, place]
+        return self._near(vectors, max(8, 2 * REPLICAS), REPLICAS, REPLICA_RATIO)
 
     def lists(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query number, list) of each list to search."""
-        found, dist = self.nearest(queries, self.beam)
-        near = dist <= self.ratio * np.maximum(dist[:, :1], 1e-9)
-        near[:, 0] = True
-        at, place = np.nonzero(near)
-        return at, found[at, place]
+        return self._near(queries, self.beam, self.beam, self.ratio)
 
 
 def _distances(cosine: np.ndarray) -> np.ndarray:
@@ -107,7 +114,9 @@ def _centers(sample: np.ndarray, count: int, rounds: int = 10) -> np.ndarray:
     centers = sample[rng.choice(len(sample), count, replace=False)]
     load = np.ones(count)
     for _ in range(rounds):
-        member = np.argmax(sample @ centers.T - 0.02 * np.log(np.maximum(load, 0.1)), axis=1)
+        charge = 0.02 * np.log(np.maximum(load, 0.1))
+        blocks = [np.argmax(sample[i : i + 4096] @ centers.T - charge, axis=1) for i in range(0, len(sample), 4096)]
+        member = np.concatenate(blocks)
         sums = np.zeros_like(centers)
         np.add.at(sums, member, sample)
         n = np.bincount(member, minlength=count)
@@ -131,9 +140,11 @@ def fit(sample: np.ndarray, vectors: int, neighbours: int) -> Centroids:
     far = rng.integers(0, count, (count, 4))
     index = Centroids(centers, np.hstack([links, far]))
     asked = rng.choice(len(sample), min(400, len(sample)), replace=False)
-    sims = sample[asked] @ sample.T
-    sims[np.arange(len(asked)), asked] = -2
-    best = np.argsort(-sims, axis=1, kind="stable")[:, : min(neighbours, len(sample) - 1)]
+    best = []
+    for q in asked:
+        sims = sample @ sample[q]
+        sims[q] = -2
+        best.append(np.argsort(-sims, kind="stable")[: min(neighbours, len(sample) - 1)])
     to_center = _distances(sample[asked] @ centers.T)
     at, lists = index.posts(sample)
     order = np.argsort(at, kind="stable")
@@ -174,8 +185,8 @@ def nearest(
     def placing(method: str):
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for low in range(0, whole.num_rows, 1024):
-                    batch = whole.slice(low, 1024)
+                for low in range(0, whole.num_rows, 4096):
+                    batch = whole.slice(low, 4096)
                     unit = unit_rows(matrix(batch.column(1).to_pylist(), kind))
                     at, lists = getattr(index.value, method)(unit)
                     yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at)) for c in batch.columns], pa.array(lists)], names=["rep", "vector", "list"])
