@@ -13,7 +13,8 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-WORDS_KEPT = 700_000
+#: Words are kept in two generations of so many.
+WORDS_KEPT = 150_000
 VOCABULARY = "byte_bpe_50k"
 
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -28,16 +29,22 @@ def vocabulary_files(name: str = VOCABULARY) -> tuple[str, str]:
 
 
 class _Words(dict):
-    """The ids of a word, looked up once; forgets all words when there are too many."""
+    """The ids of a word, looked up once. A full generation becomes the old one, from which words that
+    come again are taken over, so frequent words stay."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = array("H", self.encode(word)).tobytes()
         if len(self) >= WORDS_KEPT:
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = array("H", self.encode(word)).tobytes()
+        self[word] = ids
         return ids
 
 

@@ -29,6 +29,8 @@ SIMILAR_PERCENT = 85
 COUNTED_LIST = 64
 #: Classes that meet in one task.
 BLOCK = 256
+#: Bytes of text whose shingles a task computes at once; each takes some fifty bytes more meanwhile.
+TEXT_BYTES = 1 << 20
 #: Members of a larger group that every block of it meets first.
 HUBS = 8
 
@@ -62,7 +64,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """From (id, text): (id, n_shingles, class, signature); without words no class."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 1):
+        for batch in small_batches(batches, 1, TEXT_BYTES):
             sets = shingle_sets(*_texts(batch, 1))
             sizes = np.diff(sets.bounds)
             full = sizes > 0
@@ -244,7 +246,7 @@ def _sets_of(docs: DataFrame) -> DataFrame:
     """(class, set) of the texts, once per class."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 1):
+        for batch in small_batches(batches, 1, TEXT_BYTES):
             sets = shingle_sets(*_texts(batch, 1))
             own = [sets.of(i) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
