@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,8 +16,9 @@ from gridwork.operators import flatten, line_endings, matching, patterns, profil
 from gridwork.operators.ordered import part_numbers
 from gridwork.plans import samples
 from gridwork.plans.harmonize import Harmonized, harmonize
+from gridwork.plans.report import run_report
 from gridwork.plans.samples import table
-from gridwork.session import computed_once, settle
+from gridwork.session import checkpoint_dir, computed_once, settle
 from gridwork.sinks.outputs import audit_lines
 from gridwork.sources import listing
 from gridwork.sources.grid import group_by_sheet_name, merge_formulas
@@ -278,6 +280,29 @@ def listing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.listed_groups(grouped).withColumnRenamed("group", "grp")
 
 
+def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as CSV files in a folder per nation, some of them malformed, run through the whole job
+    and read back from what it wrote."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    place = f"{checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    people = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_nationkey").alias("nation"), F.col("c_custkey").alias("No."), F.col("c_name").alias("Entity"),
+        F.when(F.col("c_custkey") % 10 != 0, F.col("c_mktsegment")).alias("Panel"), F.col("c_acctbal").alias("Balance"),
+    )
+    people.repartition("nation").write.partitionBy("nation").option("header", True).csv(f"{place}/in")
+    broken = nation.where("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("nation"), F.lit('No.,Entity,Panel\n1,"open,x').alias("value"))
+    broken.write.mode("append").partitionBy("nation").option("lineSep", "\n").format("text").save(f"{place}/in")
+    cfg = JobConfig(expected_header_row=1, search_end=1, header_heights=(1,), extensions=(".csv", ".txt"), require_any=())
+    run_report(spark, f"{place}/in", f"{place}/out", cfg)
+    records = spark.read.parquet(f"{place}/out/records")
+    audit = spark.read.json(f"{place}/out/audit").where("type = 'event' AND level = 'ERROR'").groupBy("group").agg(F.count("*").alias("errors"))
+    found = records.groupBy("group").agg(
+        F.count("*").alias("records"), F.sum(F.col("`No.`").cast("long")).alias("keys"), F.count("Panel").alias("panels"),
+        F.round(F.sum(F.col("extras")["Ek | Balance"]["v"].cast("double")), 2).alias("balance"),
+    )
+    return found.join(audit, "group", "left").select(F.substring("group", 8, 9).cast("long").alias("nation"), "records", "keys", "panels", "balance", F.coalesce("errors", F.lit(0)).alias("errors"))
+
+
 def skip_own_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files left after folders with an output marker are skipped, per first folder."""
     files = _document_listing(spark, sf_dir)
@@ -460,7 +485,7 @@ QUERIES = {
         harmonize_workflow, harmonize_records, harmonize_mapping, harmonize_events, group_report, report_totals, row_rules,
         audit_union, fill_down, fill_down_dependent, sheet_name_groups, header_scores, header_exact, workflow_rollup, completeness, topn_other,
         top_groups, category_names, dedup_keep_first, cell_cleaning, out_parts, pattern_groups, top_patterns,
-        extension_distribution, listing_groups, skip_own_outputs, safe_names, name_splits, worklist_plan, worklist_outcome,
+        extension_distribution, listing_groups, written_report, skip_own_outputs, safe_names, name_splits, worklist_plan, worklist_outcome,
         media_classes, sections_chat, sections_html, eol_normalize, eol_counts, truncate_chunk, field_profile, column_widths,
         moments, issue_flatten, field_naming, issue_pick, doc_tree_text, comment_threads, formula_merge,
     )

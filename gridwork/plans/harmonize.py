@@ -88,13 +88,13 @@ def harmonize(
     known = segment.join(columns.groupBy(*HEADER).agg(F.collect_list("col").alias("columns")), HEADER, "left")
     known = known.select(*[c for c in segment.columns if c not in ("winners", "titles", "quality")], "columns")
     lookup = settle(directory(known, known.select(*HEADER)))
-    stray = settle(untitled_columns(place_rows(grid, broadcast_if_small(lookup, F.size("columns")))))
+    stray = settle(untitled_columns(place_rows(grid, broadcast_if_small(lookup))))
     extras = settle(_extras(columns, stray, cfg))
     mapped = settle(_outputs(columns, stray, extras, cfg))
 
     lean = segment.drop("winners", "titles", "quality", "matched", "seg_no")
     lookup = settle(directory(lean, segment_mapping(mapped, cfg)))
-    placed = place_rows(grid, broadcast_if_small(lookup, F.size("mapping")))
+    placed = place_rows(grid, broadcast_if_small(lookup))
     judged = judge_rows(name_cells(placed, cfg), cfg)
     judged = judged.select(
         "group", *HEADER, "file_ord", "sheet_ord", "row_no", "cells", "missing", "entries", "reason"

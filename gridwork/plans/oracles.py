@@ -331,4 +331,8 @@ SELECT o_orderstatus AS file, o_orderkey AS row_no,
   CASE WHEN o_orderkey % 5 <> 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 7 = 0) THEN 1 ELSE 0 END AS missing,
   CASE WHEN o_orderkey % 5 <> 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 7 = 0) THEN '=A' || o_orderkey END AS formula
 FROM orders WHERE NOT (o_orderkey % 5 = 0 AND o_orderkey % 7 = 0)""",
+    "written_report": """
+SELECT c_nationkey::BIGINT AS nation, count(*) AS records, sum(c_custkey)::BIGINT AS keys, count(*) FILTER (c_custkey % 10 <> 0) AS panels,
+  round(sum(c_acctbal), 2) AS balance, CASE WHEN c_nationkey % 5 = 0 THEN 1 ELSE 0 END::BIGINT AS errors
+FROM customer GROUP BY c_nationkey""",
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -41,7 +43,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = os.path.join(tempfile.mkdtemp(prefix="gridwork-"), "checkpoints")
+        # One machine only: tests and trials. The folder goes when the process ends.
+        private = tempfile.mkdtemp(prefix="gridwork-")
+        atexit.register(shutil.rmtree, private, ignore_errors=True)
+        configured = os.path.join(private, "checkpoints")
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
@@ -53,15 +58,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-BROADCAST_ENTRIES = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(settled: DataFrame, entries: Column | None = None) -> DataFrame:
-    """Broadcast a settled table after counting it; larger ones are shuffled. ``entries`` is how
-    many list entries a row holds, for tables with lists."""
-    weight = F.sum(F.lit(1) if entries is None else entries + 1)
-    count = settled.agg(F.coalesce(weight, F.lit(0)).alias("n")).first()["n"]
-    return F.broadcast(settled) if count <= BROADCAST_ENTRIES else settled
+def broadcast_if_small(settled: DataFrame) -> DataFrame:
+    """Broadcast a settled table after measuring it, lists and texts included; larger ones are
+    shuffled."""
+    size = settled.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(settled) if size <= BROADCAST_BYTES else settled
 
 
 def computed_once(value: Column) -> Column:

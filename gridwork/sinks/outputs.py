@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridwork.config import JobConfig
 from gridwork.operators.ordered import part_numbers
 from gridwork.plans.harmonize import Harmonized
-from gridwork.sources.listing import MARKER
+from gridwork.sources.listing import MARKER, qualified
 
 
 class QualityGateError(RuntimeError):
     """The job found errors and its settings forbid an output with errors."""
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    system, target = _file_system(spark, path)
+    return system.exists(target)
 
 
 def check_target(spark: SparkSession, target: str, source: str | None, overwrite: bool) -> None:
     """Refuses to replace anything but an earlier output of this library, and to write into the
     sources."""
-    target, source = target.rstrip("/"), source.rstrip("/") if source else None
-    if source and (target == source or source.startswith(target + "/")):
-        raise ValueError("the output would replace its sources")
+    target = qualified(spark, target)
+    if source is not None:
+        inside = qualified(spark, source) + "/"
+        if inside.startswith(target + "/"):
+            raise ValueError("the output would replace its sources")
     if not path_exists(spark, target):
         return
     if not overwrite:
@@ -44,15 +53,36 @@ def mark_output(spark: SparkSession, target: str) -> None:
     spark.range(1).select(F.lit("gridwork").alias("value")).write.mode("overwrite").text(f"{target}/{MARKER}")
 
 
+# Spark types of cell types; whole and other numbers together are floating.
+COLUMN_TYPES = {"int": "bigint", "float": "double", "bool": "boolean", "date": "date", "datetime": "timestamp_ntz"}
+
+
+def column_types(record: DataFrame, names: Sequence[str]) -> dict[str, str]:
+    """The Spark type of each column: that of its cells if they agree, else text. One pass; what
+    comes to the driver is one short list per column."""
+    kinds = record.agg(*[F.collect_set(F.when(F.col("values")[n]["v"].isNotNull(), F.col("values")[n]["t"])).alias(f"c{i}") for i, n in enumerate(names)])
+    found = dict(zip(names, kinds.first()))
+    types = {}
+    for name, held in found.items():
+        kind = "float" if set(held) == {"int", "float"} else held[0] if len(held) == 1 else "text"
+        types[name] = COLUMN_TYPES.get(kind, "string")
+    return types
+
+
+def typed_columns(record: DataFrame, names: Sequence[str]) -> list[Column]:
+    """The named values as columns of their types. A value that its column's type can't hold exactly,
+    such as a whole number of more digits, makes the query fail rather than lose it."""
+    return [F.col("values")[n]["v"].cast(kind).alias(n) for n, kind in column_types(record, names).items()]
+
+
 def record_parts(record: DataFrame, cfg: JobConfig) -> DataFrame:
-    """Schema columns, preserved columns as a map, provenance, and the output part of each row."""
+    """Schema columns by type, preserved columns as a map of typed cells, provenance, and the output
+    part of each row."""
     numbered = part_numbers(record, "group", cfg.max_rows_per_part)
-    named = [F.col("values")[n]["v"].alias(n) for n in cfg.names]
     known = F.array(*[F.lit(n) for n in cfg.names])
-    extras = F.transform_values(
-        F.map_filter("values", lambda k, v: ~F.array_contains(known, k)), lambda k, v: v["v"]
-    )
-    return numbered.select("group", "part", *named, extras.alias("extras"), "file", "sheet", "row_no", "file_ord", "sheet_ord")
+    extras = F.map_filter("values", lambda k, v: ~F.array_contains(known, k))
+    columns = typed_columns(record, cfg.names)
+    return numbered.select("group", "part", *columns, extras.alias("extras"), "file", "sheet", "row_no", "file_ord", "sheet_ord")
 
 
 def write_records(record: DataFrame, cfg: JobConfig, path: str, mode: str = "errorifexists") -> None:
@@ -91,12 +121,21 @@ def write_texts(normalized: DataFrame, path: str, mode: str = "errorifexists") -
 def write_report(
     result: Harmonized, target: str, source: str | None = None, overwrite: bool = False, audit_only: bool = False
 ) -> None:
-    """Audit tables always, records only if the quality gate lets them pass."""
+    """Audit tables and records, or the audit tables alone. The quality gate comes before any write.
+    Everything is written beside the target and moved there when it is complete, so an earlier
+    output is replaced as a whole or not at all; its marker is written last."""
     spark = result.record.sparkSession
     check_target(spark, target, source, overwrite)
-    mode = "overwrite" if overwrite else "errorifexists"
-    mark_output(spark, target)
-    write_audit(result, f"{target}/audit", mode)
-    quality_gate(result.event, result.cfg)
     if not audit_only:
-        write_records(result.record, result.cfg, f"{target}/records", mode)
+        quality_gate(result.event, result.cfg)
+    staged = f"{target.rstrip('/')}-{uuid.uuid4().hex}.staged"
+    write_audit(result, f"{staged}/audit")
+    if not audit_only:
+        write_records(result.record, result.cfg, f"{staged}/records")
+    mark_output(spark, staged)
+    system, place = _file_system(spark, target)
+    if system.exists(place):
+        check_target(spark, target, source, overwrite)
+        system.delete(place, True)
+    if not system.rename(_file_system(spark, staged)[1], place):
+        raise OSError(f"the output stays at {staged}; it could not be moved to {target}")

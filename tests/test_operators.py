@@ -8,6 +8,7 @@ from gridwork.config import JobConfig, Workflow
 from gridwork.functions.cells import MISSING_RESULT
 from gridwork.operators import flatten, line_endings, ordered, patterns, profile, sections, stats, worklist
 from gridwork.plans.harmonize import extra_columns_of, harmonize, wide
+from gridwork.plans.report import run_report
 from gridwork.sinks import outputs
 from gridwork.sources import listing
 from gridwork.sources.grid import group_by_sheet_name, merge_formulas, parse_failures, parse_texts, parsed_grid, text_grid
@@ -220,10 +221,44 @@ def test_files_to_report(spark, tmp_path):
     with pytest.raises(FileExistsError):
         outputs.write_report(result, target, source)
     outputs.write_report(result, target, source, overwrite=True, audit_only=True)
+    # the earlier records went with the earlier output
+    assert not outputs.path_exists(spark, target + "/records") and outputs.path_exists(spark, target + "/audit")
     with pytest.raises(ValueError):
         outputs.check_target(spark, source, None, overwrite=True)
     with pytest.raises(ValueError):
-        outputs.check_target(spark, str(tmp_path), source, overwrite=True)
+        outputs.check_target(spark, "file:" + str(tmp_path), source, overwrite=True)
+    bad = replace(result, event=result.event.limit(1).withColumn("level", F.lit("ERROR")), cfg=replace(CFG, fail_on_error=True))
+    with pytest.raises(outputs.QualityGateError):
+        outputs.write_report(bad, target, source, overwrite=True)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out", "src"]
+
+
+def test_folder_to_report(spark, tmp_path):
+    (tmp_path / "src" / "A").mkdir(parents=True)
+    (tmp_path / "src" / "B").mkdir()
+    (tmp_path / "src" / "A" / "x.csv").write_text("No.,Entity,Panel\n1,E,P\n2,E,\n")
+    (tmp_path / "src" / "A" / "bad.csv").write_text('No.,"Entity\n')
+    (tmp_path / "src" / "top.csv").write_text("No.,Entity,Panel\n9,E,P\n")
+    (tmp_path / "src" / "B" / "note.md").write_text("none")
+    cfg = replace(CFG, expected_header_row=1, header_heights=(1,))
+    found = run_report(spark, str(tmp_path / "src"), str(tmp_path / "out"), cfg)
+    assert (found.files, found.records, found.errors) == (2, 2, 1)
+    events = {(r["code"], r["file"], r["group"]) for r in spark.read.json(str(tmp_path / "out" / "audit")).where("type = 'event'").collect()}
+    assert {("ROOT_FILE_SKIPPED", "top.csv", None), ("FILE_READ_FAILED", "A/bad.csv", "A"), ("EMPTY_GROUP", None, "B")} <= events
+    with pytest.raises(outputs.QualityGateError):
+        run_report(spark, str(tmp_path / "src"), str(tmp_path / "strict"), replace(cfg, fail_on_error=True))
+    assert not (tmp_path / "strict").exists()
+
+
+def test_columns_are_written_by_type(spark):
+    header = ["No.", "Entity", "Panel", "Notes"]
+    data = grid(spark, sheet([header, [1, 2.5, "x", True], [2, 3, "y", False], [3, None, "z", None]]))
+    result = harmonize(data, replace(CFG, expected_header_row=1, header_heights=(1,)))
+    kinds = dict(outputs.record_parts(result.record, CFG).dtypes)
+    assert (kinds["No."], kinds["Entity"], kinds["Panel"]) == ("bigint", "double", "string")
+    rows = outputs.record_parts(result.record, CFG).orderBy("row_no").collect()
+    assert [(r["No."], r["Entity"]) for r in rows] == [(1, 2.5), (2, 3.0), (3, None)]
+    assert rows[0]["extras"]["Ek | Notes"]["t"] == "bool"
 
 
 def texts(spark, *bodies):
