@@ -43,7 +43,10 @@ def scalar_text(value: Column) -> Column:
 
 def kind_text(value: Column, kind: Column) -> Column:
     """The same for a scalar of known kind."""
-    number = plain_number(_text(value, "$"))
+    shown = plain_number(_text(value, "$"))
+    # A value such as 3.0 comes without its fraction; whole numbers arrive here beyond 18 digits only.
+    short = ~F.contains(shown, F.lit(".")) & (F.length(shown) <= 18)
+    number = F.when(short, F.concat(shown, F.lit(".0"))).otherwise(shown)
     return (
         F.when(kind == "STRING", _text(value, "$"))
         .when(kind == "VOID", F.lit(None).cast("string"))

@@ -419,7 +419,7 @@ def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REQUESTED = ["Key", "URL", "Summary", "Status", "priority", "Assignee", "Created", "Due date", "Labels", "Story Points",
-             "Released", "Description", "Comment"]
+             "Released", "Estimate", "Description", "Comment"]
 SERVER = "https://tracker.example.com/"
 
 

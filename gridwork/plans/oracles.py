@@ -307,12 +307,13 @@ SELECT event_id, round((epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 864000
   CASE WHEN event_id % 2 = 0 OR ts = date_trunc('day', ts) THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS shown FROM events""",
     "issue_flatten": _ISSUES + """
 SELECT 'ORD-' || o_orderkey AS key, 'https://tracker.example.com/browse/ORD-' || o_orderkey AS url, 'Order ' || o_orderkey AS summary,
-  st AS status, o_orderpriority AS priority, c_name AS assignee, day || ' 03:04:05' AS created,
+  st AS status, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Highest' ELSE o_orderpriority END AS priority, c_name AS assignee, day || ' 03:04:05' AS created,
   CASE WHEN o_orderkey % 2 = 0 THEN day ELSE 'soon' END AS due_date, c_mktsegment || chr(10) || o_orderstatus AS labels,
   o_custkey::VARCHAR AS story_points, CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'False' END AS released,
-  'Order ' || o_orderkey || chr(10) || c_name AS description,
+  round(o_totalprice * 1000)::BIGINT || '.0' AS estimate, 'Order ' || o_orderkey || chr(10) || c_name AS description,
   c_name || ' [' || day || ']' || chr(10) || o_orderpriority || chr(10) || chr(10) || 'later' AS comment,
-  CASE st WHEN 'Closed' THEN 'done' WHEN 'In Progress' THEN 'progress' ELSE 'blocked' END AS status_class, NULL::VARCHAR AS priority_class FROM i""",
+  CASE st WHEN 'Closed' THEN 'done' WHEN 'In Progress' THEN 'progress' ELSE 'blocked' END AS status_class,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'high' END AS priority_class FROM i""",
     "field_naming": _ISSUES + """
 SELECT 'ORD-' || o_orderkey AS key, 'Order ' || o_orderkey AS summary, o_custkey::VARCHAR AS points,
   CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'False' END AS released, c_mktsegment || chr(10) || o_orderstatus AS labels FROM i""",

@@ -177,13 +177,15 @@ def issue_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.struct(
         F.concat(F.lit("Order "), number).alias("summary"),
         F.struct(F.lit(1).alias("id"), status.alias("name")).alias("status"),
-        F.struct(F.col("o_orderpriority").alias("value")).alias("priority"),
+        F.struct(F.when(F.col("o_orderpriority") == "1-URGENT", "Highest").otherwise(F.col("o_orderpriority")).alias("value")).alias("priority"),
         F.struct(F.col("c_name").alias("displayName"), F.col("c_custkey").alias("key")).alias("assignee"),
         F.concat(day, F.lit("T03:04:05.000+0300")).alias("created"),
         due.alias("duedate"),
         F.array(F.col("c_mktsegment"), F.lit(""), F.col("o_orderstatus")).alias("labels"),
         F.col("o_custkey").alias("customfield_10016"),
         (F.col("o_orderstatus") == "F").alias("customfield_10017"),
+        # Written with an exponent as soon as it has eight digits.
+        F.round(F.col("o_totalprice") * 1000).alias("customfield_10018"),
         document.alias("description"),
         comments.alias("comment"),
     )
@@ -196,6 +198,7 @@ def field_catalogue(issues: DataFrame) -> DataFrame:
     names = {
         "customfield_10016": "Story Points",
         "customfield_10017": "Released",
+        "customfield_10018": "Estimate",
         "duedate": "Due date",
         "comment": "Comment",
     }
