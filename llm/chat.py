@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from llm.bpe import byte_bpe, vocabulary_files
-from llm.common import small_batches, table, text_or_empty
+from llm.common import bounded_batches, small_batches, table, text_or_empty
 
 MARKERS = ("<|turn|>", "<|text|>", "<|end|>")
 #: Control strings of this template and of others in use.
@@ -52,6 +52,7 @@ def format_turns(
     order of turn (null first) and tie, which orders rows of one turn by role and text; repeated rows are
     turns of their own. Null roles and texts are empty; rows whose conversation is null make up one
     conversation. Other columns play no part."""
+    bounded_batches()
     files = files or vocabulary_files()
     rows = turns.select(
         F.col(conv).alias("conv"), F.col(turn).alias("turn"), text_or_empty(role).alias("role"), text_or_empty(text).alias("text")

@@ -30,6 +30,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+DEFAULT_BYTES, TEXT_BATCH = "67108864b", "4m"
+
+
+def bounded_batches() -> None:
+    """Texts reach Python in batches of a few MB, as they may be long: the session's limit in bytes is
+    lowered, unless it was set by hand."""
+    conf = SparkSession.active().conf
+    if conf.get(BATCH_BYTES) == DEFAULT_BYTES:
+        conf.set(BATCH_BYTES, TEXT_BATCH)
+
+
 def text_or_empty(column: Column | str) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from llm.common import grouped, sent_if_few, small_batches, table, text_or_empty, together, written
+from llm.common import bounded_batches, grouped, sent_if_few, small_batches, table, text_or_empty, together, written
 from llm.graph import components, forest
 from llm.shingles import mixed, shingle_sets
 
@@ -210,6 +210,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     Repeated rows (same id and same words) are one document; rows with the same id and other words are
     documents of their own. Null or empty texts have no shingles and link with nothing; rows without id
     neither, their component_id is null and they are kept. Other columns play no part."""
+    bounded_batches()
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text).alias("text"))
     signs = written(signed(rows), "signatures")
     named = signs.filter(F.col("id").isNotNull() & F.col("class").isNotNull())

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from llm.bpe import byte_bpe, vocabulary_files
-from llm.common import grouped, small_batches, table, text_or_empty, together, written
+from llm.common import bounded_batches, grouped, small_batches, table, text_or_empty, together, written
 
 WINDOW = 1024
 END_ID = 0
@@ -178,6 +178,7 @@ def pack(
     empty table gives no pieces. Other columns play no part."""
     if window < 1 or window & (window - 1):
         raise ValueError("the window must be a power of two")
+    bounded_batches()
     files = files or vocabulary_files()
     vocabulary = byte_bpe(*files).size
     rows = written(encoded(docs, id_column, text, window, files), "encoded")

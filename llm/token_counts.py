@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from llm.bpe import byte_bpe, vocabulary_files
-from llm.common import small_batches, table, text_or_empty
+from llm.common import bounded_batches, small_batches, table, text_or_empty
 
 #: first: the section that holds a token's first character; last: its last one; share: each section gets
 #: the part of the token's characters that it holds.
@@ -83,6 +83,7 @@ def attribute_tokens(
     be null, and sections of a null id belong to no document. Other columns play no part."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    bounded_batches()
     files = files or vocabulary_files()
     kind = docs.schema[id_column].dataType
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text).alias("body"))

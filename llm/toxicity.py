@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from llm.common import small_batches, table, text_or_empty, written
+from llm.common import bounded_batches, table, text_or_empty, written
 
 #: The classifier is fitted on so many labelled documents at most, those with the smallest id hashes.
 SAMPLE_DOCS = 20_000
@@ -163,6 +163,7 @@ def train(
     toxic ones. Labels that only tell toxic (1) from clean (0) are split into grades by how many marked
     features a document holds (``grade_from``); labels with more values are grades already. Labels
     without id or value are left out, repeated texts count once."""
+    bounded_batches()
     learnt = _sample(docs, labels, id_column, text, grade, sample)
     names = _candidates(learnt)
     if not names:
@@ -222,6 +223,8 @@ def grade_texts(model: ToxicityModel | None, text: Column) -> Column:
     if model is None:
         return F.struct(F.lit(0.0).alias("severity"), F.lit(0.0).alias("p_toxic"), F.lit(0).alias("grade"))
 
+    bounded_batches()
+
     @F.pandas_udf("severity double, p_toxic double, grade int")
     def grade(texts: pd.Series) -> pd.DataFrame:
         scores = np.array([raw_score(model, x) for x in texts], dtype=np.float64)
