@@ -29,6 +29,8 @@ GRAPH_DEGREE = 16
 WANTED_RECALL = 0.98
 BLOCK = 2048
 QUERY_BLOCK = 1024
+#: Lists that a query searches before the rest.
+FIRST_LISTS = 8
 ROWS_AT_ONCE = 256
 SEED = 7
 
@@ -80,10 +82,10 @@ class Centroids:
             more[who, column], more_d[who, column] = to, d
             found, dist = np.hstack([found, more]), np.hstack([dist, more_d])
 
-    def _near(self, rows: np.ndarray, beam: int, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row number, centroid) of the nearest centroids, ``most`` at the utmost, that lie at most
+    def _near(self, rows: np.ndarray, beam: int, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row number, centroid, place) of the nearest centroids, ``most`` at the utmost, that lie at most
         ``ratio`` times as far as the nearest. Few rows at a time, as walking takes memory."""
-        numbers, nodes = [], []
+        numbers, nodes, places = [], [], []
         for low in range(0, len(rows), ROWS_AT_ONCE):
             found, dist = self.nearest(rows[low : low + ROWS_AT_ONCE], beam)
             found, dist = found[:, :most], dist[:, :most]
@@ -92,15 +94,16 @@ class Centroids:
             at, place = np.nonzero(near)
             numbers.append(at + low)
             nodes.append(found[at, place])
+            places.append(place)
         none = np.zeros(0, dtype=np.int64)
-        return np.concatenate([none, *numbers]), np.concatenate([none, *nodes])
+        return tuple(np.concatenate([none, *x]) for x in (numbers, nodes, places))
 
-    def posts(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(vector number, list) of each posting."""
+    def posts(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vector number, list, place) of each posting."""
         return self._near(vectors, max(8, 2 * REPLICAS), REPLICAS, REPLICA_RATIO)
 
-    def lists(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, list) of each list to search."""
+    def lists(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, list, place) of each list to search, the nearest of a query at place 0."""
         return self._near(queries, self.beam, self.beam, self.ratio)
 
 
@@ -146,7 +149,7 @@ def fit(sample: np.ndarray, vectors: int, neighbours: int) -> Centroids:
         sims[q] = -2
         best.append(np.argsort(-sims, kind="stable")[: min(neighbours, len(sample) - 1)])
     to_center = _distances(sample[asked] @ centers.T)
-    at, lists = index.posts(sample)
+    at, lists, _ = index.posts(sample)
     order = np.argsort(at, kind="stable")
     at, lists = at[order], lists[order]
     low = np.searchsorted(at, np.arange(len(sample) + 1))
@@ -188,30 +191,19 @@ def nearest(
                 for low in range(0, whole.num_rows, 4096):
                     batch = whole.slice(low, 4096)
                     unit = unit_rows(matrix(batch.column(1).to_pylist(), kind))
-                    at, lists = getattr(index.value, method)(unit)
-                    yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at)) for c in batch.columns], pa.array(lists)], names=["rep", "vector", "list"])
+                    at, lists, place = getattr(index.value, method)(unit)
+                    yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at)) for c in batch.columns], pa.array(lists), pa.array(place)], names=places.names)
 
         return place
 
-    places = T.StructType([T.StructField("rep", key), T.StructField("vector", T.BinaryType()), T.StructField("list", T.LongType())])
+    places = T.StructType([T.StructField("rep", key), T.StructField("vector", T.BinaryType()), T.StructField("list", T.LongType()), T.StructField("place", T.LongType())])
     posted = written(classes.select("rep", "vector").mapInArrow(placing("posts"), places), "postings")
     asked = rows.filter(queries).join(classes.select("rep", "vector"), "vector").select(F.col("id").alias("query_id"), "rep", "vector")
     asked = written(asked, "queries")
     wanted = asked.select("rep", "vector").distinct().mapInArrow(placing("lists"), places)
     wanted = written(wanted, "searches")
-    sizes = posted.groupBy("list").agg(_blocks(F.count("*"), BLOCK).alias("blocks"))
-    sizes = sizes.join(wanted.groupBy("list").agg(_blocks(F.count("*"), QUERY_BLOCK).alias("query_blocks")), "list")
-    # One row per list, of which there are no more than MOST_LISTS.
-    sizes = F.broadcast(sizes)
-
-    def dealt(table: DataFrame, side: int, own: str, other: str) -> DataFrame:
-        mine = table.join(sizes, "list").withColumn(own[:-1], F.pmod(F.xxhash64("rep"), F.col(own)))
-        mine = mine.withColumn(other[:-1], F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
-        meeting = F.concat_ws("/", "list", "block", "query_block").alias("meeting")
-        return mine.select(meeting, F.lit(side).alias("side"), "rep", "vector")
-
-    meetings = dealt(wanted, 0, "query_blocks", "blocks").unionByName(dealt(posted, 1, "blocks", "query_blocks"))
     found = T.StructType([T.StructField("rep", key), T.StructField("near", key), T.StructField("score", T.DoubleType())])
+    by_class = Window.partitionBy("rep").orderBy(F.desc("score"), "near")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches):
@@ -225,19 +217,44 @@ def nearest(
             # Some more than wanted, as this product's last digits depend on the block.
             most = min(neighbours + 4, len(v))
             best = np.argpartition(-sims, most - 1, axis=1)[:, :most]
-            left, right = q[np.repeat(np.arange(len(q)), most)], v[best.ravel()]
-            scores = cosines(values[left], values[right])
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(left)), names.take(pa.array(right)), pa.array(scores)], names=found.names)
-
-    hits = together(meetings, "meeting").mapInArrow(search, found).groupBy("rep", "near").agg(F.max("score").alias("score"))
-    by_class = Window.partitionBy("rep").orderBy(F.desc("score"), "near")
-    top = hits.withColumn("place", F.row_number().over(by_class)).filter(F.col("place") <= neighbours + 1)
+            bound = group.column(4).to_numpy()[q] - 1e-9
+            row, place = np.nonzero(np.take_along_axis(sims, best, 1) >= bound[:, None])
+            left, right = q[row], v[best[row, place]]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(left)), names.take(pa.array(right)), pa.array(cosines(values[left], values[right]))], names=found.names)
+
+    def hits(queries: DataFrame) -> DataFrame:
+        """What the lists of these searches (rep, vector, list, bound) hold that is no worse than bound."""
+        sizes = posted.groupBy("list").agg(_blocks(F.count("*"), BLOCK).alias("blocks"))
+        sizes = sizes.join(queries.groupBy("list").agg(_blocks(F.count("*"), QUERY_BLOCK).alias("query_blocks")), "list")
+
+        def dealt(table: DataFrame, side: int, own: str, other: str, bound: Column) -> DataFrame:
+            # One row per list, of which there are no more than MOST_LISTS.
+            mine = table.join(F.broadcast(sizes), "list").withColumn(own[:-1], F.pmod(F.xxhash64("rep"), F.col(own)))
+            mine = mine.withColumn(other[:-1], F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+            meeting = F.concat_ws("/", "list", "block", "query_block").alias("meeting")
+            return mine.select(meeting, F.lit(side).alias("side"), "rep", "vector", bound.alias("bound"))
+
+        asking = dealt(queries, 0, "query_blocks", "blocks", F.col("bound"))
+        held = dealt(posted, 1, "blocks", "query_blocks", F.lit(0.0))
+        return together(asking.unionByName(held), "meeting").mapInArrow(search, found)
+
+    def ranked(hits: DataFrame) -> DataFrame:
+        once = hits.groupBy("rep", "near").agg(F.max("score").alias("score"))
+        return once.withColumn("place", F.row_number().over(by_class)).filter(F.col("place") <= neighbours + 1)
+
+    # The nearest lists give each query a bound; the others add only what is no worse.
+    first = ranked(hits(wanted.filter(F.col("place") < FIRST_LISTS).withColumn("bound", F.lit(-2.0))))
+    first = written(first.select("rep", "near", "score"), "first-hits")
+    bounds = first.groupBy("rep").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    bounds = bounds.select("rep", F.when(F.col("n") > neighbours, F.col("least")).otherwise(-2.0).alias("bound"))
+    others = wanted.filter(F.col("place") >= FIRST_LISTS).join(bounds, "rep", "left").fillna(-2.0, ["bound"])
+    top = ranked(first.unionByName(hits(others)))
     members = classes.select(F.col("rep").alias("near"), "members")
     rows_near = top.join(members, "near").select("rep", "score", F.explode("members").alias("id"))
     own = asked.select("query_id", "rep").join(rows_near, "rep").filter("query_id != id")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = own.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= neighbours)
-    return ranked.select("query_id", "rank", "id", "score")
+    out = own.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= neighbours)
+    return out.select("query_id", "rank", "id", "score")
 
 
 def recall(found: DataFrame, vectors: np.ndarray, ids: np.ndarray, neighbours: int = 5) -> float:
