@@ -75,29 +75,28 @@ def _sample(docs: DataFrame, labels: DataFrame, id_column: str, text: str, grade
     return written(found.groupBy("text").agg(F.max("grade").alias("grade")), "toxic-sample")
 
 
-def _candidates(sample: DataFrame) -> list[str]:
-    """Features that occur in enough sampled documents, most of them labelled toxic."""
+def _document_counts(texts: DataFrame, among: frozenset[str] | None = None) -> DataFrame:
+    """(feature, n): in how many texts each feature occurs, or each of ``among``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad: Counter = Counter()
-        every: Counter = Counter()
+        seen: Counter = Counter()
         for batch in batches:
-            for text, grade in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text in batch.column(0).to_pylist():
                 found = features_of(text).keys()
-                every.update(found)
-                if grade:
-                    bad.update(found)
-        names = list(every)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([bad[x] for x in names], pa.int64()), pa.array([every[x] for x in names], pa.int64())],
-            names=["feature", "bad", "every"],
-        )
-
-    counts = sample.mapInArrow(count, "feature string, bad long, every long")
-    counts = counts.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("every").alias("every"))
-    kept = counts.filter((F.col("bad") >= LEAST_DOCS) & (F.col("bad") >= LEAST_PURITY * F.col("every")))
-    kept = kept.orderBy(F.desc(F.col("bad") * F.col("bad") / F.col("every")), "feature").limit(MOST_FEATURES)
-    return [row.feature for row in kept.collect()]
+                seen.update(found if among is None else found & among)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["feature", "n"])
+
+    return texts.select("text").mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def _candidates(sample: DataFrame) -> list[str]:
+    """Features that occur in enough sampled documents, most of them labelled toxic. Only features of
+    toxic documents are counted in all; the sample bounds how many there are."""
+    often = _document_counts(sample.filter("grade > 0")).filter(F.col("n") >= LEAST_DOCS)
+    bad = {row.feature: row.n for row in often.collect()}
+    every = _document_counts(sample, frozenset(bad)).collect() if bad else []
+    scored = [(bad[row.feature] ** 2 / row.n, row.feature) for row in every if bad[row.feature] >= LEAST_PURITY * row.n]
+    return [feature for _, feature in sorted(scored, key=lambda x: (-x[0], x[1]))[:MOST_FEATURES]]
 
 
 def fit(rows: list[list[tuple[int, float]]], grades: np.ndarray, n_features: int, penalty: float = PENALTY, steps: int = 600):
