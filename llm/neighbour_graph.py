@@ -4,7 +4,8 @@ Equal vectors are one class. Buckets of random hyperplanes give each class a fir
 rounds of neighbours-of-neighbours joins refine the lists. Pairs at the threshold link classes into
 components. A list that is full of links is saturated, so the lists of linked classes are then enlarged to
 their whole component, block against block, where links are counted and not written out. An audit holds a
-sample against brute force and asks for more buckets if links are missing.
+sample against brute force and asks for more buckets if links are missing; a search that still misses
+links after the last attempt fails.
 """
 
 from __future__ import annotations
@@ -29,8 +30,11 @@ MOST_ROUNDS = 4
 #: Rounds end when fewer than this share of the list places change.
 STILL = 0.02
 AUDITED = 512
+#: Sampled classes with links that an audit needs, unless all classes have fewer.
+AUDITED_LINKED = 256
 WANTED_RECALL = 0.99
-MOST_ATTEMPTS = 3
+#: Each attempt takes twice as many trees as the one before.
+MOST_ATTEMPTS = 6
 
 _EDGE = "src binary, dst binary, score double, fresh int"
 
@@ -150,29 +154,40 @@ def _count_links(placed: DataFrame, kind: str) -> DataFrame:
 
 
 def _audit(classes: DataFrame, found: DataFrame, kind: str) -> float:
-    """Share of the links of a sample of classes, by brute force against all, that were found. Classes
-    with the smallest hashes are the sample, AUDITED at most."""
-    sample = classes.orderBy(F.xxhash64(F.lit("audit"), "node"), "node").limit(AUDITED)
-    sample = written(sample, "audit")
-    picked = sample.select("node", "vector").toPandas()
-    if not len(picked):
-        return 1.0
-    sent = classes.sparkSession.sparkContext.broadcast((picked["node"].tolist(), matrix(picked["vector"].tolist(), kind)))
-
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, values = sent.value
-        unit = unit_rows(values)
-        total = np.zeros(len(names), dtype=np.int64)
-        for batch in batches:
-            sims = unit @ unit_rows(matrix(batch.column(1).to_pylist(), kind)).T
-            total += (sims >= THRESHOLD + 1e-9) @ batch.column(2).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(total)], names=["node", "true_links"])
+    """Mean share of their links with other classes, by brute force against all, that was found for the
+    linked classes of a sample. Classes come by the order of a hash, AUDITED first and then more, until
+    AUDITED_LINKED of them are linked or none is left."""
+    spark = classes.sparkSession
+    order = F.xxhash64(F.lit("audit"), "node")
+    least, size, linked, shares = None, AUDITED, 0, 0.0
+    while linked < AUDITED_LINKED:
+        # Whole hashes: classes that share one come together.
+        rest = classes.withColumn("hash", order)
+        rest = rest if least is None else rest.filter(F.col("hash") > least)
+        picked = rest.orderBy("hash").limit(size).select("hash", "node", "vector").toPandas()
+        if not len(picked):
+            break
+        least = int(picked["hash"].iloc[-1])
+        sent = spark.sparkContext.broadcast((picked["node"].tolist(), matrix(picked["vector"].tolist(), kind)))
 
-    true = classes.select("node", "vector", "copies").mapInArrow(hold, "node binary, true_links long").groupBy("node").agg(F.sum("true_links").alias("true_links"))
-    own = sample.select("node", "copies").join(true, "node").join(found, "node", "left")
-    # A class's own copies stand on both sides.
-    sums = own.agg(F.sum(F.col("true_links")), F.sum(F.least(F.col("copies") + F.coalesce("links", F.lit(0)), F.col("true_links")))).first()
-    return sums[1] / sums[0] if sums[0] else 1.0
+        def hold(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, values = sent.value
+            unit = unit_rows(values)
+            total = np.zeros(len(names), dtype=np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, BLOCK):
+                    part = batch.slice(at, BLOCK)
+                    sims = unit @ unit_rows(matrix(part.column(1).to_pylist(), kind)).T
+                    total += (sims >= THRESHOLD + 1e-9) @ part.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(total)], names=["node", "true_links"])
+
+        true = classes.select("node", "vector", "copies").mapInArrow(hold, "node binary, true_links long").groupBy("node").agg(F.sum("true_links").alias("true_links"))
+        # A class always meets its own copies; they say nothing about the search.
+        others = F.col("true_links") - F.col("copies")
+        own = true.join(classes.select("node", "copies"), "node").join(found, "node", "left").withColumn("others", others).filter("others > 0")
+        n, part = own.agg(F.count("*"), F.sum(F.least(F.coalesce("links", F.lit(0)), F.col("others")) / F.col("others"))).first()
+        linked, shares, size = linked + n, shares + (part or 0.0), min(2 * size, 16 * AUDITED)
+    return shares / linked if linked else 1.0
 
 
 def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -187,10 +202,12 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector: str = "e
     rows = written(rows.distinct(), "vectors")
     classes = written(rows.groupBy("node", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     count = classes.count()
-    edges = None
+    edges, trees = None, 0
     for attempt in range(MOST_ATTEMPTS):
-        begun = first_lists(classes, count, kind, attempt)
-        edges = written(_best(begun if edges is None else begun.unionByName(edges)), "lists")
+        for _ in range(1 << attempt):
+            begun = first_lists(classes, count, kind, trees)
+            edges = written(_best(begun if edges is None else begun.unionByName(edges)), "lists")
+            trees += 1
         for step in range(MOST_ROUNDS):
             known = edges.withColumn("fresh", F.lit(0))
             edges = written(_best(known.unionByName(descend(edges, classes, kind, step))), "lists")
@@ -203,8 +220,11 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector: str = "e
         sizes = roots.groupBy("root").agg(F.count("*").alias("size"), F.min("rep").alias("component_id"))
         placed = roots.join(sizes, "root")
         counted = written(_count_links(placed, kind), "links-counted")
-        if _audit(classes, counted, kind) >= WANTED_RECALL:
+        recall = _audit(classes, counted, kind)
+        if recall >= WANTED_RECALL:
             break
+    else:
+        raise RuntimeError(f"the search found {recall:.4f} of the links after {MOST_ATTEMPTS} attempts, {WANTED_RECALL} are wanted")
     named = classes.join(counted, "node", "left").join(placed.select("node", "component_id"), "node", "left")
     n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
     named = named.select("node", n_links.cast("long").alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))

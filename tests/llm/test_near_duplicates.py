@@ -149,6 +149,28 @@ def test_near_vectors_against_brute_force(spark, monkeypatch):
     assert neighbour_graph.near_vectors(_vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_audit_sees_missing_links_of_few_and_uneven_classes(spark, monkeypatch):
+    monkeypatch.setattr(neighbour_graph, "AUDITED", 64)
+    rng = np.random.default_rng(8)
+    points = rng.standard_normal((700, 24))
+    points[690:] = points[:10] + 0.01 * rng.standard_normal((10, 24))
+    points[300:400] = points[300] + 0.01 * rng.standard_normal((100, 24))
+    rows = [(bytearray(f"{i:04}".encode()), bytearray(p.astype("<f4").tobytes()), 1 + i % 2) for i, p in enumerate(points)]
+    classes = spark.createDataFrame(rows, "node binary, vector binary, copies long")
+    none = spark.createDataFrame([], "node binary, links long")
+    assert neighbour_graph._audit(classes, none, "<f4") == 0
+    group = [(rows[i][0], sum(rows[j][2] for j in range(300, 400)) - rows[i][2]) for i in range(300, 400)]
+    assert neighbour_graph._audit(classes, spark.createDataFrame(group, none.schema), "<f4") == pytest.approx(100 / 120)
+    assert neighbour_graph._audit(classes.limit(0), none, "<f4") == 1
+
+
+def test_near_vectors_fail_when_links_stay_missing(spark, monkeypatch):
+    monkeypatch.setattr(neighbour_graph, "_audit", lambda *_: 0.5)
+    monkeypatch.setattr(neighbour_graph, "MOST_ATTEMPTS", 1)
+    with pytest.raises(RuntimeError):
+        neighbour_graph.near_vectors(_vectors(spark, [(1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0)]))
+
+
 def test_nearest_vectors_recall_and_ties(spark):
     points = _clustered(np.random.default_rng(6))
     points[50:60] = points[0]
