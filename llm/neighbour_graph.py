@@ -1,8 +1,8 @@
 """Near-duplicate vectors by NN-descent.
 
 Equal vectors are one class. Buckets of random hyperplanes give each class a first list of neighbours;
-rounds of neighbours-of-neighbours joins refine the lists. Pairs at the threshold link classes into
-components. A list that is full of links is saturated, so the lists of linked classes are then enlarged to
+rounds of neighbours-of-neighbours joins refine the lists. Pairs at the threshold, in lists or met in
+buckets, link classes into components. A list that is full of links is saturated, so the lists of linked classes are then enlarged to
 their whole component, block against block, where links are counted and not written out. An audit holds a
 sample against brute force and asks for more buckets if links are missing; a search that still misses
 links after the last attempt fails.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from llm.common import grouped, table, together, written
-from llm.graph import components
+from llm.graph import components, forest
 from llm.vectors import comparable, cosines, element_type, matrix, unit_rows
 
 THRESHOLD = 0.9
@@ -26,6 +26,8 @@ LIST = 10
 TREES = 8
 BUCKET = 128
 BLOCK = 512
+#: Members of a larger bucket that stand in every block of it.
+HUBS = 8
 MOST_ROUNDS = 4
 #: Rounds end when fewer than this share of the list places change.
 STILL = 0.02
@@ -37,6 +39,8 @@ WANTED_RECALL = 0.99
 MOST_ATTEMPTS = 6
 
 _EDGE = "src binary, dst binary, score double, fresh int"
+#: Of two classes that hang together the bond says so; it is no place of a list.
+_BEGUN = f"{_EDGE}, bond boolean"
 
 
 def _scored(values: np.ndarray, left: np.ndarray, right: np.ndarray, sims: np.ndarray) -> np.ndarray:
@@ -60,8 +64,10 @@ def _best(edges: DataFrame) -> DataFrame:
 
 
 def first_lists(classes: DataFrame, count: int, kind: str, attempt: int) -> DataFrame:
-    """Neighbours inside buckets of hyperplane signs, TREES different ones. Buckets with more members
-    than a block are dealt into several."""
+    """Neighbours inside buckets of hyperplane signs, TREES different ones, and bonds, a tree of the
+    links among the classes that meet: a list holds only LIST of them, and of a group of tight groups
+    just its own group. Buckets with more members than a block are dealt into several, by another hash
+    in each tree and attempt, and these share some members."""
     bits = max(0, math.ceil(math.log2(max(count, 1) / BUCKET)))
     schema = T.StructType([T.StructField("bucket", T.StringType()), *classes.select("node", "vector").schema.fields])
 
@@ -74,10 +80,14 @@ def first_lists(classes: DataFrame, count: int, kind: str, attempt: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array([f"{tree}/{c}" for c in codes.tolist()], pa.string()), *batch.columns], names=schema.names)
 
     signs = classes.select("node", "vector").mapInArrow(sign, schema)
-    large = signs.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).filter("blocks > 1")
-    dealt = signs.join(large, "bucket", "left")
-    part = F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0).cast("long"))
-    dealt = dealt.select(F.concat_ws("/", "bucket", part).alias("bucket"), "node", "vector")
+    large = signs.groupBy("bucket").agg(F.count("*").alias("members")).filter(F.col("members") > BLOCK)
+    large = large.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("long"))
+    salt = [F.lit(attempt), F.col("bucket"), F.col("node")]
+    zero = F.lit(0).cast("long")
+    dealt = signs.join(large, "bucket", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64(*salt), F.col("blocks")), zero))
+    hub = F.coalesce(F.pmod(F.xxhash64(F.lit("hub"), *salt), F.col("members")) < HUBS, F.lit(False))
+    parts = F.when(hub, F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array("own"))
+    dealt = dealt.withColumn("part", F.explode(parts)).select(F.concat_ws("/", "bucket", "part").alias("bucket"), "node", "vector")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches):
@@ -88,12 +98,20 @@ def first_lists(classes: DataFrame, count: int, kind: str, attempt: int) -> Data
             unit = unit_rows(values)
             sims = unit @ unit.T
             np.fill_diagonal(sims, -2)
+            linked = sims >= THRESHOLD
+            a, b = np.nonzero(np.abs(sims - THRESHOLD) < 1e-9)
+            linked[a, b] = cosines(values[a], values[b]) >= THRESHOLD
+            first = forest(linked | linked.T)
+            bound = np.flatnonzero(first != np.arange(n))
             most = min(LIST, n - 1)
             best = np.argpartition(-sims, most - 1, axis=1)[:, :most]
             left, right = np.repeat(np.arange(n), most), best.ravel()
-            yield _edges(group.column(1).combine_chunks(), left, right, _scored(values, left, right, sims[left, right]))
+            names = group.column(1).combine_chunks()
+            for a, b, scores, bond in ((left, right, _scored(values, left, right, sims[left, right]), False), (bound, first[bound], np.ones(len(bound)), True)):
+                edges = _edges(names, a, b, scores)
+                yield pa.RecordBatch.from_arrays([*edges.columns, pa.array(np.full(len(a), bond))], names=[*edges.schema.names, "bond"])
 
-    return together(dealt, "bucket").mapInArrow(compare, _EDGE)
+    return together(dealt, "bucket").mapInArrow(compare, _BEGUN)
 
 
 def descend(edges: DataFrame, classes: DataFrame, kind: str, step: int) -> DataFrame:
@@ -202,10 +220,12 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector: str = "e
     rows = written(rows.distinct(), "vectors")
     classes = written(rows.groupBy("node", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     count = classes.count()
-    edges, trees = None, 0
+    edges, bonds, trees = None, None, 0
     for attempt in range(MOST_ATTEMPTS):
         for _ in range(1 << attempt):
-            begun = first_lists(classes, count, kind, trees)
+            met = written(first_lists(classes, count, kind, trees), "met")
+            begun, bound = met.filter("NOT bond").drop("bond"), met.filter("bond").select("src", "dst")
+            bonds = bound if bonds is None else bonds.unionByName(bound)
             edges = written(_best(begun if edges is None else begun.unionByName(edges)), "lists")
             trees += 1
         for step in range(MOST_ROUNDS):
@@ -214,7 +234,7 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector: str = "e
             changed = edges.agg(F.coalesce(F.sum("fresh"), F.lit(0))).first()[0]
             if changed <= STILL * LIST * count:
                 break
-        links = edges.filter(F.col("score") >= THRESHOLD)
+        links = edges.filter(F.col("score") >= THRESHOLD).select("src", "dst").unionByName(bonds)
         roots = components(links.select(F.col("src").alias("a"), F.col("dst").alias("b")))
         roots = written(roots.join(classes, "node"), "roots")
         sizes = roots.groupBy("root").agg(F.count("*").alias("size"), F.min("rep").alias("component_id"))

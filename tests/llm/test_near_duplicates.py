@@ -164,6 +164,20 @@ def test_audit_sees_missing_links_of_few_and_uneven_classes(spark, monkeypatch):
     assert neighbour_graph._audit(classes.limit(0), none, "<f4") == 1
 
 
+def test_near_vectors_keep_a_tight_group_together(spark):
+    """Forty groups inside one group: the nearest ones of each vector are of its own small group, and
+    nothing else may split the large one. A flat group has more than one block in each bucket."""
+    rng = np.random.default_rng(12)
+    centre = rng.standard_normal(24)
+    centres = np.repeat(centre + 0.05 * rng.standard_normal((40, 24)), 50, axis=0)
+    nested = centres + 0.001 * rng.standard_normal((2000, 24))
+    flat = -centre + 0.05 * rng.standard_normal((700, 24))
+    points = np.concatenate([nested, flat, rng.standard_normal((300, 24))]).astype(np.float32)
+    out = neighbour_graph.near_vectors(_vectors(spark, [(i, [float(x) for x in p], 0) for i, p in enumerate(points)])).collect()
+    assert all((r.n_links, r.component_id) == (1999, 0) for r in out if r.vec_id < 2000)
+    assert all((r.n_links, r.component_id) == (699, 2000) for r in out if 2000 <= r.vec_id < 2700)
+
+
 def test_near_vectors_fail_when_links_stay_missing(spark, monkeypatch):
     monkeypatch.setattr(neighbour_graph, "_audit", lambda *_: 0.5)
     monkeypatch.setattr(neighbour_graph, "MOST_ATTEMPTS", 1)
