@@ -15,6 +15,8 @@ from llm import mixing, packing
 from llm.bpe import byte_bpe, vocabulary_files
 from tools import documents, messy, nothing
 
+CALM = "the river runs along a quiet field and many birds sing over it while old men walk home slowly".split()
+
 
 def _targets(sizes: dict) -> dict:
     """The rule word by word: what lies above three times the size is shared again by weight."""
@@ -127,6 +129,35 @@ def test_packing_prefers_lexical_neighbours():
     assert first[:2] == [0, 2]
 
 
+@pytest.mark.parametrize("long", [False, True])
+def test_related_documents_meet_in_a_window(spark, monkeypatch, long):
+    """Of a corpus many times a shard. What relates long documents stands in their full windows only."""
+    monkeypatch.setattr(packing, "UNITS_PER_SHARD", 16)
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(480):
+        own = [str(100 + 6 * (i % 30) + int(x)) for x in rng.integers(0, 6, 40)]
+        rest = [str(x) for x in rng.choice(CALM, 30)]
+        rows.append((i, " ".join(own * 2 + rest if long else own[:12] + rest[:8])))
+    pieces = packing.pack(documents(spark, rows), window=64).collect()
+    _check_packing(pieces, rows, 64)
+    sequences = {}
+    for p in pieces:
+        sequences.setdefault(p.sequence_id, set()).add(p.doc_id)
+    pairs = [a % 30 == b % 30 for docs in sequences.values() for a in docs for b in docs if a < b]
+    assert len(pairs) > 200 and sum(pairs) > 0.6 * len(pairs)
+
+
+def test_units_of_one_text_are_split(spark, monkeypatch):
+    monkeypatch.setattr(packing, "UNITS_PER_SHARD", 16)
+    rows = [(i, "the same words again") for i in range(300)]
+    units = packing.encoded(documents(spark, rows), "doc_id", "text", 64, vocabulary_files())
+    seen = packing.corpus_weights(units, byte_bpe(*vocabulary_files()).size)[0]
+    sizes = [r["count"] for r in packing.dealt(units.drop("full"), seen).groupBy("shard").count().collect()]
+    assert sum(sizes) == 300 and max(sizes) < 48
+    _check_packing(packing.pack(documents(spark, rows), window=64).collect(), rows, 64)
+
+
 def test_packing_messy_documents(spark):
     pieces = packing.pack(messy(spark)).collect()
     bpe = byte_bpe(*vocabulary_files())
