@@ -11,6 +11,7 @@ full shingle sets then decide, block against block.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,11 @@ from llm.common import bounded_batches, grouped, sent_if_few, small_batches, tab
 from llm.graph import components, forest
 from llm.shingles import mixed, shingle_sets
 
-COORDINATES = 24
-#: A pair at the similarity 0.85 agrees in fewer coordinates than this once in about 60,000 cases.
-LEAST_MATCHES = 13
+#: The contract of the query op7, and what documents of the pipeline are held against.
 SIMILAR_PERCENT = 85
+STAGE_PERCENT = 80
+#: A pair at the wanted similarity agrees in too few coordinates once in so many cases at most.
+MISSED_ONCE_IN = 60_000
 #: Longer posting lists are not compared pair by pair, but linked as a whole.
 COUNTED_LIST = 64
 #: Classes that meet in one task.
@@ -34,17 +36,31 @@ TEXT_BYTES = 1 << 20
 #: Members of a larger group that every block of it meets first.
 HUBS = 8
 
-_SEEDS = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_FACTORS, _ADDENDS = _SEEDS[:COORDINATES] | np.uint64(1), _SEEDS[COORDINATES:]
 
+def miss_rate(coordinates: int, least: int, percent: int) -> float:
+    """How often a pair of that similarity agrees in fewer coordinates than ``least``."""
+    p = percent / 100
+    return sum(math.comb(coordinates, i) * p**i * (1 - p) ** (coordinates - i) for i in range(least))
 
-def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+
+def scheme(percent: int) -> tuple[int, int]:
+    """(coordinates, least matches): the fewest coordinates of which half are enough for MISSED_ONCE_IN; for
+    60 percent or less, where they become many, 64 and as many matches as that allows."""
+    for coordinates in range(8, 65, 4):
+        if miss_rate(coordinates, coordinates // 2, percent) * MISSED_ONCE_IN <= 1:
+            return coordinates, coordinates // 2
+    return 64, max([t for t in range(1, 65) if miss_rate(64, t, percent) * MISSED_ONCE_IN <= 1], default=1)
+
+
+def signatures(hashes: np.ndarray, bounds: np.ndarray, coordinates: int) -> np.ndarray:
     """One row per set: a 64-bit name of (coordinate, minimum) for each coordinate. Sets must not be empty."""
-    out = np.empty((len(bounds) - 1, COORDINATES), dtype=np.uint64)
+    out = np.empty((len(bounds) - 1, coordinates), dtype=np.uint64)
     if not len(out):
         return out
-    for i in range(COORDINATES):
-        least = np.minimum.reduceat(hashes * _FACTORS[i] + _ADDENDS[i], bounds[:-1])
+    seeds = mixed(np.arange(1, 2 * coordinates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    factors, addends = seeds[:coordinates] | np.uint64(1), seeds[coordinates:]
+    for i in range(coordinates):
+        least = np.minimum.reduceat(hashes * factors[i] + addends[i], bounds[:-1])
         out[:, i] = mixed(least + np.uint64(i))
     return out
 
@@ -60,7 +76,7 @@ def _class_of(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, coordinates: int) -> DataFrame:
     """From (id, text): (id, n_shingles, class, signature); without words no class."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,8 +85,8 @@ def signed(docs: DataFrame) -> DataFrame:
             sizes = np.diff(sets.bounds)
             full = sizes > 0
             classes = [_class_of(sets.of(i)) if n else None for i, n in enumerate(sizes)]
-            rows = signatures(sets.hashes, np.concatenate([[0], np.cumsum(sizes[full])]))
-            offsets = np.concatenate([[0], np.cumsum(np.where(full, COORDINATES, 0))]).astype(np.int32)
+            rows = signatures(sets.hashes, np.concatenate([[0], np.cumsum(sizes[full])]), coordinates)
+            offsets = np.concatenate([[0], np.cumsum(np.where(full, coordinates, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes), pa.array(classes, pa.binary()), lists], names=["id", "n_shingles", "class", "signature"]
@@ -87,21 +103,21 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(sign, schema)
 
 
-def _postings(classes: DataFrame) -> DataFrame:
+def _postings(classes: DataFrame, least_matches: int) -> DataFrame:
     """(element, class, n): the rarest shared coordinates of each class, n its list's length. Coordinates
     that no other class has come first in the prefix, and post nothing."""
     elements = classes.select("class", F.explode("signature").alias("element"))
     counts = elements.groupBy("element").agg(F.count("*").alias("posted")).filter("posted > 1")
     shared = elements.join(counts, "element")
     by_class = shared.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("posted", "element"))).alias("shared"))
-    length = F.size("shared") - (LEAST_MATCHES - 1)
+    length = F.size("shared") - (least_matches - 1)
     prefix = by_class.filter(length > 0).select("class", F.explode(F.slice("shared", F.lit(1), length)).alias("e"))
     prefix = written(prefix.select("class", F.col("e.element").alias("element")), "prefix")
     lists = prefix.groupBy("element").agg(F.count("*").alias("n"), F.min("class").alias("first")).filter("n > 1")
     return prefix.join(lists, "element")
 
 
-def _counted_links(postings: DataFrame, classes: DataFrame) -> DataFrame:
+def _counted_links(postings: DataFrame, classes: DataFrame, least_matches: int) -> DataFrame:
     """Links (a, b) among members of a list whose signatures agree often enough; of those that hang
     together only a tree."""
     listed = postings.filter(F.col("n") <= COUNTED_LIST).select("class", "element").join(classes.select("class", "signature"), "class")
@@ -110,8 +126,8 @@ def _counted_links(postings: DataFrame, classes: DataFrame) -> DataFrame:
         left, right = [], []
         for group in grouped(batches):
             names = group.column(1).to_pylist()
-            rows = group.column(2).combine_chunks().flatten().to_numpy().reshape(len(names), COORDINATES)
-            agree = (rows[:, None, :] == rows[None, :, :]).sum(axis=2) >= LEAST_MATCHES
+            rows = group.column(2).combine_chunks().flatten().to_numpy().reshape(len(names), -1)
+            agree = (rows[:, None, :] == rows[None, :, :]).sum(axis=2) >= least_matches
             first = forest(agree)
             for i in np.flatnonzero(first != np.arange(len(names))):
                 left.append(names[i])
@@ -124,7 +140,7 @@ def _counted_links(postings: DataFrame, classes: DataFrame) -> DataFrame:
     return together(listed.select("element", "class", "signature"), "element").mapInArrow(count, "a binary, b binary")
 
 
-def similar(sets: list[np.ndarray], percent: int = SIMILAR_PERCENT) -> np.ndarray:
+def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Which pairs of sets have 100 * intersection >= percent * union, exactly. Only values that several
     sets hold are multiplied out, some thousand at a time."""
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
@@ -147,14 +163,14 @@ def similar(sets: list[np.ndarray], percent: int = SIMILAR_PERCENT) -> np.ndarra
     return 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
 
 
-def _confirmed(meetings: DataFrame) -> DataFrame:
+def _confirmed(meetings: DataFrame, percent: int) -> DataFrame:
     """From rows (meeting, class, set): a tree of links (a, b) among the classes that meet."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches):
             names = group.column(1).to_pylist()
             sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column(2).to_pylist()]
-            first = forest(similar(sets))
+            first = forest(similar(sets, percent))
             linked = [i for i, f in enumerate(first) if f != i]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([names[i] for i in linked], pa.binary()), pa.array([names[first[i]] for i in linked], pa.binary())], names=["a", "b"]
@@ -175,7 +191,7 @@ def _meeting(*parts: Column) -> Column:
     return F.concat_ws("/", *[p.cast("string") for p in parts])
 
 
-def _links(sets: DataFrame) -> DataFrame:
+def _links(sets: DataFrame, percent: int) -> DataFrame:
     """From (class, group, size, set): links that connect whatever similar pairs of a group connect.
     Small groups meet at once. Of a large one, each block meets some hubs; then only what stays outside
     the largest part must meet all blocks, since pairs inside that part add nothing."""
@@ -186,7 +202,8 @@ def _links(sets: DataFrame) -> DataFrame:
     own = _block(F.col("blocks"))
     in_block = large.select(_meeting(group, own).alias("meeting"), "class", "set")
     every = large.filter(hub).withColumn("b", _numbers(F.col("blocks"))).filter(F.col("b") != own)
-    first = written(_confirmed(small.unionByName(in_block).unionByName(every.select(_meeting(group, F.col("b")).alias("meeting"), "class", "set"))), "links")
+    every = every.select(_meeting(group, F.col("b")).alias("meeting"), "class", "set")
+    first = written(_confirmed(small.unionByName(in_block).unionByName(every), percent), "links")
     if large.isEmpty():
         return first
     parts = components(first).select(F.col("node").alias("class"), "root")
@@ -200,32 +217,40 @@ def _links(sets: DataFrame) -> DataFrame:
     # A class that stands on both sides of a meeting comes once, from inside.
     outside = outside.filter(F.col("b") != own)
     meeting = _meeting(group, F.col("o"), F.col("b")).alias("meeting")
-    second = _confirmed(outside.select(meeting, "class", "set").unionByName(inside.select(meeting, "class", "set")))
+    second = _confirmed(outside.select(meeting, "class", "set").unionByName(inside.select(meeting, "class", "set")), percent)
     return first.unionByName(second)
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (id, n_shingles, component_id, kept), one per document.
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = SIMILAR_PERCENT) -> DataFrame:
+    """Rows (id, n_shingles, component_id, kept), one per document. Documents link if so many percent of
+    their shingles are common.
 
     Repeated rows (same id and same words) are one document; rows with the same id and other words are
     documents of their own. Null or empty texts have no shingles and link with nothing; rows without id
     neither, their component_id is null and they are kept. Other columns play no part."""
+    found = _judged(docs, id_column, text, percent)
+    return found.select(F.col("id").alias(id_column), "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, id_column: str, text: str, percent: int) -> DataFrame:
+    """Rows (id, class, n_shingles, component_id, kept) of ``near_duplicates``."""
     bounded_batches()
+    coordinates, least_matches = scheme(percent)
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text).alias("text"))
-    signs = written(signed(rows), "signatures")
+    signs = written(signed(rows, coordinates), "signatures")
     named = signs.filter(F.col("id").isNotNull() & F.col("class").isNotNull())
     classes = named.groupBy("class").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
     classes = written(classes, "classes")
-    postings = _postings(classes)
+    postings = _postings(classes, least_matches)
     stars = postings.filter((F.col("n") > COUNTED_LIST) & (F.col("class") != F.col("first")))
-    candidates = _counted_links(postings, classes).unionByName(stars.select(F.col("class").alias("a"), F.col("first").alias("b")))
+    candidates = _counted_links(postings, classes, least_matches).unionByName(stars.select(F.col("class").alias("a"), F.col("first").alias("b")))
     met = components(candidates).select(F.col("node").alias("class"), F.col("root").alias("group"))
     met = met.join(met.groupBy("group").agg(F.count("*").alias("size")), "group")
     met = written(met, "groups")
     # Only classes that meet others need their sets; they are taken from the texts again.
     ids = sent_if_few(met.join(classes, "class").select("id").distinct())
     again = rows.join(ids, "id", "left_semi")
-    links = components(_links(written(_sets_of(again).join(met, "class"), "sets")))
+    links = components(_links(written(_sets_of(again).join(met, "class"), "sets"), percent))
     roots = links.select(F.col("node").alias("class"), "root").join(classes.select("class", "id"), "class")
     least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
     linked = roots.join(least, "root").select("class", "component_id")
@@ -236,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     out = out.join(alone, "class", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     kept = F.coalesce(component == F.col("id"), F.lit(True))
-    return out.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return out.select("id", "class", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def _repeats(signs: DataFrame) -> bool:
@@ -262,9 +287,9 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = STAGE_PERCENT) -> DataFrame:
     """The documents that are kept, with all their columns. Of repeated rows one stays."""
-    found = written(near_duplicates(docs, id_column, text), "near-duplicates")
+    found = written(near_duplicates(docs, id_column, text, percent), "near-duplicates")
     gone = found.filter(~F.col("kept")).select(id_column).distinct()
     stay = docs.join(sent_if_few(gone), id_column, "left_anti")
     repeated = stay.groupBy(id_column).count().filter("count > 1").select(id_column)

@@ -103,6 +103,16 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
         assert (out[doc].n_shingles, out[doc].component_id, out[doc].kept) == (len(sets[i]), least, least == doc)
 
 
+def test_pages_with_an_edited_paragraph_are_one_in_the_pipeline(spark):
+    words = [f"w{i}" for i in range(204)]
+    edited = words[:90] + [f"new{i}" for i in range(16)] + words[106:]
+    sets = [_set(" ".join(x)) for x in (words, edited)]
+    assert 0.80 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85
+    docs = documents(spark, [(1, " ".join(words)), (2, " ".join(edited)), (3, "another text")])
+    assert sorted(r.doc_id for r in minhash.one_of_each(docs).collect()) == [1, 3]
+    assert all(r.kept for r in minhash.near_duplicates(docs).collect())
+
+
 def test_near_duplicates_of_messy_documents(spark):
     rows = minhash.near_duplicates(messy(spark)).collect()
     assert sorted((r.doc_id or -1, r.n_shingles) for r in rows).count((1, 2)) == 2
