@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -113,6 +114,14 @@ def test_pages_with_an_edited_paragraph_are_one_in_the_pipeline(spark):
     assert all(r.kept for r in minhash.near_duplicates(docs).collect())
 
 
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_coordinates_miss_as_few_pairs_as_said(percent):
+    coordinates, least = minhash.scheme(percent)
+    p = percent / 100
+    missed = sum(math.comb(coordinates, k) * p**k * (1 - p) ** (coordinates - k) for k in range(least))
+    assert missed <= 1 / 60_000
+
+
 def test_near_duplicates_of_messy_documents(spark):
     rows = minhash.near_duplicates(messy(spark)).collect()
     assert sorted((r.doc_id or -1, r.n_shingles) for r in rows).count((1, 2)) == 2
