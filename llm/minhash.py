@@ -282,6 +282,19 @@ def _sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(collect, "class binary, set binary").dropDuplicates(["class"])
 
 
+def _classes_of(docs: DataFrame) -> DataFrame:
+    """(id, mark, class) of texts with words; the mark is the text's MD5."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 2, TEXT_BYTES):
+            sets = shingle_sets(*_texts(batch, 2))
+            classes = [_class_of(x) if len(x) else None for x in map(sets.of, range(batch.num_rows))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classes, pa.binary())], names=["id", "mark", "class"])
+
+    schema = T.StructType([docs.schema["id"], T.StructField("mark", T.StringType()), T.StructField("class", T.BinaryType())])
+    return docs.select("id", F.md5("text"), "text").mapInArrow(name, schema).filter(F.col("class").isNotNull())
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the near-duplicates they hang together with."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -289,9 +302,20 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = STAGE_PERCENT) -> DataFrame:
     """The documents that are kept, with all their columns. Of repeated rows one stays."""
-    found = written(near_duplicates(docs, id_column, text, percent), "near-duplicates")
-    gone = found.filter(~F.col("kept")).select(id_column).distinct()
-    stay = docs.join(sent_if_few(gone), id_column, "left_anti")
+    found = written(_judged(docs, id_column, text, percent), "near-duplicates")
+    gone = found.filter(~F.col("kept")).select("id", "class").distinct()
+    ids = gone.select("id").distinct()
+    # Of an id with several texts, some may stay.
+    partly = written(found.filter("kept").select("id").join(sent_if_few(ids), "id", "left_semi").distinct(), "partly-kept")
+    if partly.isEmpty():
+        stay = docs.join(sent_if_few(ids.withColumnRenamed("id", id_column)), id_column, "left_anti")
+    else:
+        whole = ids.join(partly, "id", "left_anti").withColumnRenamed("id", id_column)
+        rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text).alias("text"))
+        texts = _classes_of(rows.join(sent_if_few(partly), "id", "left_semi")).join(gone, ["id", "class"]).select("id", "mark").distinct()
+        texts = written(texts, "gone-texts")
+        stay = docs.join(sent_if_few(whole), id_column, "left_anti")
+        stay = stay.join(texts, (stay[id_column] == texts["id"]) & (F.md5(text_or_empty(stay[text])) == texts["mark"]), "left_anti")
     repeated = stay.groupBy(id_column).count().filter("count > 1").select(id_column)
     if repeated.isEmpty():
         return stay

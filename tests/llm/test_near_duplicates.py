@@ -114,6 +114,13 @@ def test_pages_with_an_edited_paragraph_are_one_in_the_pipeline(spark):
     assert all(r.kept for r in minhash.near_duplicates(docs).collect())
 
 
+def test_of_an_id_only_the_near_copy_goes(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, base), (5, base + " more"), (5, base.upper() + " more"), (5, "a text of its own"), (6, base), (7, None), (None, base)]
+    kept = minhash.one_of_each(documents(spark, rows)).collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept) == [(0, base), (1, base), (5, "a text of its own"), (7, "")]
+
+
 @pytest.mark.parametrize("percent", [80, 85, 95])
 def test_coordinates_miss_as_few_pairs_as_said(percent):
     coordinates, least = minhash.scheme(percent)
