@@ -127,6 +127,31 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert kept.columns == docs.columns and kept.count() == sum(q.kept for q in out.values())
 
 
+def test_quality_of_languages_with_few_labels(spark):
+    """One trusted document, or copies of it, say nothing about how far the others of a language may lie."""
+    rng = np.random.default_rng(10)
+    rows = [(i, " ".join(rng.choice(CALM, 50)) + ".", "en") for i in range(200)]
+    rows += [(300 + i, " ".join(rng.choice(CALM, 50)) + ".", ["few", None][i % 2]) for i in range(100)]
+    rows += [(500 + i, rows[200][1], "few") for i in range(30)]
+    docs = documents(spark, rows)
+    good = [*range(150), 300, 301, *range(500, 530)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r.q for r in quality.with_quality(docs, *quality.fitted(docs, labels)).collect()}
+    assert sum(out[i].kept for i in range(300, 400)) >= 98
+    few = labels.filter("doc_id = 1")
+    assert quality.good_documents(docs, few).count() == docs.count()
+
+
+def test_limits_come_from_models_that_have_not_counted_the_text(spark):
+    """Each trusted text has words of its own: a model that has read them finds them usual."""
+    rng = np.random.default_rng(13)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(40))
+    docs = documents(spark, [(i, text()) for i in range(140)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r.q for r in quality.with_quality(docs, *quality.fitted(docs, labels)).collect()}
+    assert sum(out[i].kept for i in range(40, 140)) >= 95
+
+
 def test_quality_without_labels_and_on_messy_documents(spark):
     labels = spark.createDataFrame([(1, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
     docs = messy(spark)
