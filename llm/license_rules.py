@@ -45,11 +45,11 @@ _OTHERS = {
     "0bsd": ("0bsd", f"0bsd ({_L})?"),
     "apache-1.0": ("apache", f"apache (software)? {_L} (version|v)? (1 0|v1 0)"),
     "apache-1.1": ("apache", f"apache (software)? {_L} (version|v)? (1 1|v1 1)"),
-    "apache-2": ("apache", f"apache (software)? ({_L})? (version|v)? (2|v2|2 0|v2 0)"),
+    "apache-2": ("apache", f"apache (software)? ({_L})? (version|v)? (2 0|v2 0|2|v2)"),
     "apache": ("apache", f"apache (software)? {_L}"),
     "mpl-1.0": ("mozilla", f"mozilla public {_L} (version|v)? 1 0"),
     "mpl-1.1": ("mozilla", f"mozilla public {_L} (version|v)? 1 1"),
-    "mpl-2.0": ("mozilla", f"mozilla public {_L} (version|v)? (2 0|2|v2)"),
+    "mpl-2.0": ("mozilla", f"mozilla public {_L} (version|v)? (2 0|v2 0|2|v2)"),
     "epl-1.0": ("eclipse", f"eclipse public {_L} (version|v)? (1 0|v1 0)"),
     "epl-2.0": ("eclipse", f"eclipse public {_L} (version|v)? (2 0|v2 0)"),
     "cddl-1.0": ("distribution", f"common development and distribution {_L} (version|v)? (1 0)?"),

@@ -175,7 +175,7 @@ def nearest(
     class with its smallest ids, one more than wanted, as no others of it can be in an answer. An empty
     table gives no rows; other columns play no part."""
     kind = element_type(vectors, vector)
-    rows = written(comparable(vectors, id_column, vector), "vectors")
+    rows = written(comparable(vectors, id_column, vector).distinct(), "vectors")
     key = rows.schema["id"].dataType
     schema = T.StructType([T.StructField("query_id", key), T.StructField("rank", T.IntegerType()), T.StructField("id", key), T.StructField("score", T.DoubleType())])
     spark = vectors.sparkSession

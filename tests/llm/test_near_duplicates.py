@@ -233,3 +233,15 @@ def test_nearest_vectors_recall_and_ties(spark):
     assert posting_lists.nearest(_vectors(spark, rows).limit(0), F.col("id") % 50 == 0).count() == 0
     few = posting_lists.nearest(_vectors(spark, rows[:3]), F.col("id") == 0).collect()
     assert sorted(r.id for r in few) == [1, 2]
+
+
+def test_repeated_rows_are_searched_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(62)]
+    rows += [rows[0]] * 3 + [rows[13]] * 2 + [(70, rows[13][1])]
+    found = posting_lists.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id").isin(0, 13)).collect()
+    for query in (0, 13):
+        mine = sorted((r for r in found if r.query_id == query), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5]
+        assert len({r.id for r in mine}) == 5 and query not in {r.id for r in mine}
+    assert [r.id for r in found if r.query_id == 13 and r["rank"] == 1] == [70]

@@ -142,12 +142,38 @@ def test_license_scan(spark):
     )
     assert (plain["n_words"], plain["n_base"], plain["first_word"], plain["base_labels"], plain["labels"]) == (5, 1, 1, "mit", "mit")
     assert (contained["base_labels"], contained["labels"]) == ("apache-2", "apache-2")
-    assert contained["score"] == pytest.approx(7 / 12)
+    assert contained["score"] == pytest.approx(8 / 13)
     assert (twice["n_base"], twice["first_word"], twice["last_word"], twice["base_labels"]) == (3, 0, 8, "cc-by-nc")
     assert gnu["labels"] == "gpl-3-or-later"
     assert (german["n_base"], german["labels"], german["score"], german["first_word"]) == (0, "", 0.0, None)
 
 
+#: Texts, the labels that hold, and how many of their words lie in detections, found by reading.
+LICENSE_TABLE = [
+    ("apache license version 2", "apache-2", 4),
+    ("Apache License, Version 2.0", "apache-2", 5),
+    ("Apache-2.0", "apache-2", 3),
+    ("apache license v2.0 applies", "apache-2", 4),
+    ("Apache License 1.1", "apache-1.1", 4),
+    ("under the MIT license", "mit", 4),
+    ("Expat License", "mit", 2),
+    ("the mitten license", "", 0),
+    ("MPL: Mozilla Public License 2.0", "mpl-2.0", 5),
+    ("Mozilla Public License version 1.1", "mpl-1.1", 6),
+    ("Mozilla Public License v2.0", "mpl-2.0", 5),
+    ("CC BY NC", "cc-by-nc", 3),
+    ("ISC License", "isc", 2),
+    ("The Unlicense", "unlicense", 2),
+    ("no word of it", "", 0),
+]
+
+
+def test_license_table(spark):
+    rows = _scan(spark, *[t for t, _, _ in LICENSE_TABLE])
+    for row, (text, labels, covered) in zip(rows, LICENSE_TABLE, strict=True):
+        assert (row["labels"], round(row["score"] * row["n_words"])) == (labels, covered), text
+
+
 def test_license_scan_of_messy_documents(spark):
     docs = messy(spark)
     out = licenses.scan(docs)
