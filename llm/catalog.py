@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import chat, leaks, licenses, minhash, mixing, neighbour_graph, packing, posting_lists, quality, token_counts, toxicity
+from llm import chat, collocations, leaks, licenses, minhash, mixing, neighbour_graph, packing, posting_lists, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_chat_digests": chat.op9_chat_digests,
     "op10_source_mix": mixing.op10_source_mix,
+    "op11_collocations": collocations.op11_collocations,
     "op13_benchmark_leaks": leaks.op13_benchmark_leaks,
 }
 
@@ -24,5 +25,6 @@ SQL = {
     "op7_near_duplicates": minhash.OP7_SQL,
     "op9_chat_digests": chat.OP9_SQL,
     "op10_source_mix": mixing.OP10_SQL,
+    "op11_collocations": collocations.OP11_SQL,
     "op13_benchmark_leaks": leaks.OP13_SQL,
 }
