@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import chat, collocations, leaks, licenses, minhash, mixing, neighbour_graph, packing, posting_lists, quality, token_counts, toxicity
+from llm import chat, collocations, hard_negatives, leaks, licenses, minhash, mixing, neighbour_graph, packing, posting_lists, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat_digests": chat.op9_chat_digests,
     "op10_source_mix": mixing.op10_source_mix,
     "op11_collocations": collocations.op11_collocations,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_benchmark_leaks": leaks.op13_benchmark_leaks,
 }
 
@@ -26,5 +27,6 @@ SQL = {
     "op9_chat_digests": chat.OP9_SQL,
     "op10_source_mix": mixing.OP10_SQL,
     "op11_collocations": collocations.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
     "op13_benchmark_leaks": leaks.OP13_SQL,
 }
