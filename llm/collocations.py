@@ -33,7 +33,9 @@ LEAVES = 1_000_000
 #: Prefixes are counted in this many buckets a group; no more than ``MOST_BUCKETS``, 8 MB for each length.
 BUCKETS_PER_GROUP, MOST_BUCKETS = 16, 1 << 20
 BLOCK = 1024
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
+#: Suffixes written out at once, some 2 MB.
+SUFFIXES_AT_ONCE = 65_536
 SALTS = 64
 
 _SMALL = np.arange(256, dtype=np.uint8)
@@ -105,7 +107,7 @@ def suffixes(texts: list[bytes], langs: np.ndarray) -> Suffixes:
     after[1:] &= word[:-1]
     after[:1] = False
     start, end = np.flatnonzero(first), np.flatnonzero(after)
-    piece = np.cumsum(_BREAK[data])[start]
+    piece = np.cumsum(_BREAK[data], dtype=np.int32)[start]
     last = np.searchsorted(piece, piece, side="right")
     depth = np.minimum(last - np.arange(len(start)), LONGEST)
     text_end = np.cumsum([len(t) + 1 for t in texts])
@@ -234,6 +236,27 @@ def _prefix_counts(docs: DataFrame, buckets: int) -> tuple[np.ndarray, DataFrame
     return total.reshape(LONGEST, buckets), counted.filter("block < 0").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
+def _blocks(found: Suffixes, first: np.ndarray, counts: np.ndarray, keys: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """Suffixes sorted by their keys (group, language, prefix), one row for each key."""
+    cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+    bounds = [*cuts.tolist(), len(first)]
+    low = found.at[first]
+    size = found.at[first + found.depth[first]] - low
+    data = _slices(found.words, low, size)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    # Lines end where suffixes do; their last byte is the blank after a word.
+    data[ends[1:] - 1] = 10
+    rows = list(zip(bounds, bounds[1:], strict=False))
+    columns = [
+        pa.array(keys[0][cuts]),
+        pa.array([names[i] for i in keys[1][cuts]], pa.string()),
+        pa.array(keys[2][cuts].astype(np.int32)),
+        pa.array([data[ends[a] : ends[b]].tobytes() for a, b in rows], pa.binary()),
+        pa.array([counts[a:b].astype(np.int32).tobytes() for a, b in rows], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["group", "lang", "prefix", "leaves", "counts"])
+
+
 def _leaves(docs: DataFrame, groups) -> DataFrame:
     """Rows (group, lang, prefix, leaves, counts): the suffixes that a task sums for a group, a line each, with
     their numbers as bytes."""
@@ -246,22 +269,10 @@ def _leaves(docs: DataFrame, groups) -> DataFrame:
             order = np.lexsort((length[first], found.lang[first], group[first]))
             first, counts = first[order], counts[order]
             keys = np.stack([group[first], found.lang[first], length[first]])
-            cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if len(first) else np.zeros(0, dtype=np.int64)
-            bounds = [*cuts.tolist(), len(first)]
-            low, size = found.at[first], found.at[first + found.depth[first]] - found.at[first]
-            data = _slices(found.words, low, size)
-            ends = np.concatenate([[0], np.cumsum(size)])
-            # Lines end where suffixes do; their last byte is the blank after a word.
-            data[ends[1:] - 1] = 10
-            rows = [(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
-            columns = [
-                pa.array(keys[0][cuts]),
-                pa.array([names[i] for i in keys[1][cuts]], pa.string()),
-                pa.array(keys[2][cuts].astype(np.int32)),
-                pa.array([data[ends[a] : ends[b]].tobytes() for a, b in rows], pa.binary()),
-                pa.array([counts[a:b].astype(np.int32).tobytes() for a, b in rows], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["group", "lang", "prefix", "leaves", "counts"])
+            # Few suffixes at a time, as their texts repeat each word up to four times.
+            for low in range(0, len(first), SUFFIXES_AT_ONCE):
+                at = slice(low, low + SUFFIXES_AT_ONCE)
+                yield _blocks(found, first[at], counts[at], keys[:, at], names)
 
     return docs.mapInArrow(deal, "group long, lang string, prefix int, leaves binary, counts binary")
 
