@@ -6,7 +6,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Sequence
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -62,27 +61,86 @@ def first_title(raw: Column, mode: str) -> Column:
     return F.get(title_candidates(raw, mode, 1), F.lit(0))
 
 
-@F.pandas_udf(T.DoubleType())
-def _gestalt(labels: pd.Series, aliases: pd.Series) -> pd.Series:
-    matcher = SequenceMatcher(autojunk=False)
-    scores: dict[tuple[str, str], float] = {}
-    for label, alias in {pair for pair in zip(labels, aliases) if pair[0] is not None}:
-        best = 0.0
-        sorted_words = (" ".join(sorted(label.split())), " ".join(sorted(alias.split())))
-        for left, right in ((label.replace(" ", ""), alias.replace(" ", "")), sorted_words):
-            matcher.set_seqs(left, right)
-            best = max(best, matcher.ratio())
-        scores[label, alias] = 100 * best
-    return pd.Series([scores.get(pair) for pair in zip(labels, aliases)], dtype="float64")
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _tail(text: Column, first: Column) -> Column:
+    return F.substr(text, first)
+
+
+def _head(text: Column, size: Column) -> Column:
+    return F.substr(text, F.lit(1), size)
+
+
+def _longest_common(a: Column, b: Column) -> Column:
+    """``struct<i, j, size>`` of the longest text that both hold, at its first place in ``a`` and then in
+    ``b``, counted from 1; size 0 if there is none. A place in ``b`` can begin a common text of n characters
+    only if it and the next place begin one of n - 1, so few places are looked for after the first round."""
+    place = F.struct(F.lit(1).alias("i"), F.lit(1).alias("j"))
+
+    def longer(state: Column, size: Column) -> Column:
+        places = state["places"]
+        likely = F.filter(places, lambda x: F.exists(places, lambda y: y["j"] == x["j"] + 1))
+        found = F.transform(likely, lambda x: F.struct(F.call_function("locate", F.substr(b, x["j"], size), a).alias("i"), x["j"].alias("j")))
+        found = F.filter(found, lambda x: x["i"] > 0)
+
+        def taken(here: Column) -> Column:
+            first, n = F.when(F.size(here) > 0, F.array_min(here)), F.when(F.size(here) > 0, size)
+            return F.struct(here.alias("places"), F.coalesce(first, state["first"]).alias("first"), F.coalesce(n, state["size"]).alias("size"))
+
+        return F.when(F.size(places) == 0, state).otherwise(once(found, taken))
+
+    every = F.transform(F.sequence(F.lit(1), F.length(b) + 1), lambda j: F.struct(F.lit(1).alias("i"), j.alias("j")))
+    start = F.struct(every.alias("places"), place.alias("first"), F.lit(0).alias("size"))
+    steps = F.sequence(F.lit(1), F.least(F.length(a), F.length(b)))
+    return F.aggregate(steps, start, longer, lambda s: F.struct(s["first"]["i"].alias("i"), s["first"]["j"].alias("j"), s["size"].alias("size")))
+
+
+def common_size(left: Column, right: Column) -> Column:
+    """Characters in the matching blocks of two texts: the longest common text, and the same again on what
+    stands before it in both and on what stands behind it in both. Open parts wait on a stack."""
+    part = F.struct(left.alias("a"), right.alias("b"))
+
+    def step(state: Column, _: Column) -> Column:
+        top = F.element_at(state["open"], -1)
+        rest = F.slice(state["open"], F.lit(1), F.size(state["open"]) - 1)
+
+        def split(found: Column) -> Column:
+            before = F.struct(_head(top["a"], found["i"] - 1).alias("a"), _head(top["b"], found["j"] - 1).alias("b"))
+            behind = F.struct(_tail(top["a"], found["i"] + found["size"]).alias("a"), _tail(top["b"], found["j"] + found["size"]).alias("b"))
+            parts = F.filter(F.array(before, behind), lambda p: (p["a"] != "") & (p["b"] != ""))
+            left_open = F.when(found["size"] > 0, F.concat(rest, parts)).otherwise(rest)
+            return F.struct(left_open.alias("open"), (state["size"] + found["size"]).alias("size"))
+
+        return F.when(F.size(state["open"]) == 0, state).otherwise(once(_longest_common(top["a"], top["b"]), split))
+
+    # Every part taken up is the whole, or lies beside a block of at least one character.
+    steps = F.sequence(F.lit(1), 2 * F.least(F.length(left), F.length(right)) + 1)
+    start = F.struct(F.array(part).alias("open"), F.lit(0).alias("size"))
+    return F.aggregate(steps, start, step, lambda s: s["size"])
+
+
+def _gestalt(label: Column, alias: Column) -> Column:
+    """Twice the matching characters by all characters, as percent: of the texts without blanks, or of their
+    sorted words if that is more."""
+
+    def ratio(left: Column, right: Column) -> Column:
+        return F.lit(2.0) * common_size(left, right) / (F.length(left) + F.length(right))
+
+    def sorted_words(text: Column) -> Column:
+        return F.array_join(F.array_sort(F.split(text, " ", -1)), " ")
+
+    return 100 * F.greatest(ratio(compact(label), compact(alias)), ratio(sorted_words(label), sorted_words(alias)))
 
 
 def similarity(label: Column, alias: Column, short_limit: int) -> Column:
-    """0 to 100 for two normal forms. Equal texts, short texts and empty texts never leave the JVM."""
+    """0 to 100 for two normal forms, worked out in the JVM."""
     x, y = compact(label), compact(alias)
     decided = F.when((x == "") | (y == ""), 0.0).when(x == y, 100.0)
     decided = decided.when(F.least(F.length(x), F.length(y)) <= short_limit, 0.0)
-    open_case = decided.isNull()
-    return F.coalesce(decided, _gestalt(F.when(open_case, label), F.when(open_case, alias)))
+    return decided.otherwise(_gestalt(label, alias))
 
 
 def compact(text: Column) -> Column:

@@ -69,7 +69,10 @@ def score_titles(titles: DataFrame, cfg: JobConfig, full: bool) -> DataFrame:
     """
     mode = cfg.text_mode
     candidates = F.posexplode(title_candidates(F.col("raw"), mode, cfg.max_prefix_lines))
-    prefixes = titles.select("raw").distinct().select("raw", candidates.alias("prefix", "text"))
+    # Few titles make many costly pairs, so they are not drawn together into few tasks.
+    spread = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = titles.select("raw").distinct().repartition(spread)
+    prefixes = distinct.select("raw", candidates.alias("prefix", "text"))
     prefixes = prefixes.withColumn("norm", folded(F.col("text")))
     aliases = _alias_array(cfg)
     if not full:

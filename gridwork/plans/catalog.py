@@ -14,7 +14,7 @@ from gridwork.functions.paths import media_class, name_parts
 from gridwork.functions.text import limit_text, pieces, safe_file_name
 from gridwork.operators import flatten, line_endings, matching, patterns, profile, rows, sections, stats, worklist
 from gridwork.operators.ordered import part_numbers
-from gridwork.plans import samples
+from gridwork.plans import audits, samples
 from gridwork.plans.harmonize import Harmonized, harmonize
 from gridwork.plans.report import run_report
 from gridwork.plans.samples import table
@@ -121,12 +121,6 @@ def _part_schema() -> JobConfig:
                    require_any=(), id_column=None, workflow=Workflow(enabled=False)).check()
 
 
-def header_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score all part names, with their type as a second line, against four declared titles."""
-    raw = F.concat(F.col("p_name"), F.lit("\n"), F.lower("p_type"))
-    return matching.score_titles(table(spark, sf_dir, "part").select(raw.alias("raw")).distinct(), _part_schema(), full=True)
-
-
 def header_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts whose name equals a declared title, whatever case, punctuation and later lines."""
     raw = F.concat(F.upper(F.replace("p_name", F.lit(" "), F.lit(" - "))), F.lit("\n"), F.col("p_type"))
@@ -483,10 +477,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         harmonize_workflow, harmonize_records, harmonize_mapping, harmonize_events, group_report, report_totals, row_rules,
-        audit_union, fill_down, fill_down_dependent, sheet_name_groups, header_scores, header_exact, workflow_rollup, completeness, topn_other,
+        audit_union, fill_down, fill_down_dependent, sheet_name_groups, header_exact, workflow_rollup, completeness, topn_other,
         top_groups, category_names, dedup_keep_first, cell_cleaning, out_parts, pattern_groups, top_patterns,
         extension_distribution, listing_groups, written_report, skip_own_outputs, safe_names, name_splits, worklist_plan, worklist_outcome,
         media_classes, sections_chat, sections_html, eol_normalize, eol_counts, truncate_chunk, field_profile, column_widths,
         moments, issue_flatten, field_naming, issue_pick, doc_tree_text, comment_threads, formula_merge,
     )
-}
+} | audits.QUERIES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from gridwork.plans import audits
+
 # Orders as sheets: titles of the three layouts, which rows repeat a header, which are totals.
 _ORDERS = """
 WITH o AS (
@@ -140,7 +142,7 @@ WITH i AS (
 )
 """
 
-ORACLES = {
+ORACLES = audits.SQL | {
     "harmonize_workflow": _ORDERS + """, cls AS (
   SELECT grp, CASE s WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' ELSE 'unknown_status' END AS state,
     CASE WHEN s <> 'O' THEN NULL WHEN layout <> 0 OR c % 4 = 3 THEN 'unknown_turn' WHEN c % 4 = 2 THEN 'other_company' ELSE 'our_company' END AS turn

@@ -40,7 +40,7 @@ TITLES_C = ["Sıra No", "Varlık", "Pannel", "İnceleyen", "Open Closed", "Notes
 ORDERS_CONFIG = JobConfig()
 
 
-def _titles(titles: list[str | None]) -> Column:
+def titles_row(titles: list[str | None]) -> Column:
     return F.array(*[null_cell() if t is None else text_cell(F.lit(t)) for t in titles])
 
 
@@ -70,14 +70,14 @@ def orders_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(layout == 1, F.array(panel, number, reviewer, status, entity, note))
         .otherwise(F.array(number, entity, panel, reviewer, status, note, text_cell(F.lit("second"))))
     )
-    again = F.when(layout == 0, _titles(TITLES_A)).when(layout == 1, _titles(TITLES_B_AGAIN)).otherwise(_titles(TITLES_C))
+    again = F.when(layout == 0, titles_row(TITLES_A)).when(layout == 1, titles_row(TITLES_B_AGAIN)).otherwise(titles_row(TITLES_C))
     rows = orders.withColumn("row_no", key + 13).withColumn("cells", F.when(key % 500 == 250, again).otherwise(data))
     sheets = orders.select("y", "q").distinct()
     head = sheets.withColumn("row_no", F.lit(12)).withColumn(
         "cells",
-        F.when(layout == 0, _titles(TITLES_A)).when(layout == 1, _titles(TITLES_B[1])).otherwise(_titles(TITLES_C)),
+        F.when(layout == 0, titles_row(TITLES_A)).when(layout == 1, titles_row(TITLES_B[1])).otherwise(titles_row(TITLES_C)),
     )
-    upper = sheets.where(layout == 1).withColumn("row_no", F.lit(11)).withColumn("cells", _titles(TITLES_B[0]))
+    upper = sheets.where(layout == 1).withColumn("row_no", F.lit(11)).withColumn("cells", titles_row(TITLES_B[0]))
     columns = ["y", "q", "row_no", "cells"]
     everything = reduce(DataFrame.unionByName, [part.select(*columns) for part in (rows, head, upper)])
     year = F.concat(F.lit("Y"), F.col("y").cast("string"))
@@ -114,7 +114,7 @@ def customer_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 5, F.array(text_cell(F.concat(F.lit("x"), key.cast("string"))), name, segment, reviewer, custom, blank))
         .otherwise(full)
     )
-    titles = _titles(["No.", "Entity", "Panel", "Reviewer Name", "Custom", "Remark"])
+    titles = titles_row(["No.", "Entity", "Panel", "Reviewer Name", "Custom", "Remark"])
     rows = customer.select(F.col("c_nationkey").alias("n"), (key + 13).alias("row_no"), cells.alias("cells"))
     head = nation.select(F.col("n_nationkey").alias("n"), F.lit(12).alias("row_no"), titles.alias("cells"))
     everything = head.unionByName(rows).join(F.broadcast(nation), F.col("n") == F.col("n_nationkey"))
@@ -140,7 +140,7 @@ def fill_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.when(key % 43 == 11, blank).otherwise(F.array(number, entity, panel, reviewer))
     rows = orders.select((key + 13).alias("row_no"), cells.alias("cells"))
     # The header stands above the order with the lowest key.
-    titles = _titles(["No.", "Entity", "Panel", "Reviewer Name"])
+    titles = titles_row(["No.", "Entity", "Panel", "Reviewer Name"])
     head = orders.agg(F.min("o_orderkey")).select(F.lit(12).cast("long").alias("row_no"), titles.alias("cells"))
     return grid_rows(rows.unionByName(head), F.col("cells"), F.col("row_no"), F.lit("all.xlsx"), F.lit("Data"))
 
