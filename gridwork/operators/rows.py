@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwork.config import JobConfig
@@ -97,10 +99,11 @@ def later_copies(rows: DataFrame, scope: str = "group", mark: str = "mark") -> D
     return rows.select(*ROW).join(firsts, ROW, "left_anti")
 
 
-def judge_rows(rows: DataFrame, cfg: JobConfig) -> DataFrame:
-    """Named rows with their ``reason``; blank rows are gone. Fill-down is applied on the way."""
+def judge_rows(rows: DataFrame, cfg: JobConfig, taken_up: list[int] | None = None) -> DataFrame:
+    """Named rows with their ``reason``; blank rows are gone. Fill-down is applied on the way; ``taken_up``
+    then gets the number of rows that each of its rounds judged."""
     if cfg.fill_down:
-        rows = _judge_filled(rows, cfg)
+        rows = _judge_filled(rows, cfg, taken_up)
         return rows.where(~F.col("blank")).drop("blank", "lacking")
     facts = _facts(rows.where(~F.col("blank")), cfg)
     judged = facts.withColumn("reason", computed_once(_reason(cfg, {f: F.col(f) for f in FACTS})))
@@ -115,15 +118,57 @@ def judge_rows(rows: DataFrame, cfg: JobConfig) -> DataFrame:
     ).drop("copy")
 
 
-def _judge_filled(rows: DataFrame, cfg: JobConfig) -> DataFrame:
+RUN = ["file", "sheet", "run"]
+
+
+def _judge_filled(rows: DataFrame, cfg: JobConfig, taken_up: list[int] | None = None) -> DataFrame:
     """Fill-down and verdicts together.
 
-    A row is filled from the accepted rows above it, and whether a row is accepted depends on
-    its filled values. Starting from "only rows without a required value are rejected", both are
-    recomputed over narrow columns until no verdict changes. The first open row of a sheet is
-    right after every round, so what no longer changes is the result of going row by row.
+    A row is filled from the accepted rows above it, and whether a row is accepted depends on its filled
+    values. Blank rows, headers and rows without a required value stop filling whatever is filled, so between
+    them lie runs that don't fill each other. The first round judges all rows as if no other rule rejected any.
+    Each further round takes up only the runs in which a verdict has changed, on narrow columns, and, where
+    copies are dropped, the rows that share a mark with a changed row. The first open row is right after every
+    round, so what no longer changes is the result of going row by row. ``taken_up`` gets the rows of each round.
     """
     fills = list(cfg.fill_down)
+    narrow = _narrow(rows, fills, cfg)
+    base = settle(_fill_round(narrow, fills, cfg))
+    state, delta = base, None
+    if cfg.drop_duplicates:
+        state = base = settle(_with_copies(base, base))
+    changed = settle(_changed(base, narrow))
+    sizes = [narrow.count()] if taken_up is not None else []
+    while not changed.isEmpty():
+        runs = broadcast_if_small(settle(changed.select(*RUN).distinct()))
+        verdicts = state.join(runs, RUN, "left_semi").select(*ROW, "rejected")
+        again = narrow.drop("rejected").join(runs, RUN, "left_semi").join(verdicts, ROW)
+        step = settle(_fill_round(again, fills, cfg))
+        before = settle(state.join(broadcast_if_small(step.select(*ROW)), ROW, "left_semi"))
+        if cfg.drop_duplicates:
+            step, before = _copies_again(state, step, before)
+        if taken_up is not None:
+            sizes.append(step.count())
+        changed = settle(_changed(step, before))
+        # What has been judged again stands for itself; the rest is as the first round left it.
+        older = [] if delta is None else [delta.join(broadcast_if_small(step.select(*ROW)), ROW, "left_anti")]
+        delta = settle(reduce(DataFrame.unionByName, [step, *older]))
+        state = base.join(broadcast_if_small(delta.select(*ROW)), ROW, "left_anti").unionByName(delta)
+    if taken_up is not None:
+        taken_up.extend(sizes)
+    joined = rows.join(state.select(*ROW, "reason", *[f"filled_{i}" for i in range(len(fills))]), ROW)
+
+    def cell(e: Column) -> Column:
+        value = e["c"]
+        for i, name in enumerate(fills):
+            value = F.when(e["k"] == name, F.col(f"filled_{i}")).otherwise(value)
+        return F.struct(e["k"].alias("k"), value.alias("c"))
+
+    return joined.withColumn("entries", F.transform("entries", cell)).drop(*[f"filled_{i}" for i in range(len(fills))])
+
+
+def _narrow(rows: DataFrame, fills: list[str], cfg: JobConfig) -> DataFrame:
+    """What the rounds read of a row, its run, and whether it is rejected whatever is filled."""
     names = F.transform("entries", lambda e: e["k"])
     own = _facts(rows, cfg)
     for i, name in enumerate(fills):
@@ -133,47 +178,31 @@ def _judge_filled(rows: DataFrame, cfg: JobConfig) -> DataFrame:
     fixed_keys = tuple(k for k in cfg.dedup_keys if k not in fills)
     skip_rest = bool(cfg.dedup_keys) and not fixed_keys
     rest = F.lit("") if skip_rest or not cfg.drop_duplicates else fingerprint(keyed, fixed_keys)
-    narrow = settle(
-        own.select(
-            "group",
-            *ROW,
-            "chunk",
-            "file_ord",
-            "sheet_ord",
-            "header_row",
-            "blank",
-            "lacking",
-            *FACTS,
-            *[c for i in range(len(fills)) for c in (f"own_{i}", f"at_{i}")],
-            rest.alias("rest"),
-            F.col("lacking").isNotNull().alias("rejected"),
-        )
+    values = [c for i in range(len(fills)) for c in (f"own_{i}", f"at_{i}")]
+    narrow = own.select(
+        "group", *ROW, "chunk", "file_ord", "sheet_ord", "header_row", "blank", "lacking", *FACTS, *values,
+        rest.alias("rest"), F.col("lacking").isNotNull().alias("rejected"),
     )
-    fixed = narrow.columns
-    while True:
-        step = settle(_fill_round(narrow, fills, cfg))
-        if step.where(F.col("rejected") != F.col("was")).isEmpty():
-            break
-        narrow = step.select(*fixed)
-    final = step.select(*ROW, "reason", *[f"filled_{i}" for i in range(len(fills))])
-    joined = rows.join(final, ROW)
+    seen = last_before(narrow, SHEET, "chunk", "row_no", {"stop": F.when(F.col("blank") | F.col("rejected"), F.lit(True))})
+    run = F.greatest(F.coalesce("stop_before.at", F.lit(-1)), "header_row")
+    return settle(seen.withColumn("run", run).drop("stop_before"))
 
-    def cell(e: Column) -> Column:
-        value = e["c"]
-        for i, name in enumerate(fills):
-            value = F.when(e["k"] == name, F.col(f"filled_{i}")).otherwise(value)
-        return F.struct(e["k"].alias("k"), value.alias("c"))
 
-    return joined.withColumn("entries", F.transform("entries", cell)).drop(*[f"filled_{i}" for i in range(len(fills))])
+def _changed(step: DataFrame, before: DataFrame) -> DataFrame:
+    """Rows whose verdict is another than before, with their run."""
+    was = before.select(*ROW, F.col("rejected").alias("was"))
+    return step.select(*ROW, "run", "rejected").join(was, ROW).where(F.col("rejected") != F.col("was")).select(*ROW, "run")
 
 
 def _fill_round(narrow: DataFrame, fills: list[str], cfg: JobConfig) -> DataFrame:
+    """Filled cells and the first rule broken for all rows of some runs, given which rows are rejected. Where
+    copies are dropped, ``mark`` tells good rows apart."""
     stop = F.col("blank") | F.col("rejected")
     values = {"stop": F.when(stop, F.lit(True))}
     for i in range(len(fills)):
         values[f"fill_{i}"] = F.when(nonempty(F.col(f"own_{i}")) & ~stop, F.col(f"own_{i}"))
     seen = last_before(narrow, SHEET, "chunk", "row_no", values)
-    barrier = F.greatest(F.coalesce("stop_before.at", F.lit(-1)), "header_row")
+    barrier = F.greatest(F.coalesce("stop_before.at", F.lit(-1)), "run")
     n_usable, any_key, first = F.col("n_usable"), F.col("any_key"), F.col("first_usable")
     any_filled, id_cell = F.col("any_filled"), F.col("id_cell")
     for i, name in enumerate(fills):
@@ -191,23 +220,40 @@ def _fill_round(narrow: DataFrame, fills: list[str], cfg: JobConfig) -> DataFram
             id_cell = value
         here = F.struct((F.col(f"at_{i}").cast("int") - 1).alias("at"), value["v"].alias("text"))
         first = F.least(first, F.when(got & usable(value), here))
-    facts = dict(
-        n_usable=n_usable, first_usable=first, any_filled=any_filled, any_key=any_key, id_cell=id_cell
-    )
-    step = seen.withColumn("reason", _reason(cfg, facts)).drop(*[c for c in seen.columns if c.endswith("_before")])
-    if cfg.drop_duplicates:
-        step = _mark_copies(settle(step), fills, cfg)
-    return step.withColumn("was", F.col("rejected")).withColumn("rejected", F.col("reason").isNotNull())
+    facts = dict(n_usable=n_usable, first_usable=first, any_filled=any_filled, any_key=any_key, id_cell=id_cell)
+    judged = seen.withColumn("reason", computed_once(_reason(cfg, facts)))
+    filled = [f"filled_{i}" for i in range(len(fills))]
+    good = F.col("reason").isNull() & ~F.col("blank")
+    mark = F.when(good, _mark(fills, cfg)) if cfg.drop_duplicates else F.lit(None).cast("string")
+    order = ["group", *ROW, "file_ord", "sheet_ord", "run"]
+    return judged.select(*order, "reason", *filled, mark.alias("mark"), F.col("reason").isNotNull().alias("rejected"))
 
 
-def _mark_copies(step: DataFrame, fills: list[str], cfg: JobConfig) -> DataFrame:
+def _mark(fills: list[str], cfg: JobConfig) -> Column:
     listed = [i for i, name in enumerate(fills) if not cfg.dedup_keys or name in cfg.dedup_keys]
     parts = []
     for i in listed:
         value = F.col(f"filled_{i}")
         parts.append(value if cfg.dedup_keys else F.when(nonempty(value), value))
-    mark = F.sha2(F.to_json(F.struct("rest", *[p.alias(f"f{i}") for i, p in zip(listed, parts)])), 256)
-    good = step.where(F.col("reason").isNull() & ~F.col("blank"))
-    copies = later_copies(good.select("group", *ROW, "file_ord", "sheet_ord", mark.alias("mark")))
-    flagged = step.join(copies.withColumn("copy", F.lit(True)), ROW, "left")
-    return flagged.withColumn("reason", F.when(F.col("copy"), DUPLICATE).otherwise(F.col("reason"))).drop("copy")
+    return F.sha2(F.to_json(F.struct("rest", *[p.alias(f"f{i}") for i, p in zip(listed, parts)])), 256)
+
+
+def _with_copies(step: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of ``step`` with verdicts on copies among the rows of ``marked``, which holds all that share a
+    mark with them."""
+    copies = settle(later_copies(marked.where(F.col("mark").isNotNull())).withColumn("copy", F.lit(True)))
+    copy = F.coalesce("copy", F.lit(False))
+    reason = F.when(copy, DUPLICATE).otherwise(F.nullif("reason", F.lit(DUPLICATE)))
+    flagged = step.join(broadcast_if_small(copies), ROW, "left").withColumn("reason", reason)
+    return flagged.withColumn("rejected", F.col("reason").isNotNull()).drop("copy")
+
+
+def _copies_again(state: DataFrame, step: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of a round with verdicts on copies, and rows of other runs that share a mark with them, now
+    or before; with all of them as they were."""
+    marks = step.select("group", "mark").union(before.select("group", "mark")).where(F.col("mark").isNotNull())
+    marks = broadcast_if_small(settle(marks.distinct()))
+    others = state.join(broadcast_if_small(step.select(*ROW)), ROW, "left_anti").join(marks, ["group", "mark"], "left_semi")
+    others = settle(others.select(*step.columns))
+    both = settle(_with_copies(step.unionByName(others), step.unionByName(others)))
+    return both, before.unionByName(others)

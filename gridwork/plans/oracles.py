@@ -185,6 +185,25 @@ WITH r AS (
     last_value(CASE WHEN NOT blank THEN panel END IGNORE NULLS) OVER (PARTITION BY run ORDER BY k) AS panel FROM g
 )
 SELECT k + 13 AS row_no, k::VARCHAR AS no, entity, panel, reviewer FROM f WHERE NOT blank AND NOT footer""",
+    # Row by row: what may be filled down, the marks of good rows so far, and the records.
+    "fill_down_dependent": """
+WITH r AS (
+  SELECT o_orderkey AS k, o_orderkey % 43 = 11 AS blank, o_orderkey % 61 = 7 AS footer, CASE WHEN o_orderkey % 4 = 0 THEN 'E' || o_custkey END AS entity,
+    CASE WHEN o_orderkey % 7 = 0 THEN o_orderpriority END AS panel, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS reviewer FROM orders
+), listed AS (
+  SELECT list({'k': k, 'blank': blank, 'footer': footer, 'entity': entity, 'panel': panel, 'reviewer': reviewer, 'marks': []::UBIGINT[],
+               'records': []::STRUCT(k BIGINT, entity VARCHAR, panel VARCHAR, reviewer VARCHAR)[]} ORDER BY k) AS l FROM r
+), walked AS (
+  SELECT list_reduce(l, lambda s, x: list_transform([{'e': coalesce(x.entity, s.entity), 'p': coalesce(x.panel, s.panel)}], lambda f: list_transform(
+    [NOT x.blank AND NOT x.footer AND 1 + (f.e IS NOT NULL)::INT + (f.p IS NOT NULL)::INT + (x.reviewer IS NOT NULL)::INT >= 3
+     AND NOT list_contains(s.marks, hash([f.e, f.p, x.reviewer]))], lambda good: {
+      'k': x.k, 'blank': x.blank, 'footer': x.footer, 'entity': CASE WHEN good THEN f.e END, 'panel': CASE WHEN good THEN f.p END, 'reviewer': x.reviewer,
+      'marks': CASE WHEN good THEN list_append(s.marks, hash([f.e, f.p, x.reviewer])) ELSE s.marks END,
+      'records': CASE WHEN good THEN list_append(s.records, {'k': x.k, 'entity': f.e, 'panel': f.p, 'reviewer': x.reviewer}) ELSE s.records END})[1])[1],
+    {'k': 0::BIGINT, 'blank': TRUE, 'footer': FALSE, 'entity': NULL::VARCHAR, 'panel': NULL::VARCHAR, 'reviewer': NULL::VARCHAR, 'marks': []::UBIGINT[],
+     'records': []::STRUCT(k BIGINT, entity VARCHAR, panel VARCHAR, reviewer VARCHAR)[]}).records AS records FROM listed
+)
+SELECT x.k + 13 AS row_no, x.k::VARCHAR AS no, x.entity, x.panel, x.reviewer FROM (SELECT unnest(records) AS x FROM walked)""",
     "sheet_name_groups": _ORDERS + """
 SELECT min(CASE WHEN file > 'Y1997' THEN lower(sheet) ELSE sheet END) FILTER (file = first_file) AS grp, count(*) + max(extra) AS n_rows,
   count(DISTINCT file) AS files, count(DISTINCT CASE WHEN file > 'Y1997' THEN lower(sheet) ELSE sheet END) AS spellings
