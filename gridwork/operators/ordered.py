@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridwork.session import settle
+
 CHUNK_ROWS = 100_000
 # Rows of a sheet that look up their header together; a block rarely holds more than a few headers.
 BLOCK_ROWS = 10_000
@@ -33,14 +35,38 @@ def _carried(df: DataFrame, keys: Sequence[str], chunk: Sequence[str], **summari
     return df.groupBy(*keys, *chunk).agg(*[value.alias(name) for name, value in summaries.items()])
 
 
+def ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows dealt by ranges of ``order``, whose bounds Spark samples, with the number of their range in
+    ``_range``. Written once, as ranges dealt anew may have other bounds."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settle(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def total_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, out: str) -> DataFrame:
+    """Adds the sum of ``amount`` over all earlier rows of the same keys. Each range is summed on its own and
+    one row per range carries the sums on, so no task holds all rows of a key."""
+    dealt = ranged(df, [*keys, *order])
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum(amount).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(*BEFORE)
+    bases = sums.select(*keys, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(*BEFORE)
+    running = dealt.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    # No more rows than ranges for a key.
+    joined = running.join(bases, [*keys, "_range"])
+    return joined.withColumn(out, F.col("_base") + F.col("_inside")).drop("_base", "_inside", "_range")
+
+
 def sequence_number(
-    df: DataFrame, keys: Sequence[str], chunk: Sequence[str], order: Sequence[str], out: str
+    df: DataFrame, keys: Sequence[str], chunk: Sequence[str], order: Sequence[str], out: str, many_chunks: bool = False
 ) -> DataFrame:
     """1-based position of every row inside ``keys``. ``(chunk, order)`` must sort like the
-    sequence itself."""
+    sequence itself. Say ``many_chunks`` where a key may have more of them than a task should hold."""
     counts = _carried(df, keys, chunk, _rows=F.count(F.lit(1)))
-    across = Window.partitionBy(*keys).orderBy(*chunk).rowsBetween(*BEFORE)
-    offsets = counts.select(*keys, *chunk, F.coalesce(F.sum("_rows").over(across), F.lit(0)).alias("_offset"))
+    if many_chunks:
+        offsets = total_before(counts, keys, chunk, "_rows", "_offset").drop("_rows")
+    else:
+        across = Window.partitionBy(*keys).orderBy(*chunk).rowsBetween(*BEFORE)
+        offsets = counts.select(*keys, *chunk, F.coalesce(F.sum("_rows").over(across), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*keys, *chunk).orderBy(*order)
     return (
         df.join(offsets, [*keys, *chunk])
@@ -104,7 +130,7 @@ def part_numbers(
 ) -> DataFrame:
     """Output part of every row: at most ``limit`` rows of a group per part, in source order."""
     numbered = sequence_number(
-        df.withColumn("_chunk", chunk_of(F.col(row))), [group], [file, sheet, "_chunk"], [row], "_number"
+        df.withColumn("_chunk", chunk_of(F.col(row))), [group], [file, sheet, "_chunk"], [row], "_number", many_chunks=True
     )
     part = (F.floor((F.col("_number") - 1) / limit) + 1).cast("int")
     return numbered.withColumn("part", part).drop("_number", "_chunk")

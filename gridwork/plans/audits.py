@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridwork.config import ColumnSpec, JobConfig, Workflow
 from gridwork.functions.cells import MISSING_RESULT, null_cell, text_cell
-from gridwork.operators import matching, stats
+from gridwork.operators import line_endings, matching, patterns
 from gridwork.plans.harmonize import Harmonized, harmonize
-from gridwork.plans.samples import choose, table, titles_row, whole
-from gridwork.sources.grid import MISSING_DDL, grid_rows
+from gridwork.plans.samples import choose, issue_json, order_files, table, titles_row, whole
+from gridwork.session import checkpoint_dir, settle
+from gridwork.sinks.outputs import write_csv_report, write_texts
+from gridwork.sources.grid import MISSING_DDL, grid_rows, group_by_sheet_name, parse_texts, parsed_grid, sheet_failures
+from gridwork.sources.issues import checked_issues
+from gridwork.sources.listing import acceptable, assign_groups, list_files, read_texts, visible_files
 
 # Part names as titles, each spelt in one of six ways, with the part type as a second line.
 
@@ -165,7 +170,102 @@ def sheet_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.unionByName(reasons).withColumnRenamed("group", "grp")
 
 
-QUERIES = {f.__name__: f for f in (header_scores, mapping_audit, header_quality, sheet_outcomes)}
+# Faulty sheets and files: none of their rows stay.
+
+
+def failed_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as sheets, some of which hold a faulty cell, a row without cells or a row number twice: the
+    error events, and the records of the other sheets."""
+    customer = table(spark, sf_dir, "customer")
+    key, n = F.col("c_custkey"), F.col("c_nationkey")
+    number = F.when((n % 5 == 1) & (key % 3 == 0), F.struct(F.lit("int").alias("t"), F.lit("12x").alias("v"))).otherwise(whole(key))
+    cells = F.when((n % 5 != 2) | (key % 2 == 0), F.array(number, text_cell(F.lit("E")), text_cell(F.col("c_mktsegment")), text_cell(F.col("c_name"))))
+    row = F.when((n % 5 == 3) & (key % 4 < 2), key - key % 4 + 60).otherwise(key + 60)
+    rows = customer.select(n.alias("n"), row.alias("row_no"), cells.alias("cells"))
+    titles = titles_row(["No.", "Entity", "Panel", "Reviewer Name"])
+    heads = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.lit(12).cast("long").alias("row_no"), titles.alias("cells"))
+    file = F.concat(F.lit("nation "), F.col("n").cast("string"))
+    grid = grid_rows(rows.unionByName(heads), F.col("cells"), F.col("row_no"), file, F.lit("Data"))
+    result = harmonize(grid, JobConfig(), failures=sheet_failures(grid), keep_rows=True)
+    errors = result.event.where("level = 'ERROR'").select("file", F.col("code").alias("outcome"), F.col("detail"), F.lit(1).cast("long").alias("n"))
+    records = result.record.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    return errors.unionByName(records.select("file", F.lit("records").alias("outcome"), F.lit("").alias("detail"), "n"))
+
+
+def issue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues as JSON lines, a file per priority, two of which hold broken lines: what is read of each file."""
+    issues = issue_json(spark, sf_dir).withColumn("number", F.substring("key", 5, 20).cast("long"))
+    priority = F.get_json_object("fields", "$.priority.value")
+    line = F.concat(F.lit('{"key": "'), F.col("key"), F.lit('", "fields": '), F.col("fields"), F.lit("}"))
+    broken = (priority.isin("2-HIGH", "5-LOW")) & (F.col("number") % 100 == 7)
+    lines = issues.select(priority.alias("file"), F.when(broken, F.substring(line, 1, 30)).otherwise(line).alias("value"))
+    kept, failures = checked_issues(lines)
+    counted = kept.groupBy("file").agg(F.count(F.lit(1)).alias("issues"), F.count_distinct("key").alias("keys"), F.lit(0).cast("long").alias("bad_lines"))
+    failed = failures.groupBy("file").agg(F.lit(0).cast("long").alias("issues"), F.lit(0).cast("long").alias("keys"), F.count(F.lit(1)).alias("bad_lines"))
+    return counted.unionByName(failed)
+
+
+# Outputs that are written and read back.
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pattern report in the order of its files and lines, as read back from CSV."""
+    place = _fresh(spark, "patterns")
+    write_csv_report(patterns.pattern_groups(order_files(spark, sf_dir), min_count=2), place)
+    lines = spark.read.option("header", True).schema("mode string, count long, pattern string, extensions string, examples string").csv(place)
+    at = lines.select("*", F.col("_metadata.file_path").alias("part"), F.monotonically_increasing_id().alias("line"))
+    # Files of a report are few lines each; their names sort like their content.
+    order = Window.orderBy("part", "line")
+    return at.withColumn("place", F.row_number().over(order).cast("long")).select("place", "mode", "count", "pattern", "extensions")
+
+
+def rewritten_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with even line ends as a new dataset, read back."""
+    place = _fresh(spark, "texts")
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(text, "UTF-8").alias("content"))
+    write_texts(line_endings.normalize_files(files), place)
+    return spark.read.parquet(place).select("path", F.md5("new_content").alias("digest"), "changed")
+
+
+def sheet_name_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer files in nested folders, grouped by the names of their sheets over the whole tree, but for names
+    that are excluded: files written, listed, read, and merged."""
+    place = _fresh(spark, "tree")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    name = F.concat(F.lit("r"), F.col("c_nationkey") % 3, F.lit("/n"), F.col("c_nationkey"))
+    sheet = choose(F.col("c_nationkey"), F.lit("Parts"), F.lit("parts"), F.lit("Skip"), F.lit("Rest"))
+    line = F.concat_ws(",", F.col("c_custkey"), F.lit("E"), F.col("c_mktsegment"), F.lit("R"))
+    lines = customer.select(name.alias("folder"), sheet.alias("sheet"), F.col("c_custkey").alias("place"), line.alias("value"))
+    heads = lines.select("folder", "sheet", F.lit(0).alias("place"), F.lit("No.,Entity,Panel,Reviewer Name").alias("value")).distinct()
+    files = lines.unionByName(heads).repartition("folder", "sheet").sortWithinPartitions("folder", "sheet", "place")
+    files.drop("place").write.partitionBy("folder", "sheet").option("lineSep", "\n").text(place)
+    cfg = replace(JobConfig(), expected_header_row=1, search_end=1, header_heights=(1,), group_mode="sheet_name", exclude_sheets=("skip",))
+    listed = settle(acceptable(visible_files(list_files(spark, place)), cfg))
+    grouped, _ = assign_groups(listed, cfg)
+    grid = parsed_grid(settle(parse_texts(read_texts(grouped, spark, place))))
+    # The files' sheets are told by their folders here.
+    named = grid.withColumn("sheet", F.regexp_extract("file", "sheet=([^/]*)/", 1))
+    result = harmonize(group_by_sheet_name(named), cfg, keep_rows=True)
+    counted = result.record.groupBy(F.lower("group").alias("grp")).agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct("file").alias("files"), F.sum(F.col("values")["No."]["v"].cast("long")).alias("keys")
+    )
+    excluded = result.event.where("code = 'SHEET_EXCLUDED'").groupBy(F.lower("group").alias("grp")).agg(
+        F.lit(0).cast("long").alias("records"), F.count(F.lit(1)).alias("files"), F.lit(0).cast("long").alias("keys")
+    )
+    return counted.unionByName(excluded)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        header_scores, mapping_audit, header_quality, sheet_outcomes, failed_sheets, issue_files, csv_report, rewritten_texts, sheet_name_files,
+    )
+}
 
 _NATIONS = """
 WITH nations AS (
@@ -198,6 +298,28 @@ _AUDITS = """titles(layout, source_column, original_title, title, line_count, sc
 )
 """
 
+# Orders as files, and the patterns of their names.
+FILES_SQL = """
+WITH f AS (
+  SELECT o_orderkey AS k, o_orderdate AS d, left(o_orderpriority, 1) AS style, o_orderstatus AS s, md5(o_orderkey::VARCHAR) AS h FROM orders
+), named AS (
+  SELECT s || '/' || CASE style
+    WHEN '1' THEN h[1:8] || '-' || h[9:12] || '-4' || h[14:16] || '-a' || h[18:20] || '-' || h[21:32] || '.json'
+    WHEN '2' THEN 'IMG_' || strftime(d, '%Y%m%d') || '_1230 ' || k || '.JPG'
+    WHEN '3' THEN 'scan ' || strftime(d, '%d.%m.%Y') || ' 12:30:45 ' || k || '.pdf'
+    WHEN '4' THEN 'report_' || strftime(d, '%Y-%m-%d') || '_v1.2_' || k || '.tar.gz'
+    ELSE 'Ölçüm notes-' || k END AS path,
+    CASE style WHEN '1' THEN '.json' WHEN '2' THEN '.jpg' WHEN '3' THEN '.pdf' WHEN '4' THEN '.tar.gz' ELSE '<NO_EXT>' END AS ext,
+    CASE style WHEN '1' THEN '<UUID>' WHEN '2' THEN 'img_<DATETIME:YYYYMMDD_HHMM> ' WHEN '3' THEN 'scan <DATE:DD.MM.YYYY> <TIME:HH:MM:SS> '
+      WHEN '4' THEN 'report_<DATE:YYYY-MM-DD>_<VERSION>_' ELSE 'ölçüm notes-' END
+      || CASE style WHEN '1' THEN '' ELSE '<NUM:' || length(k::VARCHAR) || '>' END AS literal,
+    CASE style WHEN '1' THEN '<UUID>' WHEN '2' THEN '<WORD>_<DATETIME:YYYYMMDD_HHMM> '
+      WHEN '3' THEN '<WORD> <DATE:DD.MM.YYYY> <TIME:HH:MM:SS> ' WHEN '4' THEN '<WORD>_<DATE:YYYY-MM-DD>_<VERSION>_'
+      ELSE '<WORD> <WORD>-' END || CASE style WHEN '1' THEN '' ELSE '<NUM:' || length(k::VARCHAR) || '>' END AS structural
+  FROM f
+)
+"""
+
 SQL = {
     "header_scores": HEADER_SCORES_SQL,
     "mapping_audit": _NATIONS + ", " + _AUDITS + """
@@ -206,6 +328,32 @@ SELECT grp, file, 'Data' AS sheet, header_row::BIGINT AS header_row, 1 AS height
 FROM nations JOIN heads USING (layout) JOIN titles USING (layout)""",
     "header_quality": _NATIONS + """
 SELECT file, header_row::BIGINT AS header_row, 1 AS height, 5::BIGINT AS matched, quality::DOUBLE AS quality FROM nations JOIN heads USING (layout)""",
+    "failed_sheets": """
+WITH c AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer),
+faulty AS (
+  SELECT n, CASE n % 5 WHEN 1 THEN 'a cell does not fit its type' WHEN 2 THEN 'no cells' ELSE 'row number comes twice' END AS detail FROM c
+  WHERE (n % 5 = 1 AND k % 3 = 0) OR (n % 5 = 2 AND k % 2 = 1)
+     OR (n % 5 = 3 AND k % 4 < 2 AND (SELECT count(*) FROM c d WHERE d.n = c.n AND d.k // 4 = c.k // 4 AND d.k % 4 < 2) > 1)
+  GROUP BY ALL)
+SELECT 'nation ' || n AS file, 'SHEET_READ_FAILED' AS outcome, detail, 1::BIGINT AS n FROM faulty
+UNION ALL SELECT 'nation ' || n, 'records', '', count(*) FROM c WHERE n NOT IN (SELECT n FROM faulty) GROUP BY n""",
+    "issue_files": """
+WITH i AS (
+  SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'Highest' ELSE o_orderpriority END AS file,
+    o_orderpriority IN ('2-HIGH', '5-LOW') AND o_orderkey % 100 = 7 AS bad FROM orders JOIN customer ON o_custkey = c_custkey),
+f AS (SELECT file, count(*) AS n, count(*) FILTER (bad) AS bad_lines FROM i GROUP BY file)
+SELECT file, CASE WHEN bad_lines = 0 THEN n ELSE 0 END AS issues, CASE WHEN bad_lines = 0 THEN n ELSE 0 END AS keys, bad_lines FROM f""",
+    "csv_report": FILES_SQL + """, l AS (
+  SELECT 'literal' AS mode, literal || ext AS pattern, ext FROM named UNION ALL SELECT 'structural', structural || ext, ext FROM named),
+g AS (SELECT mode, pattern, count(*) AS count, min(ext) || ':' || count(*) AS extensions FROM l GROUP BY ALL HAVING count(*) >= 2)
+SELECT row_number() OVER (ORDER BY count DESC, mode, encode(pattern)) AS place, mode, count, pattern, extensions FROM g""",
+    "rewritten_texts": """
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text END AS t FROM documents)
+SELECT doc_id::VARCHAR AS path, md5(replace(t, chr(13) || chr(10), chr(10))) AS digest, contains(t, chr(13) || chr(10)) AS changed FROM d""",
+    "sheet_name_files": """
+WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, CASE c_nationkey % 4 WHEN 3 THEN 'rest' WHEN 2 THEN 'skip' ELSE 'parts' END AS grp FROM customer)
+SELECT grp, CASE WHEN grp = 'skip' THEN 0 ELSE count(*) END AS records, count(DISTINCT n) AS files, CASE WHEN grp = 'skip' THEN 0 ELSE sum(k) END::BIGINT AS keys
+FROM c GROUP BY grp""",
     "sheet_outcomes": _NATIONS + """, data AS (
   SELECT grp, file, layout, c_custkey % 9 = 4 AS unread FROM customer JOIN nations ON n = c_nationkey WHERE layout IN (0, 1, 3)),
 outcomes AS (

@@ -95,27 +95,6 @@ cells AS (
 )
 """
 
-_FILES = """
-WITH f AS (
-  SELECT o_orderkey AS k, o_orderdate AS d, left(o_orderpriority, 1) AS style, o_orderstatus AS s, md5(o_orderkey::VARCHAR) AS h FROM orders
-), named AS (
-  SELECT s || '/' || CASE style
-    WHEN '1' THEN h[1:8] || '-' || h[9:12] || '-4' || h[14:16] || '-a' || h[18:20] || '-' || h[21:32] || '.json'
-    WHEN '2' THEN 'IMG_' || strftime(d, '%Y%m%d') || '_1230 ' || k || '.JPG'
-    WHEN '3' THEN 'scan ' || strftime(d, '%d.%m.%Y') || ' 12:30:45 ' || k || '.pdf'
-    WHEN '4' THEN 'report_' || strftime(d, '%Y-%m-%d') || '_v1.2_' || k || '.tar.gz'
-    ELSE 'Ölçüm notes-' || k END AS path,
-    CASE style WHEN '1' THEN '.json' WHEN '2' THEN '.jpg' WHEN '3' THEN '.pdf' WHEN '4' THEN '.tar.gz' ELSE '<NO_EXT>' END AS ext,
-    CASE style WHEN '1' THEN '<UUID>' WHEN '2' THEN 'img_<DATETIME:YYYYMMDD_HHMM> ' WHEN '3' THEN 'scan <DATE:DD.MM.YYYY> <TIME:HH:MM:SS> '
-      WHEN '4' THEN 'report_<DATE:YYYY-MM-DD>_<VERSION>_' ELSE 'ölçüm notes-' END
-      || CASE style WHEN '1' THEN '' ELSE '<NUM:' || length(k::VARCHAR) || '>' END AS literal,
-    CASE style WHEN '1' THEN '<UUID>' WHEN '2' THEN '<WORD>_<DATETIME:YYYYMMDD_HHMM> '
-      WHEN '3' THEN '<WORD> <DATE:DD.MM.YYYY> <TIME:HH:MM:SS> ' WHEN '4' THEN '<WORD>_<DATE:YYYY-MM-DD>_<VERSION>_'
-      ELSE '<WORD> <WORD>-' END || CASE style WHEN '1' THEN '' ELSE '<NUM:' || length(k::VARCHAR) || '>' END AS structural
-  FROM f
-)
-"""
-
 _DOC_FILES = """
 WITH d AS (
   SELECT (CASE WHEN doc_id % 13 = 0 THEN source || '/.git/' WHEN doc_id % 17 = 0 THEN '' ELSE source || '/' || lang || '/' END) ||
@@ -256,13 +235,13 @@ SELECT CASE WHEN p % 6 IN (3, 4, 5) THEN 'text' WHEN z THEN 'text' WHEN p % 6 =
     "out_parts": """
 SELECT o_orderstatus AS grp, o_orderkey AS row_no,
   ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, month(o_orderdate), o_orderkey) - 1) // 1000 + 1)::BIGINT AS part FROM orders""",
-    "pattern_groups": _FILES + """, l AS (
+    "pattern_groups": audits.FILES_SQL + """, l AS (
   SELECT 'literal' AS mode, literal || ext AS pattern, ext, path FROM named UNION ALL SELECT 'structural', structural || ext, ext, path FROM named),
 g AS (SELECT mode, pattern, count(*) AS count, min(ext) || ':' || count(*) AS extensions FROM l GROUP BY ALL HAVING count(*) >= 2),
 e AS (SELECT mode, pattern, string_agg(path, ' | ' ORDER BY path) AS examples FROM
   (SELECT *, row_number() OVER (PARTITION BY mode, pattern ORDER BY path) AS n FROM l) x WHERE n <= 5 GROUP BY ALL)
 SELECT mode, count, pattern, extensions, examples FROM g JOIN e USING (mode, pattern)""",
-    "top_patterns": _FILES + """, x AS (SELECT structural AS pattern, ext, count(*) AS n FROM named GROUP BY ALL)
+    "top_patterns": audits.FILES_SQL + """, x AS (SELECT structural AS pattern, ext, count(*) AS n FROM named GROUP BY ALL)
 SELECT sum(n)::BIGINT AS count, pattern, string_agg(ext || ':' || n, '; ' ORDER BY n DESC, ext) AS extensions FROM x
 GROUP BY pattern HAVING sum(n) >= 2 ORDER BY 1 DESC, 2 LIMIT 5""",
     "extension_distribution": """

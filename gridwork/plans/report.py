@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession, functions as F
 from gridwork.config import JobConfig
 from gridwork.plans.harmonize import event, harmonize
 from gridwork.session import settle
-from gridwork.sinks.outputs import write_report
+from gridwork.sinks.outputs import check_target, recover_output, write_report
 from gridwork.sources.grid import group_by_sheet_name, parse_failures, parse_texts, parsed_grid
 from gridwork.sources.listing import (
     acceptable,
@@ -43,6 +43,9 @@ def run_report(
     file that can't be read or parsed gives an error event and no rows; in strict mode nothing is
     written then."""
     cfg = (cfg or JobConfig()).check()
+    # A target that can't be written is known before any work.
+    recover_output(spark, target)
+    check_target(spark, target, source, overwrite)
     everything = settle(list_files(spark, source))
     kept, skipped = skip_own_outputs(everything, own_outputs(everything))
     files, left_out = assign_groups(acceptable(visible_files(kept), cfg), cfg)

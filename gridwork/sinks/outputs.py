@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -133,9 +133,59 @@ def write_report(
     if not audit_only:
         write_records(result.record, result.cfg, f"{staged}/records")
     mark_output(spark, staged)
-    system, place = _file_system(spark, target)
-    if system.exists(place):
-        check_target(spark, target, source, overwrite)
-        system.delete(place, True)
-    if not system.rename(_file_system(spark, staged)[1], place):
+    publish(spark, staged, target, lambda: check_target(spark, target, source, overwrite))
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> bool:
+    system, place = _file_system(spark, old)
+    return system.rename(place, _file_system(spark, new)[1])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, place = _file_system(spark, path)
+    system.delete(place, True)
+
+
+def _journal(target: str) -> str:
+    return f"{target.rstrip('/')}.journal"
+
+
+def _aside(target: str) -> str:
+    return f"{target.rstrip('/')}.previous"
+
+
+def recover_output(spark: SparkSession, target: str) -> None:
+    """Ends what an interrupted ``publish`` began, as its journal says: without a new output in place the
+    earlier one comes back, else the earlier one goes. Nothing happens without a journal."""
+    if not path_exists(spark, _journal(target)):
+        return
+    if path_exists(spark, _aside(target)):
+        if path_exists(spark, target):
+            _delete(spark, _aside(target))
+        elif not _rename(spark, _aside(target), target):
+            raise OSError(f"the earlier output is at {_aside(target)} and could not be moved back")
+    _delete(spark, _journal(target))
+
+
+def publish(spark: SparkSession, staged: str, target: str, check: Callable[[], None] = lambda: None) -> None:
+    """Puts a finished output in the place of an earlier one, which is renamed aside before and deleted only
+    when the new one is in place. A journal beside them tells a later call what to end if this one is cut off;
+    a move that fails brings the earlier output back at once."""
+    recover_output(spark, target)
+    check()
+    earlier = path_exists(spark, target)
+    if earlier:
+        if path_exists(spark, _aside(target)):
+            raise FileExistsError(f"not made by this library, so it is not deleted: {_aside(target)}")
+        spark.range(1).select(F.lit(staged).alias("value")).write.mode("overwrite").text(_journal(target))
+        if not _rename(spark, target, _aside(target)):
+            _delete(spark, _journal(target))
+            raise OSError(f"the output stays at {staged}; {target} could not be moved aside")
+    moved = False
+    try:
+        moved = _rename(spark, staged, target)
+    finally:
+        # Whatever cut the move off: one of the two outputs is in place.
+        recover_output(spark, target)
+    if not moved:
         raise OSError(f"the output stays at {staged}; it could not be moved to {target}")

@@ -70,6 +70,39 @@ def apply_sheet_rules(grid: DataFrame, cfg: JobConfig) -> tuple[DataFrame, DataF
     return grid.where(allowed), events
 
 
+#: What the text of a cell must look like, by its type; the other types hold any text.
+CELL_FORMS = {
+    "int": r"^[+-]?[0-9]+$",
+    "float": r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(nan|inf|infinity)$",
+    "bool": r"(?i)^(true|false)$",
+    "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
+}
+
+
+def sheet_failures(grid: DataFrame) -> DataFrame:
+    """``group, file, sheet, row_no, detail`` of each sheet of a grid that holds a faulty row, with the first of
+    them: no or no positive row number, a row number that comes twice, no list of cells, or a cell whose text
+    doesn't fit its type. ``harmonize`` keeps none of the rows of such sheets. One row per sheet and kind of
+    fault leaves a task, but for row numbers, which are compared by sheet and number."""
+
+    def misfit(cell: Column) -> Column:
+        bad = F.lit(False)
+        for kind, form in CELL_FORMS.items():
+            bad = bad | ((cell["t"] == kind) & cell["v"].isNotNull() & ~cell["v"].rlike(form))
+        return F.coalesce(bad, F.lit(False))
+
+    detail = (
+        F.when(F.col("row_no").isNull() | (F.col("row_no") < 1), "no row number")
+        .when(F.col("cells").isNull(), "no cells")
+        .when(F.exists("cells", misfit), "a cell does not fit its type")
+    )
+    faults = grid.select("group", "file", "sheet", "row_no", detail.alias("detail")).where("detail IS NOT NULL")
+    twice = grid.where("row_no IS NOT NULL").groupBy("group", "file", "sheet", "row_no").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    every = faults.unionByName(twice.select("group", "file", "sheet", "row_no", F.lit("row number comes twice").alias("detail")))
+    first = F.min(F.struct(F.coalesce("row_no", F.lit(0)).alias("at"), "detail", "row_no")).alias("first")
+    return every.groupBy("group", "file", "sheet").agg(first).select("group", "file", "sheet", "first.row_no", "first.detail")
+
+
 def group_by_sheet_name(grid: DataFrame) -> DataFrame:
     """Equally named sheets of all files form one group, whatever their case. It is called as
     first seen in source order."""

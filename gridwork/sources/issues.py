@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridwork.operators.flatten import Field
+from gridwork.session import broadcast_if_small, settle
 
 
 def issue_rows(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -26,8 +27,30 @@ def line_failures(lines: DataFrame, line: str = "value", file: Column | None = N
     return bad.select(nothing.alias("group"), (nothing if file is None else file).alias("file"), nothing.alias("sheet"), F.lit(None).cast("long").alias("row_no"), detail.alias("detail"))
 
 
+def checked_issues(lines: DataFrame, line: str = "value", file: str = "file") -> tuple[DataFrame, DataFrame]:
+    """Issues of the files whose lines are all JSON, with their ``file``, and the failures of the others, of
+    which no line is kept: one row per bad line, as ``harmonize`` takes them. """
+    failures = settle(line_failures(lines, line, F.col(file)))
+    bad = broadcast_if_small(settle(failures.select(F.col("file").alias(file)).distinct()))
+    parsed = lines.join(bad, file, "left_anti").select(file, F.try_parse_json(line).alias("issue")).where(F.col("issue").isNotNull())
+    return parsed.select(
+        file, F.try_variant_get("issue", "$.key", "string").alias("key"), F.try_variant_get("issue", "$.fields", "variant").alias("fields")
+    ), failures
+
+
+def read_checked_issues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Issues and failures of all files below a path; see ``checked_issues``."""
+    return checked_issues(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")))
+
+
 def read_issues(spark: SparkSession, path: str) -> DataFrame:
-    return issue_rows(spark.read.text(path))
+    """Issues of all files below a path, all of whose lines must be JSON; ``read_checked_issues`` sets files
+    with others aside."""
+    issues, failures = read_checked_issues(spark, path)
+    first = failures.first()
+    if first is not None:
+        raise ValueError(f"{first['file']}: {first['detail']}")
+    return issues.select("key", "fields")
 
 
 def needed_ids(fields: list[Field]) -> list[str]:
