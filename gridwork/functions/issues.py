@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwork.functions.cells import BLANKS, CELL, make_cell, plain_number, strip
 from gridwork.functions.text import limit_text
-from gridwork.functions.trees import field_texts, tree_texts
-from gridwork.session import computed_once
+from gridwork.functions.trees import NAMING_KEYS, field_texts, tree_texts
+from gridwork.session import computed_once, once
 
 # Words in a status or a priority and the class they stand for.
 DONE_WORDS = ("Done", "Closed", "Resolved", "Complete")
@@ -28,10 +28,6 @@ def _list(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "array<variant>")
 
 
-def _is_object(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
-
-
 def _scalar_kind(value: Column) -> Column:
     return F.substring_index(F.schema_of_variant(value), "(", 1)
 
@@ -56,13 +52,22 @@ def kind_text(value: Column, kind: Column) -> Column:
     )
 
 
+def _kind(value: Column, json: Column) -> Column:
+    """``OBJECT``, ``ARRAY`` or the kind of a scalar. The first character of its JSON tells all but the kinds of
+    numbers apart, without a walk through the content."""
+    first = F.substring(json, 1, 1)
+    kind = F.when(first == "{", "OBJECT").when(first == "[", "ARRAY").when(first == '"', "STRING")
+    return kind.when(first.isin("t", "f"), "BOOLEAN").when(first == "n", "VOID").otherwise(_scalar_kind(value))
+
+
 def shaped(value: Column) -> Column:
-    """``struct<value, kind>``: ``OBJECT``, ``ARRAY`` or the kind of a scalar. An object is told by
-    its keys, so its content is not walked."""
-    kind = (
-        F.when(_is_object(value), "OBJECT").when(_list(value, "$").isNotNull(), "ARRAY").otherwise(_scalar_kind(value))
-    )
-    return F.struct(value.alias("value"), kind.alias("kind"))
+    """``struct<value, json, kind>``; see ``_kind``. NULL has no kind."""
+
+    def told(pair: Column) -> Column:
+        kind = F.when(pair["json"].isNotNull(), _kind(pair["value"], pair["json"]))
+        return F.struct(pair["value"].alias("value"), pair["json"].alias("json"), kind.alias("kind"))
+
+    return once(once(value, lambda v: F.struct(v.alias("value"), F.to_json(v).alias("json"))), told)
 
 
 def document_text(node: Column) -> Column:
@@ -70,17 +75,61 @@ def document_text(node: Column) -> Column:
     return tree_texts(F.to_json(node), BLANKS)
 
 
+#: Scalars whose text is that of the JSON; numbers with a fraction keep the digits they are written with, which
+#: is left to the function for nested values.
+PLAIN_KINDS = ("STRING", "VOID", "BOOLEAN", "BIGINT", "INT", "SMALLINT", "TINYINT")
+
+
+def _plain(value: Column, kind: Column) -> Column:
+    """``struct<done, text>`` of a scalar."""
+    done = kind.isin(*PLAIN_KINDS)
+    return F.struct(F.coalesce(done, F.lit(False)).alias("done"), F.when(done, kind_text(value, kind)).alias("text"))
+
+
+def _named(value: Column) -> Column:
+    """``struct<done, text>`` of an object that is no document and whose first naming key holds a scalar."""
+    first = F.coalesce(*[F.try_variant_get(value, f"$.{key}", "variant") for key in NAMING_KEYS])
+    document = F.coalesce(_text(value, "$.type") == "doc", F.lit(False))
+    nothing = F.struct(F.lit(False).alias("done"), F.lit(None).cast("string").alias("text"))
+    return F.when(document | first.isNull(), nothing).otherwise(once(shaped(first), lambda s: _plain(s["value"], s["kind"])))
+
+
+def _item(value: Column) -> Column:
+    return once(shaped(value), lambda s: F.when(s["kind"] == "OBJECT", _named(s["value"])).otherwise(_plain(s["value"], s["kind"])))
+
+
+def _listed(value: Column) -> Column:
+    """``struct<done, text>`` of a list of scalars and named objects, a line each."""
+
+    def joined(items: Column) -> Column:
+        lines = F.filter(F.transform(items, lambda i: i["text"]), lambda t: t.isNotNull() & (t != ""))
+        return F.struct(F.forall(items, lambda i: i["done"]).alias("done"), F.array_join(lines, "\n").alias("text"))
+
+    return once(F.transform(_list(value, "$"), _item), joined)
+
+
+def _flat(shape: Column) -> Column:
+    """``struct<done, text>``: the text of a scalar, a named object or a flat list, where there is one."""
+    value, kind = shape["value"], shape["kind"]
+    nothing = F.struct(F.lit(False).alias("done"), F.lit(None).cast("string").alias("text"))
+    scalar = F.struct(F.lit(True).alias("done"), kind_text(value, kind).alias("text"))
+    comments = F.substring(F.to_json(F.try_variant_get(value, "$.comments", "variant")), 1, 1) == "["
+    named = F.when(F.coalesce(comments, F.lit(False)), nothing).otherwise(_named(value))
+    return F.when(kind == "OBJECT", named).when(kind == "ARRAY", _listed(value)).otherwise(scalar)
+
+
 def add_value_texts(df: DataFrame, values: list[Column], out: str) -> DataFrame:
-    """Adds ``out``, an array of ``struct<kind, text>`` for several VARIANT values. Only nested
-    values leave the JVM."""
+    """Adds ``out``, an array of ``struct<kind, text>`` for several VARIANT values. Scalars, named objects and
+    flat lists stay in the JVM; documents, comments, and lists and objects with nested content leave it."""
     shapes, nested = f"{out}_shapes", f"{out}_nested"
-    df = df.withColumn(shapes, computed_once(F.array(*[shaped(v) for v in values])))
-    inner = F.transform(shapes, lambda s: F.when(s["kind"].isin("ARRAY", "OBJECT"), F.to_json(s["value"])))
+    # One expression for all values, however many fields are read.
+    shape = lambda s: F.struct(s["json"].alias("json"), s["kind"].alias("kind"), _flat(s).alias("flat"))
+    df = df.withColumn(shapes, computed_once(F.transform(F.array(*values), lambda v: once(shaped(v), shape))))
+    inner = F.transform(shapes, lambda s: F.when(~s["flat"]["done"], s["json"]))
     df = df.withColumn(nested, field_texts(inner, BLANKS))
 
     def text_of(s: Column, t: Column) -> Column:
-        text = F.when(s["kind"].isin("ARRAY", "OBJECT"), t).otherwise(kind_text(s["value"], s["kind"]))
-        return F.struct(s["kind"].alias("kind"), text.alias("text"))
+        return F.struct(s["kind"].alias("kind"), F.when(s["flat"]["done"], s["flat"]["text"]).otherwise(t).alias("text"))
 
     return df.withColumn(out, computed_once(F.zip_with(shapes, nested, text_of))).drop(shapes, nested)
 

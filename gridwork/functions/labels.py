@@ -12,6 +12,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 from gridwork.functions.cells import strip
 from gridwork.functions.text import lines
+from gridwork.session import once
 
 _BEFORE_FOLD = str.maketrans({"ı": "i", "İ": "I", "\u00ad": None})
 _WORD = re.compile(r"[^\W_]+")
@@ -61,11 +62,6 @@ def first_title(raw: Column, mode: str) -> Column:
     return F.get(title_candidates(raw, mode, 1), F.lit(0))
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """What is made of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _tail(text: Column, first: Column) -> Column:
     return F.substr(text, first)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwork.functions.cells import make_cell
 from gridwork.functions.issues import add_value_texts, value_cell, value_text
+from gridwork.session import computed_once
 
 # Names that mean the record key and its address.
 SPECIAL_FIELDS = {
@@ -88,7 +89,7 @@ def flatten_issues(
     """
     rows = issues
     if dict(issues.dtypes)["fields"] != "variant":
-        rows = issues.withColumn("fields", F.try_parse_json("fields"))
+        rows = issues.withColumn("fields", computed_once(F.try_parse_json("fields")))
     read = [f for f in fields if f.kind == "field"]
     values = [F.try_variant_get("fields", f"$['{f.field_id}']", "variant") for f in read]
     if read:
@@ -107,7 +108,7 @@ def flatten_issues(
 
 def long_fields(issues: DataFrame) -> DataFrame:
     """One row ``key, field_id, value`` per field of every issue."""
-    parsed = issues.select("key", F.try_parse_json("fields").alias("fields"))
+    parsed = issues.select("key", computed_once(F.try_parse_json("fields")).alias("fields"))
     return issues.sparkSession.sql(
         "SELECT i.key, f.key AS field_id, f.value FROM {issues} i, LATERAL variant_explode(i.fields) f", issues=parsed
     )

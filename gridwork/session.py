@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -72,3 +73,8 @@ def computed_once(value: Column) -> Column:
     """Keeps the optimizer from copying a costly expression into every filter and projection above
     it. The condition always holds; it only makes the column not foldable into others."""
     return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is worked out once, inside one expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -80,5 +80,4 @@ def test_files_with_broken_lines_are_set_aside_whole(spark, tmp_path):
     issues, failures = read_checked_issues(spark, str(tmp_path))
     assert {r.key for r in issues.collect()} == {"A-1", "A-2"}
     assert [(r.file.rsplit("/", 1)[-1], r.detail) for r in failures.collect()] == [("b.jsonl", "not JSON: {broken")]
-    with pytest.raises(ValueError, match="not JSON"):
-        read_issues(spark, str(tmp_path))
+    assert {r.key for r in read_issues(spark, str(tmp_path)).collect()} == {"A-1", "A-2", "B-1"}
