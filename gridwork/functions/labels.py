@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import lru_cache
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -46,6 +47,50 @@ def folded(text: Column, when: Column | None = None) -> Column:
     return F.coalesce(F.when(plain, fold_ascii(text)), _fold_labels(F.when(python_side, text)))
 
 
+#: No letter or digit lies beyond.
+_LAST_LETTER = 0x33FFF
+
+
+@lru_cache(maxsize=1)
+def _folded_characters() -> tuple[dict[str, str], str]:
+    """By ``fold_label``'s rules, what each character beyond ASCII becomes that doesn't stay as it is (nothing, or
+    letters and digits with blanks for what separates them), and all characters that hold a letter or a digit,
+    as ranges of a regular expression. All other characters separate words."""
+    folds, ranges, begin = {}, [], None
+    for code in range(0x80, _LAST_LETTER + 2):
+        c = chr(code)
+        parts = unicodedata.normalize("NFKD", c.translate(_BEFORE_FOLD)).casefold()
+        shown = "".join(x if x.isalnum() else " " for x in parts if not unicodedata.combining(x))
+        solid = bool(shown.strip())
+        if shown != c and (solid or not shown):
+            folds[c] = shown
+        if solid and begin is None:
+            begin = code
+        elif not solid and begin is not None:
+            ranges.append(f"\\x{{{begin:X}}}-\\x{{{code - 1:X}}}")
+            begin = None
+    return folds, "".join(ranges)
+
+
+def folds_to_one_of(text: Column, labels: Sequence[str]) -> Column:
+    """Whether a text's normal form is one of the given ones, worked out in the JVM. Characters that fold to
+    letters of the labels are mapped, one by one or, if to several, by replacements that only texts with such
+    characters go through; other letters stay as they are and are in no label."""
+    letters = {c for label in labels for c in label} | {" "}
+    folds, solid = _folded_characters()
+    near = {c: s for c, s in folds.items() if set(s) <= letters}
+    single, several = ({c: s for c, s in near.items() if (len(s) > 1) == more} for more in (False, True))
+    order = sorted(single, key=lambda c: not single[c])
+    mapped = F.translate(text, "".join(order), "".join(single[c] for c in order))
+    if several:
+        spelt = mapped
+        for c, s in several.items():
+            spelt = F.replace(spelt, F.lit(c), F.lit(s))
+        mapped = F.when(mapped.rlike(f"[{''.join(several)}]"), spelt).otherwise(mapped)
+    beyond = F.trim(F.regexp_replace(F.lower(mapped), f"[^0-9a-z{solid}]+", " "))
+    return F.when(is_ascii(text), fold_ascii(text)).otherwise(beyond).isin(list(labels))
+
+
 def title_candidates(raw: Column, mode: str, max_lines: int) -> Column:
     """Texts a header cell may stand for: leading lines only, never a later line alone."""
     if mode == "full":

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwork.config import JobConfig
 from gridwork.functions.cells import clean_cell, fingerprint, nonempty, null_cell, usable
-from gridwork.functions.labels import fold_label, folded
+from gridwork.functions.labels import fold_label, folds_to_one_of
 from gridwork.operators.headers import ROW, SHEET
 from gridwork.operators.mapping import named_cells
 from gridwork.operators.ordered import last_before
@@ -74,7 +74,7 @@ def _reason(cfg: JobConfig, facts: dict[str, Column]) -> Column:
     # A text keeps its ASCII letters and digits when folded, so a long one cannot become a footer label.
     longest = max((len(label) for label in footers), default=0)
     short = F.length(F.regexp_replace(probe, "[^A-Za-z0-9]", "")) <= longest
-    is_footer = F.coalesce(folded(probe, short).isin(footers), F.lit(False))
+    is_footer = F.coalesce(short & folds_to_one_of(probe, footers), F.lit(False))
     n_usable = facts["n_usable"]
     reason = F.when(F.col("lacking").isNotNull(), F.col("lacking"))
     reason = reason.when(n_usable == 0, F.when(facts["any_filled"], NO_RESULT).otherwise(BLANK))
