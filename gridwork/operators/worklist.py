@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridwork.functions.paths import AUDIO_FORMATS, VIDEO_FORMATS, file_name, media_class, with_suffix
+from gridwork.operators.ordered import total_before
 
 
 def known_format(text: str) -> str:
@@ -25,6 +26,13 @@ def listed_media(listing: DataFrame, source: str, recursive: bool = False) -> Da
     return listing.where(keep)
 
 
+def sorted_paths(files: DataFrame, key: str) -> DataFrame:
+    """Adds ``place``, the position of each path among those with the same key, in the order of paths. Paths are
+    dealt by ranges, so no task holds all of a key."""
+    one = files.withColumn("_one", F.lit(1))
+    return total_before(one, [key], ["path"], "_one", "_before").withColumn("place", F.col("_before") + 1).drop("_one", "_before")
+
+
 def conversion_worklist(
     listing: DataFrame,
     existing: DataFrame,

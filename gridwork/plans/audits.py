@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridwork.config import ColumnSpec, JobConfig, Workflow
 from gridwork.functions.cells import MISSING_RESULT, null_cell, text_cell
+from gridwork.functions.paths import media_class
 from gridwork.operators import line_endings, matching, patterns
+from gridwork.operators.worklist import listed_media, sorted_paths
 from gridwork.plans.harmonize import Harmonized, harmonize
 from gridwork.plans.samples import choose, issue_json, order_files, table, titles_row, whole
 from gridwork.session import checkpoint_dir, settle
@@ -18,6 +20,7 @@ from gridwork.sinks.outputs import write_csv_report, write_texts
 from gridwork.sources.grid import MISSING_DDL, grid_rows, group_by_sheet_name, parse_texts, parsed_grid, sheet_failures
 from gridwork.sources.issues import checked_issues
 from gridwork.sources.listing import acceptable, assign_groups, list_files, read_texts, visible_files
+from gridwork.sources.tree import list_tree
 
 # Part names as titles, each spelt in one of six ways, with the part type as a second line.
 
@@ -260,9 +263,33 @@ def sheet_name_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.unionByName(excluded)
 
 
+def hidden_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written to an open and a hidden folder, a file per language, and listed by tasks."""
+    place = _fresh(spark, "listing")
+    docs = table(spark, sf_dir, "documents").select("lang", "text").repartition("lang")
+    for folder in ("open", ".hidden"):
+        docs.write.partitionBy("lang").parquet(f"{place}/{folder}")
+    listed = list_tree(spark, place, include_hidden=True).where("path LIKE '%.parquet'")
+    seen = visible_files(listed).select("path", F.lit(True).alias("visible"))
+    named = listed.join(seen, "path", "left").select(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang"), F.coalesce("visible", F.lit(False)).alias("visible"))
+    return named.groupBy("lang", "visible").agg(F.count(F.lit(1)).alias("files"))
+
+
+def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One listing per format over audio, video and other files, in the order of paths, with the kind of each."""
+    key = F.col("doc_id")
+    suffix = choose(key, *[F.lit(x) for x in (".mp4", ".mp3", ".flac", ".webm", ".txt")])
+    name = F.concat(F.when(key % 3 == 0, F.concat("source", F.lit("/"))).otherwise(""), F.lpad(key.cast("string"), 12, "0"), suffix)
+    listing = table(spark, sf_dir, "documents").select(name.alias("path"))
+    parts = [listed_media(listing, kind, recursive=kind != "mp3").select(F.lit(kind).alias("format"), "path") for kind in ("mp3", "flac", "webm")]
+    found = reduce(DataFrame.unionByName, parts).withColumn("media", media_class(F.regexp_extract("path", r"\.[^.]+$", 0)))
+    return sorted_paths(found, "format")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        hidden_listing, media_files,
         header_scores, mapping_audit, header_quality, sheet_outcomes, failed_sheets, issue_files, csv_report, rewritten_texts, sheet_name_files,
     )
 }
@@ -328,6 +355,13 @@ SELECT grp, file, 'Data' AS sheet, header_row::BIGINT AS header_row, 1 AS height
 FROM nations JOIN heads USING (layout) JOIN titles USING (layout)""",
     "header_quality": _NATIONS + """
 SELECT file, header_row::BIGINT AS header_row, 1 AS height, 5::BIGINT AS matched, quality::DOUBLE AS quality FROM nations JOIN heads USING (layout)""",
+    "hidden_listing": "SELECT lang, v AS visible, 1::BIGINT AS files FROM (SELECT DISTINCT lang FROM documents), (VALUES (TRUE), (FALSE)) x(v)",
+    "media_files": """
+WITH l AS (
+  SELECT CASE WHEN doc_id % 3 = 0 THEN source || '/' ELSE '' END || lpad(doc_id::VARCHAR, 12, '0') || (['.mp4', '.mp3', '.flac', '.webm', '.txt'])[doc_id % 5 + 1] AS path FROM documents),
+f AS (SELECT k.format, path, CASE k.format WHEN 'webm' THEN 'video' ELSE 'audio' END AS media FROM l JOIN (VALUES ('mp3'), ('flac'), ('webm')) k(format) ON suffix(path, '.' || k.format)
+      WHERE k.format <> 'mp3' OR NOT contains(path, '/'))
+SELECT format, path, media, row_number() OVER (PARTITION BY format ORDER BY encode(path)) AS place FROM f""",
     "failed_sheets": """
 WITH c AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer),
 faulty AS (

@@ -17,7 +17,8 @@ SEPARATOR = "\x01"
 
 def list_files(spark: SparkSession, root: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """``path, length, modified`` of all files below a folder; contents are never read. Spark's
-    file index does not show names that begin with a dot or an underscore."""
+    file index does not show names that begin with a dot or an underscore, nor empty files; see
+    ``tree.list_tree``."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
