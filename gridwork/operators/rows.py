@@ -105,17 +105,17 @@ def judge_rows(rows: DataFrame, cfg: JobConfig, taken_up: list[int] | None = Non
     if cfg.fill_down:
         rows = _judge_filled(rows, cfg, taken_up)
         return rows.where(~F.col("blank")).drop("blank", "lacking")
-    facts = _facts(rows.where(~F.col("blank")), cfg)
-    judged = facts.withColumn("reason", computed_once(_reason(cfg, {f: F.col(f) for f in FACTS})))
-    judged = judged.drop(*FACTS, "blank", "lacking")
+    filled = rows.where(~F.col("blank"))
+    judged = _facts(filled, cfg).withColumn("reason", computed_once(_reason(cfg, {f: F.col(f) for f in FACTS})))
     if not cfg.drop_duplicates:
-        return judged
-    good = judged.where(F.col("reason").isNull())
-    marked = good.select("group", *ROW, "file_ord", "sheet_ord", fingerprint(F.col("entries"), cfg.dedup_keys).alias("mark"))
-    copies = settle(later_copies(marked).withColumn("copy", F.lit(True)))
-    return judged.join(broadcast_if_small(copies), ROW, "left").withColumn(
-        "reason", F.when(F.col("copy"), DUPLICATE).otherwise(F.col("reason"))
-    ).drop("copy")
+        return judged.drop(*FACTS, "blank", "lacking")
+    # Rows are judged once, into a narrow table; only the rejected ones come back to their cells.
+    good = F.col("reason").isNull()
+    mark = F.when(good, fingerprint(F.col("entries"), cfg.dedup_keys)).alias("mark")
+    narrow = settle(judged.select("group", *ROW, "file_ord", "sheet_ord", "reason", mark))
+    copies = later_copies(narrow.where(good)).withColumn("reason", F.lit(DUPLICATE))
+    rejected = settle(narrow.where(~good).select(*ROW, "reason").unionByName(copies.select(*ROW, "reason")))
+    return filled.join(broadcast_if_small(rejected), ROW, "left").drop("blank", "lacking")
 
 
 RUN = ["file", "sheet", "run"]
