@@ -6,12 +6,13 @@ import uuid
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridwork.config import ColumnSpec, JobConfig, Workflow
 from gridwork.functions.cells import MISSING_RESULT, null_cell, text_cell
 from gridwork.functions.paths import media_class
 from gridwork.operators import line_endings, matching, patterns
+from gridwork.operators.ordered import total_before
 from gridwork.operators.worklist import listed_media, sorted_paths
 from gridwork.plans.harmonize import Harmonized, harmonize
 from gridwork.plans.samples import choose, issue_json, order_files, table, titles_row, whole
@@ -221,9 +222,9 @@ def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_csv_report(patterns.pattern_groups(order_files(spark, sf_dir), min_count=2), place)
     lines = spark.read.option("header", True).schema("mode string, count long, pattern string, extensions string, examples string").csv(place)
     at = lines.select("*", F.col("_metadata.file_path").alias("part"), F.monotonically_increasing_id().alias("line"))
-    # Files of a report are few lines each; their names sort like their content.
-    order = Window.orderBy("part", "line")
-    return at.withColumn("place", F.row_number().over(order).cast("long")).select("place", "mode", "count", "pattern", "extensions")
+    # The names of a report's files sort like their content; lines are numbered range by range.
+    numbered = total_before(at.withColumns({"report": F.lit(1), "one": F.lit(1)}), ["report"], ["part", "line"], "one", "before")
+    return numbered.select((F.col("before") + 1).alias("place"), "mode", "count", "pattern", "extensions")
 
 
 def rewritten_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
