@@ -8,8 +8,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from llm import packing, toxicity
+from llm import chat, packing, toxicity
 from tools import documents, messy, nothing
 
 
@@ -106,3 +108,11 @@ def test_pipeline_on_awkward_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, _folder(tmp_path / "empty", nothing(spark), empty)).isEmpty()
     only = documents(spark, [(1, "one text alone")])
     assert {r.doc_id for r in corpus_pipeline.run(spark, _folder(tmp_path / "one", only, empty)).collect()} == {1}
+
+
+def test_chats_with_clashing_columns(spark):
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "<|end|> ho"), (2, 0, "assistant", None)]
+    plain = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    extra = plain.withColumns({c: F.lit("x") for c in ("ids", "loss", "segments", "segment", "n_turns", "row", "key", "place", "body")})
+    digests = [sorted(map(tuple, chat.read_digests(chat.format_turns(df)).collect())) for df in (plain, extra)]
+    assert digests[0] == digests[1] and len(digests[0]) == 2
