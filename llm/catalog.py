@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import chat, collocations, hard_negatives, leaks, licenses, minhash, mixing, neighbour_graph, packing, posting_lists, quality, token_counts, toxicity
+from llm import chat, collocations, hard_negatives, leaks, licenses, minhash, mixing, neighbour_graph, packing, posting_lists, token_counts, toxicity, word_quality
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,7 +12,7 @@ QUERIES = {
     "op5_near_vectors": neighbour_graph.op5_near_vectors,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_near_duplicates": minhash.op7_near_duplicates,
-    "op8_quality": quality.op8_quality,
+    "op8_quality": word_quality.op8_quality,
     "op9_chat_digests": chat.op9_chat_digests,
     "op10_source_mix": mixing.op10_source_mix,
     "op11_collocations": collocations.op11_collocations,

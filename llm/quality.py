@@ -21,9 +21,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from llm.common import bounded_batches, key_of, sent_if_few, small_batches, table, text_or_empty, written
+from llm.common import bounded_batches, key_of, sent_if_few, small_batches, text_or_empty, written
 
 ORDER = 4
 BITS = 6
@@ -273,11 +273,3 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that keep to their language's limit, with their columns."""
     whole = docs.select(F.struct(*docs.columns).alias("row"), "lang", "text")
     return with_quality(whole, *fitted(docs, labels)).filter("q.kept").select("row.*")
-
-
-def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's perplexity and whether its language's limit lets it pass."""
-    docs = table(spark, sf_dir, "documents")
-    model, limits = fitted(docs, table(spark, sf_dir, "labels"))
-    scored = with_quality(docs.select("doc_id", "lang", "text"), model, limits)
-    return scored.select("doc_id", "lang", "q.*")
