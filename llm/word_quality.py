@@ -43,27 +43,39 @@ OWN_LIMIT_TEXTS = 100
 _UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿"
 TOKEN = re.compile(rf"[{_UNSPACED}]|[^\W\d_{_UNSPACED}]+|\d+|[^\w\s]|_")
 EDGE = np.uint64(1)
-_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+# Fixed values of the 64-bit xxHash, by which F.xxhash64 hashes longs one after the other.
+_SEED = 42
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
 
 
 def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX
-    return x ^ (x >> np.uint64(27))
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _hashed(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """What F.xxhash64 makes of a long after values that gave the seed."""
+    x = (seed + _P5 + np.uint64(8)) ^ (_turned(value * _P2, 31) * _P1)
+    x = _turned(x, 27) * _P1 + _P4
+    x = (x ^ (x >> np.uint64(33))) * _P2
+    x = (x ^ (x >> np.uint64(29))) * _P3
+    return x ^ (x >> np.uint64(32))
 
 
 def gram_keys(words: np.ndarray, half: int, order: int = ORDER) -> list[np.ndarray]:
-    """For each length from 0 to ``order`` the keys of the grams that end at each word. The first places
-    have no whole gram; texts begin with edges there."""
-    keys = [np.full(len(words), half + 1, dtype=np.uint64)]
+    """For each length from 0 to ``order`` the keys of the grams that end at each word, as ``_key`` has
+    them. The first places have no whole gram; texts begin with edges there."""
+    start = np.full(1, _SEED, dtype=np.uint64)
+    keys = [np.repeat(_hashed(np.full(1, half, dtype=np.uint64), start), len(words))]
     for size in range(1, order + 1):
-        before = keys[-1].copy()
-        if size > 1:
-            before[1:], before[0] = keys[-1][:-1], 0
-        keys.append(_mixed(before * _STEP + words + np.uint64(size)))
+        before = keys[-1] if size == 1 else np.concatenate([keys[-1][:1], keys[-1][:-1]])
+        keys.append(_hashed(words, before))
     return keys
 
 
@@ -123,25 +135,26 @@ def _named(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.pmod(mark, F.lit(2)).cast("int").alias("half"), mark.alias("mark"), F.xxhash64(F.lit(7), value).alias("twin"), value.alias("text"))
 
 
-def _columns(size: int) -> list[str]:
-    """What tells a gram of this length and its lower orders apart."""
-    return ["half", *[f"k{i}" for i in range(1, size + 1)], *[f"c{i}" for i in range(2, size + 1)]]
+def _words(size: int, order: int) -> list[str]:
+    """The columns of the last words of a gram of the highest order."""
+    return [f"w{i}" for i in range(order - size + 1, order + 1)]
+
+
+def _key(words: list[str]) -> Column:
+    return F.xxhash64(F.col("half").cast("long"), *words)
 
 
 def count_grams(trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """Rows (half, k1.., c2.., n): the keys of a gram's endings and of their contexts, and how often it
-    occurs. Chunks are counted before the shuffle."""
-    names = [*_columns(order), "n"]
+    """Rows (half, w1.., n): the hashes of a gram's words and how often it occurs. Chunks are counted
+    before the shuffle."""
+    names = ["half", *_words(order, order), "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for half, chunk in chunks_of(batches, False):
             words, real = padded(np.array(chunk.words, dtype=np.int64), np.array(chunk.sizes, dtype=np.int64), chunk.hashes(), order)
-            keys = gram_keys(words, half, order)
-            _, first, n = np.unique(keys[order][real], return_index=True, return_counts=True)
+            _, first, n = np.unique(gram_keys(words, half, order)[order][real], return_index=True, return_counts=True)
             at = real[first]
-            endings = [keys[k][at] for k in range(1, order + 1)]
-            contexts = [keys[k - 1][at - 1] for k in range(2, order + 1)]
-            columns = [pa.array(x.view(np.int64)) for x in [*endings, *contexts]]
+            columns = [pa.array(words[at - back].view(np.int64)) for back in range(order - 1, -1, -1)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), half, dtype=np.int32)), *columns, pa.array(n)], names=names)
 
     schema = ", ".join(f"{x} {'int' if x == 'half' else 'long'}" for x in names)
@@ -173,18 +186,20 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, dict[i
         off = _discounts(counts)
         taken = [_of_half({h: x[i] for h, x in off.items()}) for i in range(3)]
         marked = counts.withColumn("off", F.when(F.col("n") == 1, taken[0]).when(F.col("n") == 2, taken[1]).otherwise(taken[2]))
-        context = f"c{size}" if size > 1 else "half"
+        own = _words(size, order)
+        marked = marked.withColumn("key", _key(own)).withColumn("context", _key(own[:-1]))
+        context = "context" if size > 1 else "half"
         sums = marked.groupBy(context).agg(F.sum("n").alias("total"), F.sum("off").alias("off_total"), F.count("*").alias("grams"))
         share = (F.col("n") - F.col("off")) / F.col("total")
         if size > 1:
             # A context with many followers is split by the skew join; its sums are one row.
-            rows.append(marked.join(sums, context).select(F.col(f"k{size}").alias("key"), share.alias("share"), F.lit(None).cast("double").alias("left")))
-            rows.append(sums.select(F.col(context).alias("key"), F.lit(None).cast("double").alias("share"), (F.col("off_total") / F.col("total")).alias("left")))
-            counts = marked.groupBy(*_columns(size - 1)).agg(F.count("*").alias("n"))
+            rows.append(marked.join(sums.select("context", "total"), "context").select("key", share.alias("share"), F.lit(None).cast("double").alias("left")))
+            rows.append(sums.select(F.col("context").alias("key"), F.lit(None).cast("double").alias("share"), (F.col("off_total") / F.col("total")).alias("left")))
+            counts = counts.groupBy("half", *own[1:]).agg(F.count("*").alias("n"))
         else:
             # What is left is spread evenly over the known words and one for all others.
             unknown = {r.half: r.off_total / r.total / (r.grams + 1) for r in sums.collect()}
-            whole = marked.join(F.broadcast(sums), "half").select(F.col("k1").alias("key"), (share + _of_half(unknown)).alias("share"))
+            whole = marked.join(F.broadcast(sums), "half").select("key", (share + _of_half(unknown)).alias("share"))
             rows.append(whole.withColumn("left", F.lit(None).cast("double")))
     union = reduce(DataFrame.unionByName, rows)
     return union.groupBy("key").agg(F.max("share").cast("float").alias("share"), F.max("left").cast("float").alias("left")), unknown
