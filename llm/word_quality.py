@@ -289,9 +289,10 @@ def language_limits(scored: DataFrame) -> DataFrame:
     usual = both.groupBy("lang_key").agg((F.sum("bits") / F.greatest(F.sum("n_words"), F.lit(1))).alias("usual"), F.count("*").alias("texts"))
     smooth = both.join(broadcast_if_small(usual), "lang_key").withColumn("x", _smooth(F.col("usual")))
     cuts = smooth.groupBy("lang_key", "usual", "texts").agg(F.percentile_approx("x", LIMIT_QUANTILE, 100_000).alias("own"))
-    every = cuts.filter("lang_key = 'all'").select(F.col("own").alias("all_top"))
-    top = F.when(F.col("texts") >= OWN_LIMIT_TEXTS, F.col("own")).otherwise(F.greatest("own", "all_top"))
-    return cuts.crossJoin(F.broadcast(every)).select("lang_key", "usual", top.alias("top"))
+    cuts = written(cuts, "limits")
+    every = cuts.filter("lang_key = 'all'").first()  # one row, or none without trusted words
+    top = F.when(F.col("texts") >= OWN_LIMIT_TEXTS, F.col("own")).otherwise(F.greatest("own", F.lit(every and every.own)))
+    return cuts.select("lang_key", "usual", top.alias("top"))
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
@@ -318,10 +319,9 @@ def with_quality(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Data
         return docs.select(*own, q.alias("q"))
     scores = written(scored_texts(docs, written(model, "word-model"), unknown, order), "word-bits")
     limits = language_limits(written(trusted.select(*name).distinct().join(scores, ["mark", "twin"]).filter("n_words > 0"), "trusted-bits"))
-    limits = broadcast_if_small(written(limits, "limits"))
-    usual = limits.filter("lang_key = 'all'").select(F.col("usual").alias("all_usual"), F.col("top").alias("all_top"))
-    judged = rows.join(scores, ["mark", "twin"]).join(limits, "lang_key", "left").crossJoin(F.broadcast(usual))
-    judged = judged.withColumn("b", _smooth(F.coalesce("usual", "all_usual"))).withColumn("top", F.coalesce("top", "all_top"))
+    every = limits.filter("lang_key = 'all'").first()
+    judged = rows.join(scores, ["mark", "twin"]).join(broadcast_if_small(limits), "lang_key", "left")
+    judged = judged.fillna({"usual": every.usual, "top": every.top}).withColumn("b", _smooth(F.col("usual")))
     kept = (F.col("n_words") == 0) | (F.col("b") <= F.col("top"))
     q = F.struct("n_words", F.col("b").alias("bits_per_word"), F.pow(F.lit(2.0), "b").alias("perplexity"), "top", kept.alias("kept"))
     return judged.select(*[F.col("row")[c].alias(c) for c in own], q.alias("q"))

@@ -122,3 +122,10 @@ def test_awkward_rows_and_missing_labels(spark):
         same = {(r.text, r.q.n_words, r.q.bits_per_word, r.q.kept) for r in found if r.doc_id == 1}
         assert len(same) == 2
     assert words.with_quality(nothing(spark), labels).count() == 0
+
+
+def test_trusted_texts_without_words(spark):
+    docs = documents(spark, [(i, " " * (i + 1)) for i in range(40)] + [(99, "a word")])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    found = words.with_quality(docs, labels).collect()
+    assert len(found) == 41 and all(r.q.kept and r.q.top is None for r in found)
