@@ -114,6 +114,11 @@ def long_fields(issues: DataFrame) -> DataFrame:
     )
 
 
+def _member(field_id: str) -> str:
+    """The path of a member, whatever characters its name has but both kinds of quotes."""
+    return f'$["{field_id}"]' if "'" in field_id else f"$['{field_id}']"
+
+
 def named_fields(issues: DataFrame, catalogue: DataFrame, requested: list[str]) -> DataFrame:
     """Field ids replaced by catalogue names and pivoted to one row per issue. Names the catalogue
     has twice are refused; fields it does not have are left out."""
@@ -122,10 +127,18 @@ def named_fields(issues: DataFrame, catalogue: DataFrame, requested: list[str])
     clash = doubled.where(F.col("name_key").isin(keys)).first()
     if clash is not None:
         raise ValueError(f"the catalogue has several fields named {clash['name_key']!r}")
-    names = catalogue.select(F.col("id").alias("field_id"), _folded(F.col("name")).alias("name_key"))
-    wanted = names.where(F.col("name_key").isin(keys))
-    long = long_fields(issues).join(wanted, "field_id")
-    long = add_value_texts(long, [F.col("value")], "_texts")
-    long = long.select("key", "name_key", F.get("_texts", F.lit(0))["text"].alias("value"))
-    wide = long.groupBy("key").pivot("name_key", keys).agg(F.first("value"))
-    return wide.select("key", *[F.col(f"`{k}`").alias(name) for k, name in zip(keys, requested)])
+    names = catalogue.select("id", _folded(F.col("name")).alias("name_key")).where(F.col("name_key").isin(keys))
+    ids = {row["name_key"]: row["id"] for row in names.collect()}
+    read = [k for k in keys if k in ids]
+    rows = issues.select("key", computed_once(F.try_parse_json("fields")).alias("fields"))
+    # The wanted fields are read where the issue is; dealt by field, all values of one would meet in a task.
+    values = [F.try_variant_get("fields", _member(ids[k]), "variant") for k in read]
+    rows = rows.select("key", *[v.alias(f"_value_{i}") for i, v in enumerate(values)])
+    found = [F.col(f"_value_{i}") for i in range(len(read))]
+    rows = rows.where(F.coalesce(*found).isNotNull()) if read else rows.where(F.lit(False))
+    rows = add_value_texts(rows, found or [F.lit(None).cast("variant")], "_texts")
+    present = [F.struct(F.get("_texts", F.lit(i))["text"].alias("text")) for i in range(len(read))]
+    first = [F.first(F.when(v.isNotNull(), p), ignorenulls=True)["text"].alias(k) for v, p, k in zip(found, present, read)]
+    wide = rows.groupBy("key").agg(*first) if read else rows.select("key")
+    shown = [(F.col(f"`{k}`") if k in ids else F.lit(None).cast("string")).alias(name) for k, name in zip(keys, requested)]
+    return wide.select("key", *shown)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridwork.operators import flatten
 from gridwork.plans import audits
 
 
@@ -11,3 +12,14 @@ def test_header_line_comes_first_whatever_the_keys(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     got = {r.grp: (r.records, r.files, r.keys) for r in audits.sheet_name_files(spark, str(tmp_path)).collect()}
     assert got == {"parts": (12, 2, 6), "rest": (6, 1, 3), "skip": (0, 1, 0)}
+
+
+def test_named_fields_meet_no_task_by_field(spark):
+    issues = [("A", '{"f1": "x", "f2": null, "o": 1}'), ("B", '{"f2": [1, {"name": "n"}]}'), ("C", '{"o": 2}'), ("D", '{"f1": 1.50}')]
+    issues = spark.createDataFrame(issues, "key string, fields string")
+    names = spark.createDataFrame([("f1", "One", ""), ("f2", " Two ", ""), ("o", "Other", "")], "id string, name string, type string")
+    wide = flatten.named_fields(issues, names, ["two", "One", "Gone"])
+    assert sorted(map(tuple, wide.collect())) == [("A", None, "x", None), ("B", "1\nn", None, None), ("D", None, "1.5", None)]
+    # A join on the field would bring all values of one to one task.
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
