@@ -327,6 +327,12 @@ def with_quality(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Data
     return judged.select(*[F.col("row")[c].alias(c) for c in own], q.alias("q"))
 
 
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows whose text keeps to its language's limit."""
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", "lang", "text")
+    return with_quality(whole, labels).filter("q.kept").select("row.*")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity and whether its language's limit lets it pass."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")

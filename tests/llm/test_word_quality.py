@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from llm import word_quality as words
 from tools import documents, messy, nothing
 
@@ -129,3 +131,18 @@ def test_trusted_texts_without_words(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     found = words.with_quality(docs, labels).collect()
     assert len(found) == 41 and all(r.q.kept and r.q.top is None for r in found)
+
+
+def test_pipeline_keeps_what_the_word_model_keeps(spark, tmp_path):
+    rng = random.Random(11)
+    vocabulary = [f"{a}{b}" for a in ("lo", "mi", "ta", "re", "su") for b in ("na", "ko", "vi", "pel", "dar")]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=60))) for i in range(150)]
+    # Made of the same letters, but of words that no trusted text has.
+    rows += [(1000, " ".join(a[::-1] + b for a, b in (rng.choices(vocabulary, k=2) for _ in range(60))))]
+    docs = documents(spark, rows).withColumn("q", F.col("doc_id"))
+    spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.good(spark, docs, str(tmp_path))
+    judged = words.with_quality(docs.drop("q"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.join(judged.filter("q.kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).collect()))
+    assert kept.filter("doc_id = 1000").isEmpty() and kept.count() > 140
