@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridwork.operators import flatten
-from gridwork.plans import audits
+from gridwork.plans import audits, samples
 
 
 def test_header_line_comes_first_whatever_the_keys(spark, tmp_path):
@@ -36,3 +36,14 @@ def test_documents_of_a_language_are_written_by_many_tasks(spark, tmp_path, monk
     assert got == [("de", False, 1), ("de", True, 1), ("en", False, 1), ("en", True, 1)]
     assert spark.read.parquet(f"{place}/open").count() == 400
     assert len(list((tmp_path / "out" / "open" / "lang=en").glob("*.parquet"))) > 1
+
+
+def test_sample_inputs_of_one_row_group_are_dealt_to_all_cores(spark, tmp_path):
+    orders = spark.range(0, 4000, 1, 1).select(
+        F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.lit(1.0).alias("o_totalprice"),
+        F.lit("1995-01-02").cast("timestamp").alias("o_orderdate"), F.lit("2-HIGH").alias("o_orderpriority"),
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    for made in (samples.order_files, samples.fill_grid, samples.orders_grid):
+        held = made(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().where("count > 100").count()
+        assert held >= spark.sparkContext.defaultParallelism
