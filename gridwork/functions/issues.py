@@ -113,8 +113,11 @@ def _flat(shape: Column) -> Column:
     value, kind = shape["value"], shape["kind"]
     nothing = F.struct(F.lit(False).alias("done"), F.lit(None).cast("string").alias("text"))
     scalar = F.struct(F.lit(True).alias("done"), kind_text(value, kind).alias("text"))
-    comments = F.substring(F.to_json(F.try_variant_get(value, "$.comments", "variant")), 1, 1) == "["
-    named = F.when(F.coalesce(comments, F.lit(False)), nothing).otherwise(_named(value))
+    # The first comment tells most lists without writing them out as JSON.
+    comments = F.try_variant_get(value, "$.comments[0]", "variant").isNotNull() | F.coalesce(
+        F.substring(F.to_json(F.try_variant_get(value, "$.comments", "variant")), 1, 1) == "[", F.lit(False)
+    )
+    named = F.when(comments, nothing).otherwise(_named(value))
     return F.when(kind == "OBJECT", named).when(kind == "ARRAY", _listed(value)).otherwise(scalar)
 
 

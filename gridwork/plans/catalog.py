@@ -454,7 +454,8 @@ def comment_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.struct(author.alias("author"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("created"), F.col("l_returnflag").alias("body"))
     bare = F.struct(F.lit("").alias("displayName"), F.lit("").alias("name"))
     second = F.struct(bare.alias("author"), F.lit("").alias("created"), F.concat(F.lit("qty "), F.col("l_linenumber")).alias("body"))
-    threads = table(spark, sf_dir, "lineitem").select(F.parse_json(F.to_json(F.struct(F.array(first, second).alias("comments")))).alias("v"))
+    lines = samples.spread(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_returnflag", "l_linenumber"))
+    threads = lines.select(F.parse_json(F.to_json(F.struct(F.array(first, second).alias("comments")))).alias("v"))
     texts = add_value_texts(threads, [F.col("v")], "texts")
     return texts.groupBy(F.get("texts", F.lit(0))["text"].alias("thread")).agg(F.count(F.lit(1)).alias("n"))
 
