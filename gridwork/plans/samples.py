@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridwork.config import DEFAULT_SCHEMA, ColumnSpec, JobConfig
 from gridwork.functions.cells import MISSING_RESULT, make_cell, null_cell, text_cell
+from gridwork.session import computed_once
 from gridwork.sources.grid import grid_rows
 
 
@@ -197,7 +198,7 @@ def issue_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         document.alias("description"),
         comments.alias("comment"),
     )
-    return both.select(F.concat(F.lit("ORD-"), number).alias("key"), F.to_json(fields).alias("fields"))
+    return both.select(F.concat(F.lit("ORD-"), number).alias("key"), computed_once(F.to_json(fields)).alias("fields"))
 
 
 def field_catalogue(issues: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridwork.operators.flatten import Field
-from gridwork.session import broadcast_if_small, settle
+from gridwork.session import broadcast_if_small, computed_once, settle
 
 
 def issue_rows(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -21,7 +21,9 @@ def issue_rows(lines: DataFrame, line: str = "value") -> DataFrame:
 def line_failures(lines: DataFrame, line: str = "value", file: Column | None = None) -> DataFrame:
     """``group, file, sheet, row_no, detail`` of the lines that are no JSON; blank lines are none."""
     text = F.col(line)
-    bad = lines.where((F.trim(text) != "") & F.try_parse_json(line).isNull())
+    # Lines may be costly to make, and a filter on what is read of them would make them anew for each use.
+    told = lines.withColumn("_bad", computed_once((F.trim(text) != "") & F.try_parse_json(line).isNull()))
+    bad = told.where("_bad")
     nothing = F.lit(None).cast("string")
     detail = F.concat(F.lit("not JSON: "), F.substring(text, 1, 80))
     return bad.select(nothing.alias("group"), (nothing if file is None else file).alias("file"), nothing.alias("sheet"), F.lit(None).cast("long").alias("row_no"), detail.alias("detail"))
@@ -32,7 +34,8 @@ def checked_issues(lines: DataFrame, line: str = "value", file: str = "file") ->
     which no line is kept: one row per bad line, as ``harmonize`` takes them. """
     failures = settle(line_failures(lines, line, F.col(file)))
     bad = broadcast_if_small(settle(failures.select(F.col("file").alias(file)).distinct()))
-    parsed = lines.join(bad, file, "left_anti").select(file, F.try_parse_json(line).alias("issue")).where(F.col("issue").isNotNull())
+    issue = computed_once(F.try_parse_json(line)).alias("issue")
+    parsed = lines.join(bad, file, "left_anti").select(file, issue).where(F.col("issue").isNotNull())
     return parsed.select(
         file, F.try_variant_get("issue", "$.key", "string").alias("key"), F.try_variant_get("issue", "$.fields", "variant").alias("fields")
     ), failures
