@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwork.functions.paths import NO_SUFFIX, file_name, name_parts
+from gridwork.session import once
 
 # What counts as an identifier, a date, a version, a time, a number, a word.
 UUID = (
@@ -34,17 +35,45 @@ FIRST_MARK = 0xE000
 class Rule:
     pattern: str
     token: Callable[[Column], Column]
+    #: Holds of every text with a match, and costs little: most names need few of the rules.
+    possible: Callable[[Column], Column] | None = None
+
+
+def _holds(text: Column, *marks: str) -> Column:
+    found = F.contains(text, F.lit(marks[0]))
+    for mark in marks[1:]:
+        found = found | F.contains(text, F.lit(mark))
+    return found
+
+
+def _year(text: Column) -> Column:
+    return _holds(text, "19", "20")
+
+
+def _held(text: Column, at: int, marks: str) -> Column:
+    """The character at a place if it is one of the marks, else nothing."""
+    char = F.substring(text, at, 1)
+    return F.when(char.isin(*marks), char).otherwise("")
 
 
 def _ymd_token(match: Column) -> Column:
-    def part(group: int) -> Column:
-        return F.regexp_extract(match, "^" + DATE_YMD, group)
+    """A match has its parts at places that the separators tell, so no rule is run on it again."""
 
-    sep, time_sep = part(2), part(6)
-    day = F.concat(F.lit("YYYY"), sep, F.lit("MM"), sep, F.lit("DD"))
-    seconds = F.when(part(8) != "", F.concat(time_sep, F.lit("SS"))).otherwise("")
-    moment = F.concat(F.lit("<DATETIME:"), day, F.lit("_HH"), time_sep, F.lit("MM"), seconds, F.lit(">"))
-    return F.when(part(5) != "", moment).otherwise(F.concat(F.lit("<DATE:"), day, F.lit(">")))
+    def told(sep: Column) -> Column:
+        day = F.concat(F.lit("YYYY"), sep, F.lit("MM"), sep, F.lit("DD"))
+        rest = F.substr(match, F.length(sep) * 2 + 9)
+
+        def moment(clock: Column) -> Column:
+            def timed(time_sep: Column) -> Column:
+                seconds = F.when(F.length(clock) > F.length(time_sep) + 4, F.concat(time_sep, F.lit("SS"))).otherwise("")
+                return F.concat(F.lit("<DATETIME:"), day, F.lit("_HH"), time_sep, F.lit("MM"), seconds, F.lit(">"))
+
+            date = F.concat(F.lit("<DATE:"), day, F.lit(">"))
+            return F.when(clock == "", date).otherwise(once(_held(clock, 3, "-_.:"), timed))
+
+        return once(once(rest, lambda r: F.substr(r, F.length(_held(r, 1, "T _-")) + 1)), moment)
+
+    return once(_held(match, 5, "-_."), told)
 
 
 def _dmy_token(match: Column) -> Column:
@@ -58,22 +87,27 @@ def _time_token(match: Column) -> Column:
 
 
 RULES = (
-    Rule(UUID, lambda m: F.lit("<UUID>")),
-    Rule(DATE_YMD, _ymd_token),
-    Rule(DATE_DMY, _dmy_token),
-    Rule(VERSION, lambda m: F.lit("<VERSION>")),
-    Rule(TIME, _time_token),
+    Rule(UUID, lambda m: F.lit("<UUID>"), lambda t: (F.length(t) >= 36) & _holds(t, "-")),
+    Rule(DATE_YMD, _ymd_token, _year),
+    Rule(DATE_DMY, _dmy_token, lambda t: _year(t) & _holds(t, "-", "_", ".")),
+    Rule(VERSION, lambda m: F.lit("<VERSION>"), lambda t: _holds(t, ".")),
+    Rule(TIME, _time_token, lambda t: _holds(t, ":", ".", "_", "-")),
     Rule(NUMBER, lambda m: F.concat(F.lit("<NUM:"), F.length(m).cast("string"), F.lit(">"))),
 )
 
 
 def _restored(text: Column, tokens: list[Column]) -> Column:
+    def restored(mark: str, listed: Column) -> Callable[[Column], Column]:
+        def use(text: Column) -> Column:
+            filled = F.zip_with(
+                F.split(text, mark), listed, lambda part, token: F.concat(part, F.coalesce(token, F.lit("")))
+            )
+            return F.when(F.contains(text, F.lit(mark)), F.array_join(filled, "")).otherwise(text)
+
+        return use
+
     for i, listed in enumerate(tokens):
-        parts = F.split(text, chr(FIRST_MARK + i))
-        filled = F.zip_with(
-            parts, listed, lambda part, token: F.concat(part, F.coalesce(token, F.lit("")))
-        )
-        text = F.array_join(filled, "")
+        text = once(text, restored(chr(FIRST_MARK + i), listed))
     return text
 
 
@@ -91,8 +125,12 @@ def add_patterns(
     text = "_stem"
     for i, rule in enumerate(RULES):
         found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-        parts = parts.withColumn(f"_tokens_{i}", F.transform(found, rule.token))
-        parts = parts.withColumn(f"_text_{i}", F.regexp_replace(text, rule.pattern, chr(FIRST_MARK + i)))
+        tokens, marked = F.transform(found, rule.token), F.regexp_replace(text, rule.pattern, chr(FIRST_MARK + i))
+        if rule.possible is not None:
+            possible = rule.possible(F.col(text))
+            none = F.array().cast("array<string>")
+            tokens, marked = F.when(possible, tokens).otherwise(none), F.when(possible, marked).otherwise(F.col(text))
+        parts = parts.withColumn(f"_tokens_{i}", tokens).withColumn(f"_text_{i}", marked)
         text = f"_text_{i}"
     tokens = [F.col(f"_tokens_{i}") for i in range(len(RULES))]
     tail = F.lit("") if ignore_suffix else F.col("extension")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gridwork.functions.patterns import add_patterns
+from gridwork.session import stored
 
 EXAMPLES = 5
 
 
 def _long(files: DataFrame, path: str, case_sensitive: bool, ignore_suffix: bool) -> DataFrame:
-    """Every file twice: under its literal and its structural pattern. Both modes share a pass."""
-    named = add_patterns(files.select(F.col(path).alias("path")), "path", case_sensitive, ignore_suffix)
+    """Every file twice: under its literal and its structural pattern. Both modes share a pass, and counts and
+    examples its result, as the rules cost far more than to write and read what they find."""
+    named = stored(add_patterns(files.select(F.col(path).alias("path")), "path", case_sensitive, ignore_suffix), "patterns")
     modes = F.array(
         F.struct(F.lit("literal").alias("mode"), F.col("literal").alias("pattern")),
         F.struct(F.lit("structural").alias("mode"), F.col("structural").alias("pattern")),

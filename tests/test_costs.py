@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from gridwork.functions.patterns import add_patterns
+from gridwork.operators.patterns import pattern_groups
 from gridwork.sources.issues import line_failures
 
 
@@ -14,3 +16,23 @@ def test_lines_are_made_once(spark):
     failures = line_failures(lines)
     assert plan(failures).count("repeat(") == 1
     assert [r["detail"] for r in failures.orderBy("detail").collect()] == ["not JSON: {0{0", "not JSON: {1{1", "not JSON: {2{2"]
+
+
+def test_parts_of_a_date_are_read_without_its_rule(spark):
+    names = spark.createDataFrame([("a20240102.x",), ("b_2024-01-02T0304.x",), ("c2024.01.02 03-04-05.x",), ("20240102030405",)], "path string")
+    patterns = add_patterns(names, "path", case_sensitive=True)
+    # The rule is run to mark dates and to list them, for both patterns together.
+    assert plan(patterns).count("(?:19|20)") <= 4
+    got = {r["path"]: r["literal"] for r in patterns.collect()}
+    assert got == {
+        "a20240102.x": "a<DATE:YYYYMMDD>.x", "b_2024-01-02T0304.x": "b_<DATETIME:YYYY-MM-DD_HHMM>.x",
+        "c2024.01.02 03-04-05.x": "c<DATETIME:YYYY.MM.DD_HH-MM-SS>.x", "20240102030405": "<DATETIME:YYYYMMDD_HHMMSS><NO_EXT>",
+    }
+
+
+def test_rules_run_once_for_counts_and_examples(spark):
+    names = spark.createDataFrame([("a 1.x",), ("a 2.x",), ("b3.x",)], "path string")
+    groups = pattern_groups(names, min_count=2)
+    assert "regexp_replace" not in plan(groups)
+    got = sorted((r["mode"], r["count"], r["pattern"], r["extensions"], r["examples"]) for r in groups.collect())
+    assert got == [("literal", 2, "a <NUM:1>.x", ".x:2", "a 1.x | a 2.x"), ("structural", 2, "<WORD> <NUM:1>.x", ".x:2", "a 1.x | a 2.x")]
