@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridwork.functions.cells import make_cell
+from gridwork.functions.cells import BLANKS, make_cell
 from gridwork.functions.issues import add_value_texts, value_cell, value_text
+from gridwork.functions.trees import record_texts
 from gridwork.session import computed_once
 
 # Names that mean the record key and its address.
@@ -85,15 +86,14 @@ def flatten_issues(
     text or VARIANT). Values are texts, or typed cells with ``typed``, and whole unless ``limited`` to
     what a spreadsheet cell holds.
 
-    Only the requested paths are read out of the JSON, and nothing is shuffled.
+    Only the requested fields are made into texts, and nothing is shuffled.
     """
     rows = issues
-    if dict(issues.dtypes)["fields"] != "variant":
-        rows = issues.withColumn("fields", computed_once(F.try_parse_json("fields")))
     read = [f for f in fields if f.kind == "field"]
-    values = [F.try_variant_get("fields", f"$['{f.field_id}']", "variant") for f in read]
-    if read:
-        rows = add_value_texts(rows, values, "_texts")
+    if read and dict(issues.dtypes)["fields"] == "variant":
+        rows = add_value_texts(rows, [F.try_variant_get("fields", _member(f.field_id), "variant") for f in read], "_texts")
+    elif read:
+        rows = rows.withColumn("_texts", computed_once(record_texts(F.col("fields"), [f.field_id for f in read], BLANKS)))
     columns = []
     for field in fields:
         if field.kind == "field":
@@ -130,15 +130,12 @@ def named_fields(issues: DataFrame, catalogue: DataFrame, requested: list[str])
     names = catalogue.select("id", _folded(F.col("name")).alias("name_key")).where(F.col("name_key").isin(keys))
     ids = {row["name_key"]: row["id"] for row in names.collect()}
     read = [k for k in keys if k in ids]
-    rows = issues.select("key", computed_once(F.try_parse_json("fields")).alias("fields"))
     # The wanted fields are read where the issue is; dealt by field, all values of one would meet in a task.
-    values = [F.try_variant_get("fields", _member(ids[k]), "variant") for k in read]
-    rows = rows.select("key", *[v.alias(f"_value_{i}") for i, v in enumerate(values)])
-    found = [F.col(f"_value_{i}") for i in range(len(read))]
-    rows = rows.where(F.coalesce(*found).isNotNull()) if read else rows.where(F.lit(False))
-    rows = add_value_texts(rows, found or [F.lit(None).cast("variant")], "_texts")
-    present = [F.struct(F.get("_texts", F.lit(i))["text"].alias("text")) for i in range(len(read))]
-    first = [F.first(F.when(v.isNotNull(), p), ignorenulls=True)["text"].alias(k) for v, p, k in zip(found, present, read)]
+    texts = record_texts(F.col("fields"), [ids[k] for k in read], BLANKS) if read else F.lit(None)
+    rows = issues.select("key", computed_once(texts).alias("_texts"))
+    items = [F.get("_texts", F.lit(i)) for i in range(len(read))]
+    rows = rows.where(F.exists("_texts", lambda t: t["kind"].isNotNull())) if read else rows.where(F.lit(False))
+    first = [F.first(F.when(t["kind"].isNotNull(), F.struct(t["text"].alias("text"))), ignorenulls=True)["text"].alias(k) for t, k in zip(items, read)]
     wide = rows.groupBy("key").agg(*first) if read else rows.select("key")
     shown = [(F.col(f"`{k}`") if k in ids else F.lit(None).cast("string")).alias(name) for k, name in zip(keys, requested)]
     return wide.select("key", *shown)

@@ -203,7 +203,9 @@ def issue_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def field_catalogue(issues: DataFrame) -> DataFrame:
     """Field ids with names and types. Ids come from the records; the wording is the sample's."""
-    ids = issues.select(F.explode(F.json_object_keys("fields")).alias("id")).distinct()
+    # Most records have the same fields, so their lists are told apart before they are taken to pieces.
+    lists = issues.select(F.json_object_keys("fields").alias("ids")).distinct()
+    ids = lists.select(F.explode("ids").alias("id")).distinct()
     names = {
         "customfield_10016": "Story Points",
         "customfield_10017": "Released",

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridwork.functions.patterns import add_patterns
+from gridwork.operators import flatten
 from gridwork.operators.patterns import pattern_groups
 from gridwork.sources.issues import line_failures
 
@@ -36,3 +37,19 @@ def test_rules_run_once_for_counts_and_examples(spark):
     assert "regexp_replace" not in plan(groups)
     got = sorted((r["mode"], r["count"], r["pattern"], r["extensions"], r["examples"]) for r in groups.collect())
     assert got == [("literal", 2, "a <NUM:1>.x", ".x:2", "a 1.x | a 2.x"), ("structural", 2, "<WORD> <NUM:1>.x", ".x:2", "a 1.x | a 2.x")]
+
+
+def test_records_of_text_are_read_once_and_like_variants(spark):
+    records = [
+        '{"a": 3.0, "b": [1.50, -0, {"name": 7}], "c": {"z": {"k": 2}, "a": 1e3}}', '{"a": 1e400, "b": "\\ud83d", "c": [[true], null, "x"]}',
+        '{"a": 1, "a": 2, "b": 1}', '[{"a": 1}]', '{"a": 1} tail', '{"a": NaN}', None, '{"a": null, "b": {"type": "doc", "content": ["t "]}}',
+        '{"a": 9223372036854775808, "b": 9223372036854775807, "c": 123456789012345678901234567890.5000000000000}', '{"a": 01}', "{",
+        '{"a": false, "b": {"comments": [{"author": {"name": "n"}, "body": 1.0e-7}, 5]}, "c": {"comments": 0.00}}',
+    ]
+    issues = spark.createDataFrame([(str(i), r) for i, r in enumerate(records)], "key string, fields string")
+    fields = [flatten.Field("k", "key"), *[flatten.Field(c, "field", c) for c in "abc"]]
+    of_text, of_variants = (
+        flatten.flatten_issues(df, fields, "https://x", typed=True) for df in (issues, issues.withColumn("fields", F.try_parse_json("fields")))
+    )
+    assert "variant" not in plan(of_text)
+    assert sorted(of_text.collect()) == sorted(of_variants.collect())
