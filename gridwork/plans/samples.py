@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridwork.config import DEFAULT_SCHEMA, ColumnSpec, JobConfig
 from gridwork.functions.cells import MISSING_RESULT, make_cell, null_cell, text_cell
-from gridwork.session import computed_once
+from gridwork.session import computed_once, stored
 from gridwork.sources.grid import grid_rows
 
 
@@ -24,6 +24,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
+def dealt(df: DataFrame, name: str) -> DataFrame:
+    """The same for inputs that many jobs read: what few splits hold is dealt once, not anew by each job, which
+    would wait each time for the few tasks that read it."""
+    wide = spread(df)
+    return df if wide is df else stored(wide, name)
+
+
 def whole(value: Column) -> Column:
     return make_cell("int", value.cast("string"))
 
@@ -108,7 +115,7 @@ CUSTOMER_CONFIG = replace(
 def customer_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as sheets, a file per nation, with rows that break each rule in turn."""
     nation = table(spark, sf_dir, "nation")
-    customer = spread(table(spark, sf_dir, "customer"))
+    customer = dealt(table(spark, sf_dir, "customer"), "customer")
     key, kind = F.col("c_custkey"), F.col("c_custkey") % 20
     blank, custom = null_cell(), text_cell(F.lit("c"))
     name, segment = text_cell(F.lit("E")), text_cell(F.col("c_mktsegment"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gridwork.functions.patterns import add_patterns
 from gridwork.operators import flatten
 from gridwork.operators.patterns import pattern_groups
+from gridwork.plans import samples
 from gridwork.sources.issues import line_failures
 
 
@@ -53,3 +54,7 @@ def test_records_of_text_are_read_once_and_like_variants(spark):
     )
     assert "variant" not in plan(of_text)
     assert sorted(of_text.collect()) == sorted(of_variants.collect())
+
+
+def test_customers_are_dealt_once(spark):
+    assert "Repartition" not in plan(samples.customer_grid(spark, "/root/testdata/sf0.001"))
