@@ -69,7 +69,7 @@ def orders_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.year("o_orderdate").alias("y"),
         F.quarter("o_orderdate").alias("q"),
     )
-    orders = spread(orders)
+    orders = dealt(orders, "orders")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     number = F.when(key % 97 == 5, text_cell(F.lit("total"))).otherwise(whole(key))
     entity = text_cell(F.concat(F.lit("Customer#"), cust.cast("string")))
@@ -146,7 +146,7 @@ FILL_DEPENDENT_CONFIG = replace(FILL_CONFIG, min_row_values=3, drop_duplicates=T
 
 def fill_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders in one sheet, with gaps in two columns, blank rows and total rows."""
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "orders")
     key = F.col("o_orderkey")
     number = F.when(key % 61 == 7, text_cell(F.lit("Total"))).otherwise(whole(key))
     entity = F.when(key % 4 == 0, text_cell(F.concat(F.lit("E"), F.col("o_custkey").cast("string")))).otherwise(null_cell())

@@ -58,3 +58,8 @@ def test_records_of_text_are_read_once_and_like_variants(spark):
 
 def test_customers_are_dealt_once(spark):
     assert "Repartition" not in plan(samples.customer_grid(spark, "/root/testdata/sf0.001"))
+
+
+def test_orders_are_dealt_once(spark):
+    for grid in (samples.orders_grid, samples.fill_grid):
+        assert "Repartition" not in plan(grid(spark, "/root/testdata/sf0.001"))
