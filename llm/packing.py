@@ -42,8 +42,9 @@ def ids_crc32(ids: np.ndarray) -> int:
 
 def held(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different ids, and how often each comes."""
-    found, n = np.unique(ids, return_counts=True)
-    return found.astype(np.uint16), n.astype(np.uint32)
+    ids = np.sort(ids, kind="stable")  # by digits, as they have 16 bits
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+    return ids[first].astype(np.uint16), np.diff(first, append=len(ids)).astype(np.uint32)
 
 
 def _held(unit: bytes, terms: bytes | None, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]:

@@ -166,3 +166,27 @@ def test_packing_messy_documents(spark):
     assert packing.pack(nothing(spark)).count() == 0
     with pytest.raises(ValueError):
         packing.pack(nothing(spark), window=100)
+
+
+def test_texts_without_runs_of_blanks_need_no_word_table():
+    """They go to the library whole; all others are cut into words that are looked up. The ids are the same."""
+    bpe = byte_bpe(*vocabulary_files())
+    rng = np.random.default_rng(8)
+    parts = ["it's", "don't", "WE'LL", "'s", "x1y22", "42", "é", "naïve", "µ", "...", "a'b", "(c)", "zqxjv", "'", "-", "_"]
+    single = ["", " ", "\n", "a", " a", "a ", "a\nb", "\ta\t", "a 'll b", *["".join(p + str(rng.choice([" ", "\n", "\t", ""])) for p in rng.choice(parts, 12)) for _ in range(300)]]
+    runs = [x.replace(" ", str(rng.choice(["  ", " \n", "\n ", "\r\n", "   "]))) for x in single]
+    bpe.words.clear()
+    bpe.words.old = {}
+    for text in single:
+        assert bpe.encode(text).tolist() == bpe.whole.encode(text, add_special_tokens=False).ids
+    assert not bpe.words
+    for text in runs:
+        assert bpe.encode(text).tolist() == bpe.whole.encode(text, add_special_tokens=False).ids
+    assert bpe.words
+
+
+def test_held_counts_ids():
+    for ids in ([], [3], [5, 5, 2, 65535, 2, 5]):
+        found, n = packing.held(np.array(ids, dtype=np.uint16))
+        assert dict(zip(found.tolist(), n.tolist(), strict=True)) == {x: ids.count(x) for x in ids}
+        assert (found.dtype, n.dtype) == (np.uint16, np.uint32)
