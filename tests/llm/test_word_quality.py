@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from gridwork.session import checkpoint_dir
 from llm import word_quality as words
 from tools import documents, messy, nothing
 
@@ -146,3 +148,30 @@ def test_pipeline_keeps_what_the_word_model_keeps(spark, tmp_path):
     assert kept.columns == docs.columns
     assert sorted(map(str, kept.collect())) == sorted(map(str, docs.join(judged.filter("q.kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).collect()))
     assert kept.filter("doc_id = 1000").isEmpty() and kept.count() > 140
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_frequent_words_in_several_shards_and_nothing_left_behind(spark, monkeypatch, order):
+    """Words before the last that are dealt to several shards, words without a short code; only scores stay."""
+    monkeypatch.setattr(words, "LEAST_SHARDS", 200)
+    monkeypatch.setattr(words, "FREQUENT", 6)
+    rng = np.random.default_rng(10 + order)
+    texts = [" ".join(rng.choice(VERSES[:12], int(rng.integers(1, 15)))) for _ in range(80)]
+    trusted = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    half = {r.text: r.half for r in words._named(trusted).collect()}
+    chances = [_chances_by_hand([t for t in texts if half[t] == h], order) for h in (0, 1)]
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = {p.name for p in folder.glob("llm-*")}
+    model, sizes = words.kneser_ney(words.count_grams(trusted, order), order)
+    assert model.parts.max() > 4
+    asked = spark.createDataFrame([(t,) for t in [*texts[:25], "river zebra river", "the zebra the"]], "text string").repartition(2)
+    names = {(r.mark, r.twin): (r.half, r.text) for r in words._named(asked).collect()}
+    out = words.scored_texts(asked, model, sizes, order).collect()
+    assert len(out) == len(names)
+    for row in out:
+        own, text = names[row.mark, row.twin]
+        line = ["<edge>"] * (order - 1) + words.tokens(text)
+        bits = -sum(math.log2(chances[1 - own](tuple(line[i - order + 1 : i + 1]))) for i in range(order - 1, len(line)))
+        assert row.bits == pytest.approx(bits, rel=1e-9)
+    left = {p.name.split("-")[1] + "-" + p.name.split("-")[2] for p in folder.glob("llm-*") if p.name not in before}
+    assert left <= {"word-bits", "chunk-bits"}
