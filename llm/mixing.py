@@ -18,6 +18,8 @@ CYCLE = (1, 2, 3)
 MOST_TIMES = 3
 BLOCK_WORDS = 1024
 CELLS = 1024
+#: Slots of the schedule whose rows are laid out together.
+STRETCH = 1024
 
 
 @dataclass
@@ -152,8 +154,22 @@ def pieces(plan: Mix) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", length: str | None = None) -> DataFrame:
     """The rows that the mix takes, each as often as it does, with their columns; of a row that a source
-    takes in part, its first words, set apart by blanks, and their length in the column ``length``."""
-    taken = passes(mix(docs, n_words(text), id_column, source).rows)
+    takes in part, its first words, set apart by blanks, and their length in the column ``length``. What is
+    taken of a row are its pieces in the slots of the schedule, and rows are laid out by the slot that
+    their first piece stands in, so that sources alternate as the schedule says."""
+    plan = mix(docs, n_words(text), id_column, source)
+    slots = plan.sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    # A source's words are spread evenly over the schedule, so its share of them tells the stretch.
+    stretch = F.floor(F.col("at") * (slots // STRETCH + 1) / F.col("take"))
+    by = ["stretch", "source_key", "row_no", "pass"]
+    held = F.sum(F.col("until_word") - F.col("from_word")).alias("held")
+    scheduled = pieces(plan).withColumn("stretch", stretch).groupBy(*by).agg(held, F.min_by("slot", "from_word").alias("slot"))
+    # Rows meet what is taken of them where they are laid out: whole texts are dealt out once.
+    rows = passes(plan.rows).withColumn("stretch", stretch).select(*by, "at", "size", "row")
+    both = rows.unionByName(scheduled, allowMissingColumns=True).repartition("stretch")
+    own = Window.partitionBy(*by)
+    taken = both.withColumns({"end_word": F.max("held").over(own), "slot": F.max("slot").over(own)})
+    taken = taken.filter("row IS NOT NULL AND end_word IS NOT NULL")
     cut = F.col("end_word") < F.col("size")
     words = F.regexp_extract_all(F.col("row")[text], F.lit(WORD), F.lit(0))
     shorter = F.array_join(F.slice(words, F.lit(1), F.col("end_word").cast("int")), " ")
@@ -162,7 +178,8 @@ def mixed_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", s
     columns[text] = F.when(F.col("cut"), F.col("shorter")).otherwise(columns[text])
     if length:
         columns[length] = F.when(F.col("cut"), F.length("shorter")).otherwise(columns[length]).cast(docs.schema[length].dataType)
-    return taken.select(*[v.alias(c) for c, v in columns.items()])
+    laid = taken.sortWithinPartitions("stretch", "slot", "at")
+    return laid.select(*[v.alias(c) for c, v in columns.items()])
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,25 @@ def test_mixed_rows_and_messy_documents(spark):
     assert mixing.mixed_rows(nothing(spark)).count() == 0
 
 
+def test_mixed_rows_follow_the_schedule(spark):
+    docs = documents(spark, [(i, "w " * (300 + 40 * i), "en", "abc"[i % 3]) for i in range(30)])
+    plan = mixing.mix(docs, mixing.n_words("text"))
+    slots: dict = {}
+    for p in mixing.pieces(plan).collect():
+        words, first = slots.get((p.id, p["pass"]), (0, (p.from_word, p.slot, p["at"])))
+        slots[p.id, p["pass"]] = words + p.until_word - p.from_word, min(first, (p.from_word, p.slot, p["at"]))
+    wanted = [(i, words) for (i, _), (words, _) in sorted(slots.items(), key=lambda kv: kv[1][1][1:])]
+    assert [(r.doc_id, len(r.text.split())) for r in mixing.mixed_rows(docs).collect()] == wanted
+    assert len({i % 3 for i, _ in wanted[:4]}) > 1
+
+
+def test_mixed_rows_are_the_pieces_of_the_schedule(spark, monkeypatch):
+    docs = documents(spark, [(i, "w " * 700, "en", "ab"[i % 2]) for i in range(12)])
+    whole = mixing.pieces
+    monkeypatch.setattr(mixing, "pieces", lambda plan: whole(plan).filter("source_key = 'va'"))
+    assert {r.source for r in mixing.mixed_rows(docs).collect()} == {"a"}
+
+
 def _check_packing(pieces, docs, window):
     bpe = byte_bpe(*vocabulary_files())
     ids = {i: np.append(bpe.encode(t or ""), 0).astype("<u4") for i, t in docs}
