@@ -1,21 +1,24 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 A bounded sample gives centroids, whose graph stays in memory. Every vector is posted to the lists of its
-nearest centroids, those near a boundary to several; a list longer than a block is dealt over many. A query
-walks the graph to its nearest centroids and searches the lists whose centroid is at most a calibrated
-ratio farther than the nearest one.
+nearest centroids, those near a boundary to several. A query walks the graph to its nearest centroids and
+searches the lists whose centroid is at most a calibrated ratio farther than the nearest one. Lists that lie
+near each other share a shelf: a vector stands there once, whichever of its lists are on the shelf, and so
+does a query; a shelf larger than a block is dealt over many.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from llm.common import grouped, table, together, written
+from gridwork.sinks.outputs import removed
+from llm.common import grouped, table, together, written, written_at
 from llm.vectors import comparable, cosines, element_type, matrix, sample_rows, smallest_ids, unit_rows
 
 #: Vectors that the index is fitted on at most; all are indexed.
@@ -27,22 +30,28 @@ REPLICA_RATIO = 1.15
 GRAPH_DEGREE = 16
 #: The ratio is set so that this share of the sample's true neighbours lies in searched lists.
 WANTED_RECALL = 0.98
+#: A shelf holds so many rows at least, if there are as many, and vectors of so many bytes at most.
 BLOCK = 2048
-QUERY_BLOCK = 1024
-#: Lists that a query searches before the rest.
-FIRST_LISTS = 8
+MEETING_BYTES = 16 << 20
+#: Similarities worked out at once.
+CELLS = 4 << 20
 ROWS_AT_ONCE = 256
 SEED = 7
 
 
 @dataclass
 class Centroids:
-    """Unit centroids, for each its neighbours in the graph, and the ratio that searches keep to."""
+    """Unit centroids, for each its neighbours in the graph, and the ratio that searches keep to. Each shelf is
+    an array of lists and dealt in so many ``blocks``; the sample comes with the lists of each of its vectors."""
 
     centers: np.ndarray
     links: np.ndarray
     ratio: float = 1.0
     beam: int = 8
+    shelves: list[np.ndarray] = field(default_factory=list)
+    blocks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    sample: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    sample_lists: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.int64))
 
     def nearest(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Centroids and distances, nearest first, found by walking the graph best-first from fixed
@@ -62,19 +71,17 @@ class Centroids:
             fresh = ~done[rows, found] & np.isfinite(dist)
             if not fresh.any():
                 return found, dist
-            # The best four places not yet walked from, of every query.
+            # The best places not yet walked from, of every query: four, or more where many are wanted.
             rank = np.cumsum(fresh, axis=1)
-            walk = fresh & (rank <= 4)
+            walk = fresh & (rank <= max(4, beam // 4))
             at, place = np.nonzero(walk)
             node = found[at, place]
             done[at, node] = True
-            who, to = np.repeat(at, self.links.shape[1]), self.links[node].ravel()
-            new = ~seen[who, to]
-            who, to = who[new], to[new]
-            pair = np.unique(who * size + to)
-            who, to = pair // size, pair % size
-            seen[who, to] = True
-            d = _distances(np.einsum("ij,ij->i", queries[who], self.centers[to]))
+            new = np.zeros((n, size), dtype=bool)
+            new[np.repeat(at, self.links.shape[1]), self.links[node].ravel()] = True
+            who, to = np.nonzero(new & ~seen)
+            seen |= new
+            d = np.concatenate([np.zeros(0), *[_distances(np.einsum("ij,ij->i", queries[w], self.centers[t])) for w, t in _parts(who, to)]])
             count = np.bincount(who, minlength=n)
             width = int(count.max(initial=0))
             column = np.arange(len(who)) - (np.cumsum(count) - count)[who]
@@ -106,11 +113,80 @@ class Centroids:
         """(query number, list, place) of each list to search, the nearest of a query at place 0."""
         return self._near(queries, self.beam, self.beam, self.ratio)
 
+    def shelved(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(vector number, shelf, places on it of the vector's lists) of each shelf that a vector stands on."""
+        shelf_of, place_of = np.empty(len(self.centers), np.int64), np.empty(len(self.centers), "<i4")
+        for i, lists in enumerate(self.shelves):
+            shelf_of[lists], place_of[lists] = i, np.arange(len(lists))
+        at, lists, _ = self.posts(vectors)
+        order = np.lexsort((shelf_of[lists], at))
+        at, shelf, places = at[order], shelf_of[lists[order]], place_of[lists[order]]
+        first = np.flatnonzero(np.diff(at, prepend=-1) | np.diff(shelf, prepend=-1))
+        ends = np.append(first, len(at))[1:]
+        return at[first], shelf[first], [places[a:b].tobytes() for a, b in zip(first, ends)]
+
+    def wanted(self, queries: np.ndarray, hits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which lists each query searches, in bits, and how near a hit must be at least: as near as the
+        sampled vectors in these lists, of which ``hits`` are that near. -2 where they hold fewer."""
+        bits, bounds = [], []
+        for low in range(0, len(queries), ROWS_AT_ONCE):
+            some = queries[low : low + ROWS_AT_ONCE]
+            at, lists, _ = self.lists(some)
+            asked = np.zeros((len(some), len(self.centers)), dtype=bool)
+            asked[at, lists] = True
+            bits.append(np.packbits(asked, axis=1))
+            bound = np.full(len(some), -2.0)
+            if len(self.sample) >= hits:
+                sims = some.astype(np.float32) @ self.sample.T
+                held = asked[:, self.sample_lists[:, 0]]
+                for own in self.sample_lists.T[1:]:
+                    held |= asked[:, own]
+                sims[~held] = -2
+                bound = np.maximum(np.partition(sims, -hits, axis=1)[:, -hits] - 2 * _margin(some), -2).astype(np.float64)
+            bounds.append(bound)
+        return np.concatenate(bits), np.concatenate(bounds)
+
+    def asked(self, bits: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        """(query number, shelf, for each list on it whether the query searches it) from the bits."""
+        order = np.concatenate(self.shelves)
+        ends = np.cumsum([len(x) for x in self.shelves])
+        asked = np.unpackbits(bits, axis=1, count=len(self.centers))[:, order]
+        starts = ends - [len(x) for x in self.shelves]
+        for at, shelf in zip(*np.nonzero(np.bitwise_or.reduceat(asked, starts, axis=1))):
+            yield int(at), int(shelf), asked[at, starts[shelf] : ends[shelf]].tobytes()
+
 
 def _distances(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * cosine, 0))
 
 
+def _margin(rows: np.ndarray) -> float:
+    """How far a product of unit rows in single precision may be off."""
+    return 1.2e-7 * (rows.shape[1] + 4)
+
+
+def _parts(*arrays: np.ndarray, size: int = 1 << 16) -> Iterator[tuple[np.ndarray, ...]]:
+    for low in range(0, len(arrays[0]), size):
+        yield tuple(x[low : low + size] for x in arrays)
+
+
+def _shelved(centers: np.ndarray, load: np.ndarray, most: int) -> list[np.ndarray]:
+    """The lists, halved across where they lie widest until what they hold is no more than ``most`` or one list."""
+    shelves, open_ = [], [np.arange(len(centers))]
+    while open_:
+        part = open_.pop()
+        if len(part) == 1 or load[part].sum() <= most:
+            shelves.append(part)
+            continue
+        off = centers[part] - centers[part].mean(axis=0)
+        _, axes = np.linalg.eigh(off.T @ off)
+        part = part[np.argsort(off @ axes[:, -1], kind="stable")]
+        held = np.cumsum(load[part])
+        cut = int(np.clip(np.searchsorted(held, held[-1] / 2), 1, len(part) - 1))
+        open_ += [part[cut:], part[:cut]]
+    return shelves
+
+
 def _centers(sample: np.ndarray, count: int, rounds: int = 10) -> np.ndarray:
     """Spherical k-means that charges large clusters a little, so that their vectors spread."""
     rng = np.random.default_rng(SEED)
@@ -118,7 +194,8 @@ def _centers(sample: np.ndarray, count: int, rounds: int = 10) -> np.ndarray:
     load = np.ones(count)
     for _ in range(rounds):
         charge = 0.02 * np.log(np.maximum(load, 0.1))
-        blocks = [np.argmax(sample[i : i + 4096] @ centers.T - charge, axis=1) for i in range(0, len(sample), 4096)]
+        step = min(4096, max(1, CELLS // count))
+        blocks = [np.argmax(sample[i : i + step] @ centers.T - charge, axis=1) for i in range(0, len(sample), step)]
         member = np.concatenate(blocks)
         sums = np.zeros_like(centers)
         np.add.at(sums, member, sample)
@@ -130,16 +207,18 @@ def _centers(sample: np.ndarray, count: int, rounds: int = 10) -> np.ndarray:
     return centers
 
 
-def fit(sample: np.ndarray, vectors: int, neighbours: int) -> Centroids:
-    """Centroids, graph and ratio from unit rows; ``vectors`` is how many will be indexed. The sample is
-    thinner than the whole, so its neighbours lie farther off and the ratio is on the safe side."""
+def fit(sample: np.ndarray, vectors: int, neighbours: int, shelf_rows: int = BLOCK) -> Centroids:
+    """Centroids, graph, ratio and shelves from unit rows; ``vectors`` is how many will be indexed. The sample
+    is thinner than the whole, so its neighbours lie farther off and the ratio is on the safe side."""
     count = int(np.clip(vectors // VECTORS_PER_LIST, 1, min(MOST_LISTS, max(1, len(sample) // 4))))
     centers = _centers(sample, count)
     rng = np.random.default_rng(SEED)
-    cosine = centers @ centers.T
-    np.fill_diagonal(cosine, -2)
     degree = min(GRAPH_DEGREE, count - 1)
-    links = np.argsort(-cosine, axis=1, kind="stable")[:, :degree]
+    links = np.empty((count, degree), np.int64)
+    for low in range(0, count, 512):
+        cosine = centers[low : low + 512] @ centers.T
+        cosine[np.arange(len(cosine)), np.arange(low, low + len(cosine))] = -2
+        links[low : low + 512] = np.argsort(-cosine, axis=1, kind="stable")[:, :degree]
     far = rng.integers(0, count, (count, 4))
     index = Centroids(centers, np.hstack([links, far]))
     asked = rng.choice(len(sample), min(400, len(sample)), replace=False)
@@ -159,11 +238,45 @@ def fit(sample: np.ndarray, vectors: int, neighbours: int) -> Centroids:
     index.ratio = float(np.quantile(need, WANTED_RECALL)) if need else 1.0
     searched = (to_center <= index.ratio * to_center.min(axis=1, keepdims=True)).sum(axis=1)
     index.beam = int(min(count, 1.25 * searched.max() + 8))
+    load = np.bincount(lists, minlength=count) * (vectors / len(sample))
+    index.shelves = _shelved(centers, load, shelf_rows)
+    index.blocks = np.array([max(1, int(np.ceil(load[x].sum() / shelf_rows))) for x in index.shelves])
+    index.sample = sample.astype(np.float32)
+    index.sample_lists = lists[np.minimum(low[:-1, None] + np.arange(REPLICAS), low[1:, None] - 1)]
     return index
 
 
-def _blocks(n: Column, size: int) -> Column:
-    return F.ceil(n / size).cast("long")
+def _sliced(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for low in range(0, whole.num_rows, min(4096, most)):
+            yield whole.slice(low, min(4096, most))
+
+
+def _rank(rows: np.ndarray) -> np.ndarray:
+    """Place of each in its run of equal numbers, from 0."""
+    return np.arange(len(rows)) - np.searchsorted(rows, rows)
+
+
+def _hits(queries: np.ndarray, vectors: np.ndarray, asked: np.ndarray, own: np.ndarray, bound: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first query, pairs of query and vector that can be among the ``most`` nearest) of some queries at a time;
+    a vector counts if it stands in an asked list."""
+    step = max(1, CELLS // len(vectors))
+    margin = 2 * _margin(vectors)
+    for low in range(0, len(queries), step):
+        sims = queries[low : low + step] @ vectors.T
+        row, col = np.nonzero(sims >= bound[low : low + step, None])
+        kept = np.concatenate([np.zeros(0, bool), *[asked[r[:, None] + low, own[c]].any(axis=1) for r, c in _parts(row, col)]])
+        row, col = row[kept], col[kept]
+        sim = sims[row, col]
+        order = np.lexsort((-sim, row))
+        row, col, sim = row[order], col[order], sim[order]
+        # The last place that counts, of each query; what may be as near stays.
+        least = np.full(len(sims), -3.0)
+        last = _rank(row) == most - 1
+        least[row[last]] = sim[last]
+        near = sim >= least[row] - margin
+        if near.any():
+            yield low, np.stack([row[near], col[near]])
 
 
 def nearest(
@@ -175,33 +288,58 @@ def nearest(
     class with its smallest ids, one more than wanted, as no others of it can be in an answer. An empty
     table gives no rows; other columns play no part."""
     kind = element_type(vectors, vector)
-    rows = written(comparable(vectors, id_column, vector).distinct(), "vectors")
+    rows, path = written_at(comparable(vectors, id_column, vector), "vectors")
     key = rows.schema["id"].dataType
     schema = T.StructType([T.StructField("query_id", key), T.StructField("rank", T.IntegerType()), T.StructField("id", key), T.StructField("score", T.DoubleType())])
     spark = vectors.sparkSession
     classes = smallest_ids(rows, neighbours + 1)
+    spark.sparkContext._jvm.System.gc()  # the shuffles of whole vectors go with their last reference
     count = classes.count()
     if not count:
         return spark.createDataFrame([], schema)
-    index = spark.sparkContext.broadcast(fit(unit_rows(matrix(sample_rows(classes, sample), kind)), count, neighbours))
-
-    def placing(method: str):
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for low in range(0, whole.num_rows, 4096):
-                    batch = whole.slice(low, 4096)
-                    unit = unit_rows(matrix(batch.column(1).to_pylist(), kind))
-                    at, lists, place = getattr(index.value, method)(unit)
-                    yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at)) for c in batch.columns], pa.array(lists), pa.array(place)], names=places.names)
-
-        return place
-
-    places = T.StructType([T.StructField("rep", key), T.StructField("vector", T.BinaryType()), T.StructField("list", T.LongType()), T.StructField("place", T.LongType())])
-    posted = written(classes.select("rep", "vector").mapInArrow(placing("posts"), places), "postings")
-    asked = rows.filter(queries).join(classes.select("rep", "vector"), "vector").select(F.col("id").alias("query_id"), "rep", "vector")
-    asked = written(asked, "queries")
-    wanted = asked.select("rep", "vector").distinct().mapInArrow(placing("lists"), places)
-    wanted = written(wanted, "searches")
+    sampled = sample_rows(classes, sample)
+    cores = spark.sparkContext.defaultParallelism
+    most = max(1, MEETING_BYTES // len(sampled[0]))
+    shelf_rows = min(most, max(BLOCK, -(-REPLICAS * count // (2 * cores))))
+    index = spark.sparkContext.broadcast(fit(unit_rows(matrix(sampled, kind)), count, neighbours, shelf_rows))
+
+    names = [T.StructField("rep", key), T.StructField("vector", T.BinaryType())]
+    places = T.StructType([*names, T.StructField("shelf", T.LongType()), T.StructField("lists", T.BinaryType()), T.StructField("bound", T.DoubleType()), T.StructField("blocks", T.LongType())])
+    searches = T.StructType([*names, T.StructField("bits", T.BinaryType()), T.StructField("bound", T.DoubleType())])
+
+    def placed(batch: pa.RecordBatch, at: np.ndarray, shelf: np.ndarray, lists: list[bytes], bound: np.ndarray) -> pa.RecordBatch:
+        own = [c.take(pa.array(at)) for c in batch.columns[:2]]
+        return pa.RecordBatch.from_arrays([*own, pa.array(shelf), pa.array(lists, pa.binary()), pa.array(bound), pa.array(index.value.blocks[shelf])], names=places.names)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches, most):
+            at, shelf, lists = index.value.shelved(unit_rows(matrix(batch.column(1).to_pylist(), kind)))
+            yield placed(batch, at, shelf, lists, np.zeros(len(at)))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches, most):
+            bits, bound = index.value.wanted(unit_rows(matrix(batch.column(1).to_pylist(), kind)), neighbours + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(bound)], names=searches.names)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query once for each shelf that it searches, few vectors at a time."""
+        for batch in _sliced(batches, most):
+            bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            bound = batch.column(3).to_numpy()
+            asked = index.value.asked(bits)
+            while some := list(islice(asked, max(1, most // 4))):
+                at, shelf = (np.array(x) for x in list(zip(*some))[:2])
+                yield placed(batch, at, shelf, [x[2] for x in some], bound[at])
+
+    # A class is told by the digest of its vector, so that whole vectors aren't shuffled for the few that are asked.
+    told = F.unhex(F.sha2("vector", 256)).alias("told")
+    asked = rows.filter(queries).distinct().select("id", "vector", told).join(classes.select("rep", told), "told")
+    asked = written(asked.select(F.col("id").alias("query_id"), "rep", "vector"), "queries")
+    removed(spark, path)
+    wanted = asked.select("rep", "vector").distinct().repartition(max(2 * cores, asked.count() // most + 1))
+    wanted = written(wanted.mapInArrow(ask, searches), "searches").mapInArrow(deal, places)
+    sizes = wanted.groupBy("shelf").agg(F.ceil(F.count("*") / most).cast("long").alias("query_blocks"))
+    sizes = written(sizes, "shelves")
     found = T.StructType([T.StructField("rep", key), T.StructField("near", key), T.StructField("score", T.DoubleType())])
     by_class = Window.partitionBy("rep").orderBy(F.desc("score"), "near")
 
@@ -209,46 +347,38 @@ def nearest(
         for group in grouped(batches):
             side = group.column(1).to_numpy()
             names = group.column(2).combine_chunks()
-            values = matrix(group.column(3).to_pylist(), kind)
             q, v = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(q) or not len(v):
                 continue
-            sims = unit_rows(values[q]) @ unit_rows(values[v]).T
-            # Some more than wanted, as this product's last digits depend on the block.
-            most = min(neighbours + 4, len(v))
-            best = np.argpartition(-sims, most - 1, axis=1)[:, :most]
-            bound = group.column(4).to_numpy()[q] - 1e-9
-            row, place = np.nonzero(np.take_along_axis(sims, best, 1) >= bound[:, None])
-            left, right = q[row], v[best[row, place]]
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(left)), names.take(pa.array(right)), pa.array(cosines(values[left], values[right]))], names=found.names)
-
-    def hits(queries: DataFrame) -> DataFrame:
-        """What the lists of these searches (rep, vector, list, bound) hold that is no worse than bound."""
-        sizes = posted.groupBy("list").agg(_blocks(F.count("*"), BLOCK).alias("blocks"))
-        sizes = sizes.join(queries.groupBy("list").agg(_blocks(F.count("*"), QUERY_BLOCK).alias("query_blocks")), "list")
-
-        def dealt(table: DataFrame, side: int, own: str, other: str, bound: Column) -> DataFrame:
-            # One row per list, of which there are no more than MOST_LISTS.
-            mine = table.join(F.broadcast(sizes), "list").withColumn(own[:-1], F.pmod(F.xxhash64("rep"), F.col(own)))
-            mine = mine.withColumn(other[:-1], F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
-            meeting = F.concat_ws("/", "list", "block", "query_block").alias("meeting")
-            return mine.select(meeting, F.lit(side).alias("side"), "rep", "vector", bound.alias("bound"))
-
-        asking = dealt(queries, 0, "query_blocks", "blocks", F.col("bound"))
-        held = dealt(posted, 1, "blocks", "query_blocks", F.lit(0.0))
-        return together(asking.unionByName(held), "meeting").mapInArrow(search, found)
-
-    def ranked(hits: DataFrame) -> DataFrame:
-        once = hits.groupBy("rep", "near").agg(F.max("score").alias("score"))
-        return once.withColumn("place", F.row_number().over(by_class)).filter(F.col("place") <= neighbours + 1)
-
-    # The nearest lists give each query a bound; the others add only what is no worse.
-    first = ranked(hits(wanted.filter(F.col("place") < FIRST_LISTS).withColumn("bound", F.lit(-2.0))))
-    first = written(first.select("rep", "near", "score"), "first-hits")
-    bounds = first.groupBy("rep").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    bounds = bounds.select("rep", F.when(F.col("n") > neighbours, F.col("least")).otherwise(-2.0).alias("bound"))
-    others = wanted.filter(F.col("place") >= FIRST_LISTS).join(bounds, "rep", "left").fillna(-2.0, ["bound"])
-    top = ranked(first.unionByName(hits(others)))
+            values = matrix(group.column(3).to_pylist(), kind)
+            units = unit_rows(values).astype(np.float32)
+            lists = group.column(4).combine_chunks()
+            asked = np.frombuffer(b"".join(lists.take(pa.array(q)).to_pylist()), np.uint8).reshape(len(q), -1)
+            own = lists.take(pa.array(v)).to_pylist()
+            size = np.array([len(x) for x in own]) // 4
+            first = np.cumsum(size) - size
+            own = np.frombuffer(b"".join(own), "<i4")[first[:, None] + np.minimum(np.arange(REPLICAS), size[:, None] - 1)]
+            bound = group.column(5).to_numpy()[q]
+            for low, rows in _hits(units[q], units[v], asked, own, bound, neighbours + 1):
+                left, right = q[rows[0] + low], v[rows[1]]
+                scores = np.concatenate([cosines(values[a], values[b]) for a, b in _parts(left, right)])
+                best = pa.table([pa.array(left), names.take(pa.array(left)), names.take(pa.array(right)), pa.array(scores)], names=["row", *found.names])
+                best = best.sort_by([("row", "ascending"), ("score", "descending"), ("near", "ascending")])
+                yield from best.filter(pa.array(_rank(best["row"].to_numpy()) <= neighbours)).select(found.names).combine_chunks().to_batches()
+
+    def dealt(table: DataFrame, side: int, own: str, other: str) -> DataFrame:
+        # One row per shelf, of which there are no more than MOST_LISTS.
+        mine = table.join(F.broadcast(sizes), "shelf").withColumn(own[:-1], F.pmod(F.xxhash64("rep"), F.col(own)))
+        mine = mine.withColumn(other[:-1], F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        meeting = F.concat_ws("/", "shelf", "block", "query_block").alias("meeting")
+        return mine.select(meeting, F.lit(side).alias("side"), "rep", "vector", "lists", "bound")
+
+    asking = dealt(wanted, 0, "query_blocks", "blocks")
+    held = dealt(classes.select("rep", "vector").mapInArrow(post, places), 1, "blocks", "query_blocks")
+    hits = together(asking.unionByName(held), "meeting").mapInArrow(search, found)
+
+    once = hits.groupBy("rep", "near").agg(F.max("score").alias("score"))
+    top = once.withColumn("place", F.row_number().over(by_class)).filter(F.col("place") <= neighbours + 1)
     members = classes.select(F.col("rep").alias("near"), "members")
     rows_near = top.join(members, "near").select("rep", "score", F.explode("members").alias("id"))
     own = asked.select("query_id", "rep").join(rows_near, "rep").filter("query_id != id")

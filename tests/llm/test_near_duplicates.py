@@ -245,3 +245,45 @@ def test_repeated_rows_are_searched_once(spark):
         assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5]
         assert len({r.id for r in mine}) == 5 and query not in {r.id for r in mine}
     assert [r.id for r in found if r.query_id == 13 and r["rank"] == 1] == [70]
+
+
+def test_nearest_vectors_meet_once_for_a_shelf(spark, monkeypatch):
+    # All lists are searched, by blocks of 64 vectors: what is found is what brute force finds, ties by id.
+    rng = np.random.default_rng(9)
+    points = rng.integers(-8, 9, (700, 8)).astype(np.float32)
+    points[:40] = np.outer(np.arange(1, 41), points[0])
+    fit, written, rows = posting_lists.fit, posting_lists.written, {}
+
+    def all_lists(*args):
+        index = fit(*args)
+        index.ratio, index.beam = np.inf, len(index.centers)
+        rows["lists"], rows["blocks"] = len(index.centers), int(index.blocks.sum())
+        return index
+
+    def seen(df, name):
+        out = written(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(posting_lists, "fit", all_lists)
+    monkeypatch.setattr(posting_lists, "written", seen)
+    monkeypatch.setattr(posting_lists, "VECTORS_PER_LIST", 20)
+    monkeypatch.setattr(posting_lists, "MEETING_BYTES", 64 * points[0].nbytes, raising=False)
+    found = posting_lists.nearest(_vectors(spark, [(i, [float(x) for x in p], 0) for i, p in enumerate(points)]), F.col("id") % 3 == 0)
+    held = np.flatnonzero((points != 0).any(axis=1))
+    unit = points[held].astype(np.float64) / np.linalg.norm(points[held].astype(np.float64), axis=1, keepdims=True)
+    wanted = set()
+    for at, query in enumerate(held):
+        if query % 3 == 0:
+            sims = np.round(unit @ unit[at], 9)
+            sims[at] = -2
+            wanted |= {(int(query), rank + 1, int(held[i])) for rank, i in enumerate(np.lexsort((held, -sims))[:5])}
+    got = {(r.query_id, r["rank"], r.id): r.score for r in found.collect()}
+    assert len(got) == len(wanted)
+    # Digits beyond the 9th may tell ties apart.
+    for query, rank, i in set(got) - wanted:
+        other = next(x for q, r, x in wanted if (q, r) == (query, rank))
+        a, b, c = (points[x].astype(np.float64) / np.linalg.norm(points[x].astype(np.float64)) for x in (query, i, other))
+        assert abs(a @ b - a @ c) < 1e-9
+    # A query class is written once, not for every list, and there are several blocks.
+    assert rows["searches"] <= (held % 3 == 0).sum() < rows["lists"] * 10 and rows["blocks"] > 4
