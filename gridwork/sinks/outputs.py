@@ -27,12 +27,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that this job has written for itself and has no more use for."""
-    system, target = _file_system(spark, path)
-    system.delete(target, True)
-
-
 def check_target(spark: SparkSession, target: str, source: str | None, overwrite: bool) -> None:
     """Refuses to replace anything but an earlier output of this library, and to write into the
     sources."""

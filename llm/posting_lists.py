@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from gridwork.sinks.outputs import removed
+from gridwork.session import removed
 from llm.common import grouped, table, together, written, written_at
 from llm.vectors import comparable, cosines, element_type, matrix, sample_rows, smallest_ids, unit_rows
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridwork.session import broadcast_if_small
-from gridwork.sinks.outputs import removed
+from gridwork.session import removed
 from llm.common import bounded_batches, grouped, key_of, table, text_or_empty, written, written_at
 from llm.quality import FEWEST_TEXTS, trusted_documents
 
